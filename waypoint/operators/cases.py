@@ -455,3 +455,110 @@ def horizon_outcomes(
 def cases_with_activity(events: DataFrame, log: Log, role: str) -> DataFrame:
     keep = events.where(F.col(log.activity) == log.activities[role]).select(log.case).distinct()
     return events.join(keep, log.case, "left_semi")
+
+
+# First-time columns of the state that are compared with the second cut.
+TIMED_EVENTS = {
+    "clear": "first_clear_time",
+    "payment_block_removal": "first_payment_block_removal_time",
+    "payment_block_set": "first_payment_block_set_time",
+    "invoice_cancel": "first_invoice_cancel_time",
+    "additional_invoice": "first_additional_invoice_time",
+    "subsequent_invoice": "first_subsequent_invoice_time",
+    "future_price_change": "first_future_price_change_time",
+    "future_quantity_change": "first_future_quantity_change_time",
+}
+
+
+def transition_candidates(state: DataFrame) -> DataFrame:
+    """Cases without evidence at t0 that got it (with a value) later, with timing flags."""
+    t1 = F.col("first_future_gr_time")
+    keep = ~F.col("gr_available_at_t0") & F.col("gather_gr_possible") & F.col("gather_gr_has_value") & t1.isNotNull()
+    c = state.where(keep).withColumn("t1_time", t1)
+    t1, t0 = F.col("t1_time"), F.col("decision_time")
+    before = {f"{n}_before_t1": is_true(F.col(c_) < t1) for n, c_ in TIMED_EVENTS.items()}
+    same = {f"{n}_same_timestamp_t1": is_true(F.col(c_) == t1) for n, c_ in TIMED_EVENTS.items()}
+    return c.withColumns({
+        "t1_after_t0": t1 > t0,
+        "t1_same_timestamp_as_t0": t1 == t0,
+        "n_goods_receipts_by_t1": F.col("n_goods_receipts_before_t0") + 1,
+        "elapsed_t0_to_t1_days": _days("decision_time", "t1_time"),
+        **before, **same,
+        "selected_intervening_event_before_t1": any_of(list(before.values())),
+        "selected_same_timestamp_order_ambiguity": any_of(list(same.values())),
+    })
+
+
+def timing_table(candidates: DataFrame) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(n).alias("event"), F.col(c).alias("at")) for n, c in TIMED_EVENTS.items()])
+    long = candidates.select("t1_time", F.inline(rows))
+    n = lambda c: F.sum(is_true(c).cast("bigint"))
+    at, t1 = F.col("at"), F.col("t1_time")
+    return long.groupBy("event").agg(
+        F.count("at").alias("observed"), n(at < t1).alias("before_t1"), n(at == t1).alias("same_timestamp_as_t1"),
+        n(at > t1).alias("after_t1"), (n(at < t1) / F.count("*") * 100).alias("pct_before_t1"))
+
+
+def transition_audit(exact: DataFrame, stored: DataFrame) -> DataFrame:
+    """Exact second cut against the stored candidate time, as check rows."""
+    j = stored.select("case_id", F.col("t1_time").alias("stored_t1")).join(
+        exact.select("case_id", "t1_time", "t1_same_timestamp_as_t0", "gr_available_at_t1"), "case_id", "left")
+    n = lambda c: F.sum(is_true(c).cast("bigint"))
+    found = F.col("t1_time").isNotNull()
+    match = is_true(F.col("t1_time") == F.col("stored_t1"))
+    one = j.agg(
+        F.count("*").alias("candidate_cases"), n(found).alias("exact_transition_rows"), n(match).alias("candidate_t1_time_match"),
+        n(found & ~match).alias("candidate_t1_time_mismatch"), n(F.col("t1_same_timestamp_as_t0")).alias("same_timestamp_t0_t1"),
+        n(~F.col("gr_available_at_t1")).alias("gr_available_at_t1_false"))
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("value")) for c in one.columns])))
+
+
+def order_inversions(events: DataFrame, log: Log) -> DataFrame:
+    """Per year: events and events whose time is earlier than the event filed just before.
+
+    The previous event is found per block of 4,096 order numbers inside a case
+    plus the last event of the case's block before it, so a long case is split.
+    """
+    rows = log.normal(events).withColumn("_block", F.floor(F.col("ord") / 4096))
+    w = Window.partitionBy("case_id", "_block").orderBy("ord")
+    inside = rows.withColumn("_prev", F.lag("ts").over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    tails = rows.groupBy("case_id", "_block").agg(F.max_by("ts", "ord").alias("_tail"))
+    blocks = Window.partitionBy("case_id").orderBy("_block")
+    tails = tails.select("case_id", "_block", F.lag("_tail").over(blocks).alias("_carry"))
+    j = inside.join(tails, ["case_id", "_block"])
+    prev = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev"))
+    return j.groupBy(F.year("ts").alias("year")).agg(
+        F.count("*").alias("events"), F.sum(is_true(F.col("ts") < prev).cast("bigint")).alias("order_inversions"))
+
+
+def source_audit(events: DataFrame, log: Log, first_day: str, last_day: str) -> DataFrame:
+    """Per case: events outside the expected dates, late documents, observed span after t0."""
+    salted, _ = prepared(events, log)
+    outside = (F.col("ts") < F.lit(first_day).cast("timestamp_ntz")) | (F.col("ts") >= F.lit(last_day).cast("timestamp_ntz"))
+    parts = {
+        "events_outside": count_where(outside),
+        "_po": first_time(log.is_role("create_po")),
+        "_last": last_time(F.lit(True)),
+    }
+    d = combine(salted, parts, ["cut"]).withColumn("decision_time", F.col("cut.ts"))
+    return d.select("case_id", "events_outside", is_true(F.col("_po") > F.col("decision_time")).alias("po_after_first_invoice"),
+                    _days("decision_time", "_last").alias("observed_span_days"))
+
+
+def mature(df: DataFrame, end_column: str, start_column: str, days: list[int]) -> DataFrame:
+    """Rows with at least d days of calendar follow-up, one copy per d they satisfy."""
+    end = df.agg(F.max(end_column)).scalar()
+    span = (F.unix_micros(end.cast("timestamp")) - F.unix_micros(F.col(start_column).cast("timestamp"))) / F.lit(86_400_000_000.0)
+    return df.withColumn("_span", span).withColumn("min_followup_days", F.explode(F.array(*[F.lit(d) for d in days]))).where(
+        F.col("_span") >= F.col("min_followup_days")).drop("_span")
+
+
+def hash_sample(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
+    """Top n rows in hash order: a seeded sample without replacement."""
+    return df.orderBy(F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256), key).limit(n)
+
+
+def complete_cases(events: DataFrame, case: str, order: str, n: int) -> DataFrame:
+    """All events of the first n cases by first appearance."""
+    first = events.groupBy(case).agg(F.min(order).alias("_o")).orderBy("_o").limit(n).select(case)
+    return events.join(first, case, "left_semi")

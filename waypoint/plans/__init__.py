@@ -5,7 +5,7 @@ from __future__ import annotations
 
 
 def all_queries():
-    from . import scalar_queries  # noqa: F401
+    from . import case_queries, scalar_queries  # noqa: F401
     from .registry import BUILDS, SQL
 
     return dict(BUILDS), dict(SQL)

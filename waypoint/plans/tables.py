@@ -41,24 +41,26 @@ LOG = Log(
     flags={"flag_text": "goods_receipt_required"}, activities=ROLES,
 )
 CASE_SQL = "(user_id::VARCHAR || ':' || (date_diff('day', DATE '2024-01-01', ts::DATE) // 3)::VARCHAR)"
-EV = f"""ev AS (
-  SELECT {CASE_SQL} AS case_id, event_type, ts, event_id, value, user_id, props,
+EV = f"""ev0 AS (
+  SELECT {CASE_SQL} AS case_id, event_type, time_bucket(INTERVAL '6 hours', ts) AS ts, event_id,
+         CASE WHEN event_id % 4 <> 0 THEN value END AS value, user_id, props,
          CASE WHEN user_id % 3 = 0 THEN 'yes' WHEN user_id % 3 = 1 THEN 'N' ELSE 'maybe' END AS flag_text
   FROM events),
-t0 AS (SELECT case_id, min({{'ts': ts, 'ord': event_id}}) AS cut FROM ev WHERE event_type = 'purchase' GROUP BY 1),
-ex AS (SELECT ev.*, t0.cut, t0.cut.ts AS t0,
-         (ts < t0.cut.ts OR (ts = t0.cut.ts AND event_id <= t0.cut.ord)) AS past,
-         (ts > t0.cut.ts OR (ts = t0.cut.ts AND event_id > t0.cut.ord)) AS fut
-       FROM ev JOIN t0 USING (case_id))"""
+ev AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ts, event_id) AS k FROM ev0),
+t0 AS (SELECT case_id, min(k) AS k0, min(ts) AS t0, arg_min(event_id, k) AS ord0 FROM ev WHERE event_type = 'purchase' GROUP BY 1),
+ex AS (SELECT ev.*, k0, t0, ord0, k <= k0 AS past, k > k0 AS fut FROM ev JOIN t0 USING (case_id))"""
 
 
 def event_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Six-hour time stamps (so events tie and need their order) and some missing values."""
     ev = table(spark, sf, "events")
     window = F.floor(F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date")) / 3)
     word = F.when(F.col("user_id") % 3 == 0, "yes").when(F.col("user_id") % 3 == 1, "N").otherwise("maybe")
+    coarse = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 21600) * 21600)
     return ev.select(
         F.concat_ws(":", F.col("user_id").cast("string"), window.cast("string")).alias("case_id"),
-        "event_type", "ts", "event_id", "value", "user_id", "props", word.alias("flag_text"),
+        "event_type", coarse.cast("timestamp_ntz").alias("ts"), "event_id",
+        F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("value"), "user_id", "props", word.alias("flag_text"),
     )
 
 
