@@ -65,11 +65,14 @@ def prefix(
     )
 
 
-def hash_ranks(df: DataFrame, key: Column, unique: str, by: list[str] | None = None, rank: str = "rank") -> DataFrame:
+def hash_ranks(
+    df: DataFrame, key: Column, unique: str, by: list[str] | None = None, rank: str = "rank", limit: int | None = None
+) -> DataFrame:
     """Row number in the order of a 64-character hash, without a global sort.
 
     The hash is uniform, so its first three digits cut the rows into 4,096 even
     buckets; ranks inside a bucket are shifted by the counts of earlier buckets.
+    With ``limit`` only buckets that can hold one of the first rows are sorted.
     """
     by = by or []
     keyed = df.withColumn("_h", key).withColumn("_hb", F.substring("_h", 1, 3))
@@ -77,11 +80,16 @@ def hash_ranks(df: DataFrame, key: Column, unique: str, by: list[str] | None = N
     before = Window.partitionBy(*by).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
     start = counts.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col("_hb").alias("_kb"),
                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
+    if limit is not None:
+        start = start.where(F.col("_n0") < limit)
+    if not by:
+        start = F.broadcast(start)  # at most 4,096 rows
+    match = reduce(lambda a, b: a & b, [keyed[b].eqNullSafe(start[f"_k_{b}"]) for b in by],
+                   keyed["_hb"] == start["_kb"])
     local = Window.partitionBy(*by, "_hb").orderBy("_h", unique)
-    inside = keyed.withColumn("_r", F.row_number().over(local))
-    match = reduce(lambda a, b: a & b, [inside[b].eqNullSafe(start[f"_k_{b}"]) for b in by],
-                   inside["_hb"] == start["_kb"])
-    return inside.join(start, match).select(*df.columns, (F.col("_n0") + F.col("_r")).cast("bigint").alias(rank))
+    placed = keyed.join(start, match).withColumn("_r", F.row_number().over(local))
+    out = placed.select(*df.columns, (F.col("_n0") + F.col("_r")).cast("bigint").alias(rank))
+    return out if limit is None else out.where(F.col(rank) <= limit)
 
 
 def percentiles(

@@ -94,3 +94,58 @@ def numeric_summary(df: DataFrame, value: str, by: list[str], probs: dict[str, f
         m = base[b].eqNullSafe(p[f"_k_{b}"])
         match = m if match is None else match & m
     return base.join(p, match, "left").drop(*[f"_k_{b}" for b in by])
+
+
+def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
+    """Non-null count, missing percent and distinct values per column.
+
+    Exact distinct counts go through distinct (column, value) pairs, which are
+    reduced before the shuffle; ``exact=False`` uses a sketch in the same pass.
+    """
+    cols = df.columns
+    base = df.agg(F.count("*").alias("_n"), *[F.count(c).alias(f"nn_{c}") for c in cols],
+                  *([] if exact else [F.approx_count_distinct(c).alias(f"d_{c}") for c in cols]))
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"nn_{c}").alias("non_null"),
+                              *([] if exact else [F.col(f"d_{c}").alias("distinct_values")])) for c in cols])
+    out = base.select("_n", F.inline(rows)).withColumn("missing_pct", (F.col("_n") - F.col("non_null")) / F.col("_n") * 100).drop("_n")
+    if not exact:
+        return out
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v")) for c in cols])))
+    d = long.where(F.col("_v").isNotNull()).distinct().groupBy("_c").agg(F.count("*").alias("distinct_values"))
+    return out.join(d, F.col("column_name") == F.col("_c"), "left").drop("_c")
+
+
+def funnel(events: DataFrame, case: str, inside: Column, activity: Column) -> DataFrame:
+    """Cases and events left after the category filter and the activity requirement."""
+    per = events.groupBy(case).agg(F.count("*").alias("e0"), count_if(inside).alias("e1"), F.max(is_true(inside & activity)).alias("has"))
+    one = per.agg(F.count("*").alias("c0"), F.sum("e0").alias("e0"), count_if(F.col("e1") > 0).alias("c1"), F.sum("e1").alias("e1"),
+                  count_if(F.col("has")).alias("c2"), F.sum(F.when(F.col("has"), F.col("e1")).otherwise(0)).alias("e2"))
+    rows = F.array(*[F.struct(F.lit(n).alias("stage"), F.col(f"c{i}").alias("cases"), F.col(f"e{i}").alias("events"))
+                     for i, n in enumerate(["all", "category", "with_activity"])])
+    return one.select("c0", F.inline(rows)).select("stage", "cases", "events", (F.col("cases") / F.col("c0") * 100).alias("retention_pct"))
+
+
+def bucket_counts(df: DataFrame, x: Column, edges: list[float], labels: list[str], name: str) -> DataFrame:
+    """Counts per right-closed bucket; empty buckets stay with zero."""
+    from ..functions.scalars import right_closed_bin
+
+    one = df.select(right_closed_bin(x, edges, labels).alias("_b")).agg(*[count_if(F.col("_b") == b).alias(f"b{i}") for i, b in enumerate(labels)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(b).alias(name), F.col(f"b{i}").alias("n")) for i, b in enumerate(labels)])))
+
+
+def quantile_bins(df: DataFrame, value: str, by: list[str], probs: list[float]) -> DataFrame:
+    """Right-closed bins at the group's own quantiles; the lowest value is included."""
+    names = {f"_q{i}": p for i, p in enumerate(probs)}
+    p = percentiles(df, value, names, by)
+    j = df.join(p, by, "left")
+    out = F.when(F.col(value) <= F.col("_q0"), "Q1")
+    for i in range(1, len(probs)):
+        out = out.when(F.col(value) <= F.col(f"_q{i}"), f"Q{i + 1}")
+    return j.withColumn("bin", F.when(F.col(value).isNotNull(), out.otherwise(f"Q{len(probs) + 1}"))).drop(*names)
+
+
+def train_references(df: DataFrame, case: str, order: str, value: str, part: str = "part") -> DataFrame:
+    """Train-only percentiles with one value per source case."""
+    per = df.where(F.col(part) == "train").groupBy(case).agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_v"))
+    p = percentiles(per, "_v", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return p.select(per.agg(F.count("*")).scalar().alias("train_cases"), "*")
