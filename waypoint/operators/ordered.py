@@ -93,17 +93,18 @@ def hash_ranks(
 
 
 def percentiles(
-    df: DataFrame, value: str | Column, probs: dict[str, float], by: list[str] | None = None
+    df: DataFrame, value: str | Column, probs: dict[str, float], by: list[str] | None = None, weight: Column | None = None
 ) -> DataFrame:
     """Exact interpolated percentiles per group (one row in all when ``by`` is empty).
 
     Equal values are counted before the sort, so hot values cost one row.
-    Groups without any value are absent.
+    Groups without any value are absent. ``weight`` is a whole-number repeat count.
     """
     by = by or []
     x = F.col(value) if isinstance(value, str) else value
-    counts = df.select(*by, x.cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    counts = counts.groupBy(*by, "_x").agg(F.count("*").alias("_w"))
+    w = F.lit(1) if weight is None else weight
+    counts = df.select(*by, x.cast("double").alias("_x"), w.cast("bigint").alias("_w")).where(F.col("_x").isNotNull())
+    counts = counts.groupBy(*by, "_x").agg(F.sum("_w").alias("_w"))
     placed = prefix(counts, [F.col("_x")], by=by, sums=["_w"], rank="_rank")
     total = placed.groupBy(*by).agg(F.max("cum__w").alias("_total"))
     if by:
@@ -135,7 +136,7 @@ def percentiles(
     )
 
 
-def grid_column(fields: dict[str, list], *_: object) -> Column:
+def grid_column(fields: dict[str, list]) -> Column:
     """A literal parameter list as an exploded struct column."""
     n = len(next(iter(fields.values())))
     rows = [F.struct(*[F.lit(v[i]).alias(k) for k, v in fields.items()]) for i in range(n)]
@@ -179,3 +180,15 @@ def prefix_by_value(df: DataFrame, value: str, sums: list[str], by: list[str] |
 
 def count_if(c: Column) -> Column:
     return F.sum(F.when(is_true(c), 1).otherwise(0)).cast("bigint")
+
+
+def with_totals(df: DataFrame, by: list[str], aggs: dict[str, Column]) -> DataFrame:
+    """Group totals on every row; the totals are aggregated first and joined back."""
+    if not by:
+        one = df.agg(*[c.alias(n) for n, c in aggs.items()])
+        packed = df.withColumn("_one", one.select(F.struct(*aggs)).scalar())
+        return packed.select(*df.columns, *[F.col("_one")[n].alias(n) for n in aggs])
+    t = df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()])
+    t = t.select(*[F.col(b).alias(f"_t_{b}") for b in by], *aggs)
+    match = reduce(lambda a, b: a & b, [df[b].eqNullSafe(t[f"_t_{b}"]) for b in by])
+    return df.join(t, match).drop(*[f"_t_{b}" for b in by])
