@@ -123,22 +123,6 @@ def blind_gather(p0: Column, p1: Column, p: Params, eligible: Column) -> Column:
     ])[0]
 
 
-def policy_set(p: Params, c: Column) -> dict[str, Column]:
-    """The eight compared policies over the standard episode columns."""
-    pe, ps, p1 = F.col("p_cal_execute"), F.col("p_safe_t0_cal"), F.col("p_safe_t1_primary")
-    ok, gate = is_true(F.col("gather_policy_eligible")), F.col("gate")
-    return {
-        "ARGMAX_V1": upper_text("predicted_action"),
-        "CONFIDENCE_THRESHOLD_V1": confidence_rule(pe),
-        "VOI_BLIND_V1": blind_gather(pe, p1, p, ok),
-        "V1_FULL": decide(pe, p1, c, p, ok)[0],
-        "V2_SAFETY_NO_GATE": decide(ps, p1, c, p, ok)[0],
-        "V2_GATE_MULTICLASS_EXECUTE": decide(pe, p1, c, p, ok, gate)[0],
-        "V2_NO_GATHER": decide(ps, p1, c, p, ok, gate, allow_gather=False)[0],
-        "V2_FULL": decide(ps, p1, c, p, ok, gate)[0],
-    }
-
-
 def first_policy(name: str, pe: Column, p1: Column, c: Column, p: Params, eligible: Column) -> tuple[Column, Column, Column]:
     """First-generation policies: (primary action, final action, expected loss).
 

@@ -72,9 +72,11 @@ def parse_bool(c: Column | str) -> Column:
 
 
 def truthy(c: Column | str) -> Column:
-    """Like parse_bool, but never NULL and also reading ``t`` as true."""
-    word = F.lower(F.trim(col(c).cast("string")))
-    return F.coalesce(word.isin([*TRUE_WORDS, "t"]), F.lit(False))
+    """Text or boolean as a strict flag: true/1/yes/y/t in any case, everything else false.
+
+    These are the words Spark's own boolean cast reads, so a boolean column costs nothing.
+    """
+    return F.coalesce(col(c).try_cast("boolean"), F.lit(False))
 
 
 def upper_text(c: Column | str, keep_null: bool = False) -> Column:

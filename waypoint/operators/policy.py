@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import policy as D
-from ..functions.scalars import is_true, steps_reached
+from ..functions.scalars import is_true, steps_reached, upper_text
 from .metrics import RATES, TERMS, ratios, row_terms
 
 
@@ -18,13 +18,46 @@ def with_consequence(df: DataFrame, refs: Column, modes: list[str], value: str =
     return rows.withColumn("c", D.mode_consequence(F.col("mode"), F.col(value), F.col("_refs"))).drop("_refs")
 
 
-def decisions_wide(df: DataFrame, p: D.Params) -> DataFrame:
-    return df.withColumns({f"action__{n}": a for n, a in D.policy_set(p, F.col("c")).items()})
+def with_actions(df: DataFrame, p: D.Params) -> DataFrame:
+    """The eight compared policies as ``action__<POLICY>`` columns.
+
+    Shared losses are columns of their own, so each is computed once per row.
+    """
+    pe, ps, p1, c = F.col("p_cal_execute"), F.col("p_safe_t0_cal"), F.col("p_safe_t1_primary"), F.col("c")
+    inf = F.lit(D.INF)
+    only = lambda cost, ok: F.when(ok, F.col(cost)).otherwise(inf)
+    state = upper_text("gate")
+    d = df.withColumns({
+        "_valid": state == "VALID", "_clear": state != "CONTRADICTORY", "_ok": is_true(F.col("gather_policy_eligible")),
+        "_h": D.escalate_loss(c, p), "_a": D.lit(p.c_a), "_es": (1 - ps) * c, "_em": (1 - pe) * c, "_p": (1 - p1) * c,
+    })
+    d = d.withColumns({
+        "_es": only("_es", is_true((ps >= D.lit(p.tau0)) & (F.col("_es") <= D.lit(p.beta0)))),
+        "_em": only("_em", is_true((pe >= D.lit(p.tau0)) & (F.col("_em") <= D.lit(p.beta0)))),
+        "_g": D.lit(p.c_g) + F.least(only("_p", is_true((p1 >= D.lit(p.tau1)) & (F.col("_p") <= D.lit(p.beta1)))), F.col("_h"), F.col("_a")),
+    })
+    d = d.withColumn("_g", only("_g", F.col("_ok")))
+    d = d.withColumns({"_esg": only("_es", F.col("_valid")), "_emg": only("_em", F.col("_valid")), "_gg": only("_g", F.col("_clear")), "_none": inf})
+
+    def least(e: str, g: str) -> Column:
+        return D.least_loss([(D.EXECUTE, F.col(e)), (D.GATHER, F.col(g)), (D.ESCALATE, F.col("_h")), (D.ABSTAIN, F.col("_a"))])[0]
+
+    actions = {
+        "ARGMAX_V1": upper_text("predicted_action"),
+        "CONFIDENCE_THRESHOLD_V1": D.confidence_rule(pe),
+        "VOI_BLIND_V1": D.blind_gather(pe, p1, p, F.col("_ok")),
+        "V1_FULL": least("_em", "_g"),
+        "V2_SAFETY_NO_GATE": least("_es", "_g"),
+        "V2_GATE_MULTICLASS_EXECUTE": least("_emg", "_gg"),
+        "V2_NO_GATHER": least("_esg", "_none"),
+        "V2_FULL": least("_esg", "_gg"),
+    }
+    return d.select(*df.columns, *[a.alias(f"action__{n}") for n, a in actions.items()])
 
 
 def decisions_long(df: DataFrame, p: D.Params, keep: list[str]) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(n).alias("policy"), a.alias("action")) for n, a in D.policy_set(p, F.col("c")).items()])
-    return df.select(*keep, F.inline(rows))
+    rows = F.array(*[F.struct(F.lit(n).alias("policy"), F.col(f"action__{n}").alias("action")) for n in D.POLICIES])
+    return with_actions(df, p).select(*keep, F.inline(rows))
 
 
 def ablation_deltas(metrics: DataFrame, keys: list[str], pairs: list[tuple[str, str, str]], rates: list[str] = RATES) -> DataFrame:

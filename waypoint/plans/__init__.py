@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def all_queries():
-    from . import case_queries, curve_queries, policy_queries, population_queries, scalar_queries, selection_queries  # noqa: F401
+    from . import case_queries, curve_queries, model_queries, policy_queries, population_queries, scalar_queries, selection_queries  # noqa: F401
     from .registry import BUILDS, SQL
 
     return dict(BUILDS), dict(SQL)

@@ -124,7 +124,7 @@ def _(spark, sf):
 
 @query("d08_d13_eight_policies_wide", f"{WIDE} SELECT case_id, mode, {', '.join('action__' + n for n in ACT)} FROM dw")
 def _(spark, sf):
-    return PO.decisions_wide(moded(spark, sf), PAR).select("case_id", "mode", *[f"action__{n}" for n in D.POLICIES])
+    return PO.with_actions(moded(spark, sf), PAR).select("case_id", "mode", *[f"action__{n}" for n in D.POLICIES])
 
 
 @query("d17_d19_loss_conventions", f"""{LONG} SELECT policy, mode, {rs(f"avg({LOSS_A})")} AS loss_a, {rs(f"avg({LOSS_B})")} AS loss_b, {rs(f"avg({LOSS_C})")} AS loss_c, count(*) FILTER (WHERE {LOSS_C} IS NULL) AS unknown FROM dl GROUP BY 1, 2""")

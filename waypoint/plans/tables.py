@@ -133,16 +133,15 @@ def value_cases(spark: SparkSession, sf: str) -> DataFrame:
         return (F.sum(c.cast("bigint")) if kind == "n" else F.max(c)).alias(name)
 
     received = F.expr("l_shipdate <= o_orderdate AND l_linestatus = 'F'")
-    first = lambda c, n: F.max(c).alias(n)  # constant within an order
-    g = rows.groupBy("o_orderkey").agg(
-        first("o_custkey", "group_id"), first("o_orderdate", "decision_time"),
-        first("o_orderpriority", "item_category"), first("o_orderstatus", "status"),
-        first("o_totalprice", "po_value_initial_eur"),
+    # the order's own columns are grouping keys: the buffers stay numeric and the aggregate hashed
+    keys = {"o_custkey": "group_id", "o_orderdate": "decision_time", "o_orderpriority": "item_category",
+            "o_orderstatus": "status", "o_totalprice": "po_value_initial_eur"}
+    g = rows.groupBy("o_orderkey", *keys).agg(
         F.count("l_orderkey").alias("n_lines"), F.max("l_linenumber").alias("max_line"),
         F.round(F.sum("l_extendedprice"), 2).alias("invoice_value_t0_eur"),
         F.round(F.sum(F.when(received, F.col("l_extendedprice"))), 2).alias("latest_gr_value_before_t0_eur"),
         *[rule(*x) for x in LINE_RULES],
-    )
+    ).withColumnsRenamed(keys)
     return g.withColumns({
         "case_id": F.col("o_orderkey").cast("string"),
         "goods_receipt_required": F.col("item_category") != "5-LOW",
