@@ -50,8 +50,8 @@ def incomplete_beta(p: np.ndarray, q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def lower_tail(u: np.ndarray, n: np.ndarray, a: np.ndarray) -> np.ndarray:
     """P(X <= u) for X ~ Binomial(n, a); an empty selection counts as 1."""
     u, n, a = (np.asarray(v, dtype=float) for v in (u, n, a))
-    out = np.ones(len(u))
-    ok = (n > 0) & (u < n)
+    out = np.where(u < 0, 0.0, 1.0)
+    ok = (n > 0) & (u < n) & (u >= 0)
     if ok.any():
         out[ok] = incomplete_beta(n[ok] - u[ok], u[ok] + 1.0, 1.0 - a[ok])
     return out

@@ -127,9 +127,6 @@ class Part:
     finish: Callable[[Column], Column] = lambda c: c
 
 
-EVENT_KEY = F.struct(F.col("ts"), F.col("ord"))
-
-
 def count_where(cond: Column) -> Part:
     return Part(F.sum(is_true(cond).cast("bigint")), F.sum)
 
@@ -169,7 +166,7 @@ def last_value(cond: Column, value: str = "value") -> Part:
 
 
 def first_order(cond: Column) -> Part:
-    return Part(F.min(F.when(cond, EVENT_KEY)), F.min, lambda c: c["ord"])
+    return Part(F.min(F.when(cond, F.struct("ts", "ord"))), F.min, lambda c: c["ord"])
 
 
 def combine(salted: DataFrame, parts: dict[str, Part], keep: list[str] | None = None) -> DataFrame:

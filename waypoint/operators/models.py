@@ -100,7 +100,8 @@ def fit_features(train: DataFrame, numeric: list[str], categorical: list[str]) -
     stages = []
     if categorical:
         stages.append(StringIndexer(inputCols=[f"_c_{c}" for c in categorical], outputCols=[f"_i_{c}" for c in categorical], handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=[f"_i_{c}" for c in categorical], outputCols=[f"_o_{c}" for c in categorical], handleInvalid="keep"))
+        # the indexer's last slot holds unseen levels; dropping it encodes them as all zeros
+        stages.append(OneHotEncoder(inputCols=[f"_i_{c}" for c in categorical], outputCols=[f"_o_{c}" for c in categorical], dropLast=True))
     stages.append(VectorAssembler(inputCols=[*[f"_n_{c}" for c in numeric], *[f"_o_{c}" for c in categorical]], outputCol="features"))
     f.encoder = Pipeline(stages=stages).fit(f.plain(train))
     return f
