@@ -114,7 +114,9 @@ def logistic(rows: int, strength: float = 1.0, max_iter: int = 500, tol: float =
 
 def boosted(rounds: int = 180, rate: float = 0.05, bins: int = 255) -> GBTClassifier:
     est = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, stepSize=rate, maxBins=bins, minInstancesPerNode=30, predictionCol="_pred", seed=1)
-    return est.set(est.rawPredictionCol, "_raw").set(est.probabilityCol, "_prob")
+    est.set(est.rawPredictionCol, "_raw")
+    est.set(est.probabilityCol, "_prob")
+    return est
 
 
 def probabilities(model: Model, df: DataFrame, names: list[str]) -> DataFrame:

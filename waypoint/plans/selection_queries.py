@@ -20,21 +20,23 @@ from .scalar_queries import GATED, TRAIN_REF, gated, train_refs
 from .tables import BASE, episodes
 
 SEEDS = ["20261004", "20261024", "20261025", "20261026"]
-CAPS = [0.02, 0.05, 0.10, 0.30]
+CAPS = [0.02, 0.10, 0.30, 0.60]
+BT = [0.05, 0.06, 0.07, 0.08, 0.09, 0.10]
 
 
 def tail_sql(u: str, n: str, a: str) -> str:
     return (f"CASE WHEN {n} = 0 THEN 1.0 ELSE list_sum(list_transform(generate_series(0, {u}), lambda k: exp(lgamma({n} + 1) - lgamma(k + 1) - lgamma({n} - k + 1) + k * ln({a}) + ({n} - k) * ln(1 - {a})))) END")
 
 
-CAL = f"""{RL}, cal0 AS (SELECT case_id, group_id, part, s, gate = 'VALID' AS g, u, c, regime FROM rb),
+CAL = f"""{RL}, cal0 AS (SELECT case_id, group_id, part, s, complete AS g, u, c, regime FROM rb),
 cal AS (SELECT *, (('0x' || substr(sha256('20261004' || case_id), 1, 8))::BIGINT % 2)::INT AS half FROM cal0 WHERE part = 'calibration'),
 sd AS (SELECT cal0.*, seed, (('0x' || substr(sha256(seed || case_id), 1, 8))::BIGINT % 2)::INT AS half FROM cal0, (SELECT unnest({SEEDS}) AS seed) WHERE part = 'calibration'),
 caps AS (SELECT unnest({CAPS})::DOUBLE AS cap)"""
 
 
 def calibration(spark, sf):
-    d = ruled(spark, sf).withColumn("g", F.col("gate") == "VALID")
+    # complete evidence stands in for the gate here: few of these cases are VALID
+    d = ruled(spark, sf).withColumn("g", F.col("complete"))
     return d.select("case_id", "group_id", "part", "s", "g", "u", "c", "regime")
 
 
@@ -66,13 +68,13 @@ def _(spark, sf):
 
 
 NODES = f"""nd AS (SELECT seed, tau, beta, count(*) FILTER (WHERE g AND s >= tau AND (1 - s) * c <= least(beta, 0.1)) AS n, count(*) FILTER (WHERE u AND g AND s >= tau AND (1 - s) * c <= least(beta, 0.1)) AS u
- FROM sd, (SELECT unnest({Z.TAUS})::DOUBLE AS tau), (SELECT unnest({Z.BETAS})::DOUBLE AS beta) WHERE half = 1 GROUP BY 1, 2, 3), nt AS (SELECT nd.*, cap, {tail_sql('u', 'n', 'cap')} AS pv FROM nd, caps)"""
+ FROM sd, (SELECT unnest({Z.TAUS})::DOUBLE AS tau), (SELECT unnest({BT})::DOUBLE AS beta) WHERE half = 1 GROUP BY 1, 2, 3), nt AS (SELECT nd.*, cap, {tail_sql('u', 'n', 'cap')} AS pv FROM nd, caps)"""
 NBEST = "row_number() OVER (PARTITION BY seed, cap ORDER BY n DESC, tau, beta) AS k"
 
 
 @query("r04_empirical_selection", f"{CAL}, {NODES} SELECT seed, cap, tau, beta, n, u FROM (SELECT *, {NBEST} FROM nt WHERE n > 0 AND u / n <= cap) WHERE k = 1")
 def _(spark, sf):
-    return Z.empirical_selection(Z.node_counts(halves(spark, sf).where("half = 1"), ["seed"]), CAPS, ["seed"])
+    return Z.empirical_selection(Z.node_counts(halves(spark, sf).where("half = 1"), ["seed"], betas=BT), CAPS, ["seed"])
 
 
 GRAPH = f"{NODES}, gp AS (SELECT *, min((n > 0 AND pv <= 0.05 / 8)::INT) OVER (PARTITION BY seed, cap, tau ORDER BY beta ROWS UNBOUNDED PRECEDING) AS pass FROM nt), gb AS (SELECT * FROM (SELECT *, {NBEST} FROM gp WHERE pass = 1) WHERE k = 1)"
@@ -80,19 +82,19 @@ GRAPH = f"{NODES}, gp AS (SELECT *, min((n > 0 AND pv <= 0.05 / 8)::INT) OVER (P
 
 @query("r07_w10_graph_selection", f"{CAL}, {GRAPH} SELECT seed, cap, tau, beta, n, u FROM gb")
 def _(spark, sf):
-    return Z.graph_selection(Z.node_counts(halves(spark, sf).where("half = 1"), ["seed"]), CAPS, ["seed"])
+    return Z.graph_selection(Z.node_counts(halves(spark, sf).where("half = 1"), ["seed"], betas=BT), CAPS, ["seed"])
 
 
 @query("r09_bonferroni_families", f"{CAL}, {NODES} SELECT seed, cap, tau, beta, n, u FROM (SELECT *, {NBEST} FROM nt WHERE n > 0 AND pv <= 0.05 / 48) WHERE k = 1")
 def _(spark, sf):
-    return Z.bonferroni_selection(Z.node_counts(halves(spark, sf).where("half = 1"), ["seed"]), CAPS, ["seed"], 48)
+    return Z.bonferroni_selection(Z.node_counts(halves(spark, sf).where("half = 1"), ["seed"], betas=BT), CAPS, ["seed"], 48)
 
 
 @query("r11_apply_to_test", f"""{CAL}, {GRAPH}, te AS (SELECT * FROM cal0 WHERE part = 'test'), tx AS (SELECT sx.seed, caps.cap, te.*, coalesce(te.g AND te.s >= gb.tau AND (1 - te.s) * te.c <= least(gb.beta, 0.1), false) AS ex FROM te, (SELECT unnest({SEEDS}) AS seed) sx, caps LEFT JOIN gb ON gb.seed = sx.seed AND gb.cap = caps.cap)
 SELECT seed, cap, count(*) AS cases, count(*) FILTER (WHERE ex) AS executed, count(*) FILTER (WHERE ex AND u) AS unsafe, {rs('avg(ex::INT)')} AS coverage, {rs('avg(CASE WHEN ex THEN u::INT * c ELSE 0.1 END)')} AS mean_loss FROM tx GROUP BY 1, 2""")
 def _(spark, sf):
     cal = calibration(spark, sf)
-    picked = Z.graph_selection(Z.node_counts(Z.by_seed(cal.where("part = 'calibration'"), "case_id", SEEDS).where("half = 1"), ["seed"]), CAPS, ["seed"])
+    picked = Z.graph_selection(Z.node_counts(Z.by_seed(cal.where("part = 'calibration'"), "case_id", SEEDS).where("half = 1"), ["seed"], betas=BT), CAPS, ["seed"])
     test = cal.where("part = 'test'").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS])))
     return rounded(Z.apply_choice(test, picked, ["seed"], CAPS))
 
@@ -141,7 +143,7 @@ def _(spark, sf):
 rp AS (SELECT seed, cap, avg(ex::INT) AS coverage, seed || cap::VARCHAR IN (SELECT seed || cap::VARCHAR FROM gb) AS certified FROM tx GROUP BY 1, 2) SELECT cap, count(*) AS repetitions, {rs('avg(certified::INT)')} AS certification_fraction, {rs('quantile_cont(coverage, 0.5)')} AS coverage_median, {rs('min(coverage)')} AS coverage_min, {rs('max(coverage)')} AS coverage_max FROM rp GROUP BY 1""")
 def _(spark, sf):
     cal = calibration(spark, sf)
-    picked = Z.graph_selection(Z.node_counts(Z.by_seed(cal.where("part = 'calibration'"), "case_id", SEEDS).where("half = 1"), ["seed"]), CAPS, ["seed"])
+    picked = Z.graph_selection(Z.node_counts(Z.by_seed(cal.where("part = 'calibration'"), "case_id", SEEDS).where("half = 1"), ["seed"], betas=BT), CAPS, ["seed"])
     from ..session import materialize
 
     picked = materialize(picked)
@@ -182,7 +184,7 @@ def _(spark, sf):
 pd AS (SELECT j, c AS cp, row_number() OVER (PARTITION BY j ORDER BY sha256(j || case_id), case_id) AS k FROM cal0, (SELECT unnest(['perm0:', 'perm1:']) AS j) WHERE part = 'calibration'),
 pm AS (SELECT ps.j, ps.case_id, pd.cp FROM ps JOIN pd USING (j, k) UNION ALL SELECT 'actual', case_id, c FROM cal0 WHERE part = 'calibration'),
 pn AS (SELECT pm.j AS permutation, seed, tau, beta, count(*) FILTER (WHERE g AND s >= tau AND (1 - s) * cp <= least(beta, 0.1)) AS n, count(*) FILTER (WHERE u AND g AND s >= tau AND (1 - s) * cp <= least(beta, 0.1)) AS u
- FROM sd JOIN pm USING (case_id), (SELECT unnest({Z.TAUS})::DOUBLE AS tau), (SELECT unnest({Z.BETAS})::DOUBLE AS beta) WHERE half = 1 GROUP BY 1, 2, 3, 4),
+ FROM sd JOIN pm USING (case_id), (SELECT unnest({Z.TAUS})::DOUBLE AS tau), (SELECT unnest({BT})::DOUBLE AS beta) WHERE half = 1 GROUP BY 1, 2, 3, 4),
 pv AS (SELECT pn.*, cap, {tail_sql('u', 'n', 'cap')} AS pv FROM pn, caps), pg AS (SELECT *, min((n > 0 AND pv <= 0.05 / 8)::INT) OVER (PARTITION BY permutation, seed, cap, tau ORDER BY beta ROWS UNBOUNDED PRECEDING) AS pass FROM pv)
 SELECT permutation, cap, count(DISTINCT seed) FILTER (WHERE pass = 1) AS certifications FROM pg GROUP BY 1, 2""")
 def _(spark, sf):
@@ -192,7 +194,7 @@ def _(spark, sf):
         arms = arms.unionByName(Z.permuted(cal, "case_id", "c", seed, "cp").withColumn("permutation", F.lit(seed)))
     d = Z.by_seed(arms.drop("c").withColumnRenamed("cp", "c"), "case_id", SEEDS).where("half = 1")
     by = ["permutation", "seed"]
-    t = Z.tested(Z.node_counts(d, by), CAPS)
+    t = Z.tested(Z.node_counts(d, by, betas=BT), CAPS)
     kept = Z.stop_at_first_failure(t, [*by, "cap", "tau"], "bj", (F.col("n") > 0) & (F.col("p_value") <= 0.05 / 8))
     hit = kept.select("permutation", "cap", "seed").distinct().groupBy("permutation", "cap").agg(F.count("*").alias("certifications"))
     return t.select("permutation", "cap").distinct().join(hit, ["permutation", "cap"], "left").fillna(0, ["certifications"])
