@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import AMBIGUOUS, SAFE, UNSAFE, is_true
-from .ordered import count_if, null_safe, percentiles
+from .ordered import count_if, percentiles, with_totals
 
 
 def unpivot_flags(df: DataFrame, flags: list[str], keep: list[str] | None = None, name: str = "signal", value: str = "on") -> DataFrame:
@@ -71,8 +71,8 @@ def resolved_summary(df: DataFrame, label: str) -> DataFrame:
 def counts_with_share(df: DataFrame, keys: list[str], within: list[str] | None = None, name: str = "n") -> DataFrame:
     """Counts and percent of all rows, or of the rows sharing ``within``. Null groups stay."""
     counts = df.groupBy(*keys).agg(F.count("*").alias(name))
-    total = F.sum(name).over(Window.partitionBy(*(within or [])))
-    return counts.withColumn("pct", F.col(name) / total * 100)
+    totals = with_totals(counts, within or [], {"_total": F.sum(name)})
+    return totals.select(*keys, name, (F.col(name) / F.col("_total") * 100).alias("pct"))
 
 
 def numeric_summary(df: DataFrame, value: str, by: list[str], probs: dict[str, float], stats: list[str]) -> DataFrame:

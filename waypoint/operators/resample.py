@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
 from .metrics import TERMS, ratios
+from .ordered import scalars
 
 PRIME = 2_147_483_647
 BLOCK = 256
@@ -128,7 +129,9 @@ def mean_interval(df: DataFrame, cluster: str, value: Column, reps: int, seed: s
     r = replicate_sums(per, cluster, ["x", "n"], reps, seed, by).withColumn("value", F.try_divide(F.col("x"), F.col("n")))
     i = intervals(r, ["value"], by).drop("metric", "mean", "se")
     point = per.groupBy(*by).agg(F.count("*").alias("clusters"), (F.sum("x") / F.sum("n")).alias("estimate"))
-    return i.join(point, by) if by else i.join(F.broadcast(point))
+    if by:
+        return i.join(point, by)
+    return i.withColumn("_p", scalars(point)).select(*i.columns, "_p.clusters", "_p.estimate")
 
 
 def rate_difference(df: DataFrame, cluster: str, selected: Column, high: Column, unsafe: Column, reps: int, seed: str) -> DataFrame:
@@ -222,4 +225,5 @@ def paired_auroc(df: DataFrame, cluster: str, a: str, b: str, positive: str, rep
     y = auroc_replicates(df, cluster, b, positive, reps, seed).withColumnRenamed("auroc", "b")
     j = materialize(x.join(y, "rep").withColumn("delta", F.col("b") - F.col("a")))
     point = j.where("rep = -1").select("a", "b", F.col("delta").alias("estimate"))
-    return paired_intervals(j.where("rep >= 0"), []).join(F.broadcast(point))
+    i = paired_intervals(j.where("rep >= 0"), [])
+    return i.withColumn("_p", scalars(point)).select(*i.columns, "_p.a", "_p.b", "_p.estimate")
