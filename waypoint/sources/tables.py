@@ -11,15 +11,10 @@ from pyspark.sql.types import StructType
 from ..functions.scalars import require_columns
 
 
-CALL_SITES = "spark.python.sql.dataFrameDebugging.enabled"
-
-
 def utc(spark: SparkSession) -> SparkSession:
-    """Times are read as UTC; call-site capture, slow for wide expressions, is off unless asked for."""
+    """Times are read as UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    if spark.conf.get(CALL_SITES, None) is None:
-        spark.conf.set(CALL_SITES, "false")
     return spark
 
 
