@@ -7,10 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, pii, secrets, shards
+from . import bpe, exact_dedup, pii, quality, secrets, shards
 from .common import table
 
 SHARDS = 8
+TOKENIZER = "byte_bpe_50k.tiktoken"
+
+
+def tokenizer() -> tuple[str, str]:
+    """Path of the rank file and the pattern that goes with it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.tokenize(docs, *tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +49,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_bpe": op2_bpe,
     "op3_sharding": op3_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_pii": op8_pii,
