@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, pii, quality, secrets, shards
+from . import bpe, exact_dedup, near_dedup, pii, quality, secrets, shards
 from .common import table
 
 SHARDS = 8
@@ -44,6 +44,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_pii": op8_pii,
+    "op9_near_dedup": op9_near_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
 SQL: dict[str, str] = {}
