@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, near_dedup, pii, quality, secrets, shards
+from . import bpe, decontam, exact_dedup, near_dedup, pii, quality, secrets, shards, url_filter
 from .common import table
 
 SHARDS = 8
@@ -35,11 +35,21 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select(F.col("key").alias("doc_id"), "item_id", F.round("score", 6).alias("score"), "end_word")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
     return rows.select(F.col("key").alias("doc_id"), F.col("keep").alias("keep_id"), "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = url_filter.judge(table(spark, sf_dir, "pages"))
+    return rows.select(F.col("key").alias("page_id"), "host", "path", "rule", "verdict", F.round("score", 9).alias("score"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -56,7 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_sharding": op3_sharding,
+    "op4_decontamination": op4_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_url_filter": op7_url_filter,
     "op8_pii": op8_pii,
     "op9_near_dedup": op9_near_dedup,
     "op10_secret_scan": op10_secret_scan,
