@@ -43,6 +43,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rank file of the default tokenizer.
+TOKENIZER = "byte_bpe_50k.tiktoken"
+
+
+def tokenizer() -> tuple[str, str]:
+    """Path of the rank file and the pattern that goes with it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, also when the body is a loop."""
     return F.transform(F.array(value), body)[0]

@@ -182,6 +182,22 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
     return docs.select(*rest, F.col(text).cast("binary").alias(text)).mapInArrow(work, schema)
 
 
+def accepted(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
+    """The rows that the model accepts, all columns: scored and filtered in one pass, nothing is moved."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    small_batches(spark)
+    model = spark.sparkContext.broadcast(weights.astype(np.float32))
+    place = docs.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [_sigmoid(dot(features((t.as_py() or "").encode()), model.value)) >= THRESHOLD for t in b.column(place)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     rows = score(docs.select("doc_id", "text"), train(docs, labels))

@@ -7,18 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, near_dedup, pii, quality, secrets, shards, url_filter
-from .common import table
+import corpus_pipeline
 
-SHARDS = 8
-TOKENIZER = "byte_bpe_50k.tiktoken"
-
-
-def tokenizer() -> tuple[str, str]:
-    """Path of the rank file and the pattern that goes with it."""
-    import public_tokenizers
+from . import bpe, chat, decontam, exact_dedup, near_dedup, pii, quality, secrets, shards, url_filter
+from .common import table, tokenizer
 
-    return public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
+SHARDS = 8
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +39,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), F.col("keep").alias("keep_id"), "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = url_filter.judge(table(spark, sf_dir, "pages"))
     return rows.select(F.col("key").alias("page_id"), "host", "path", "rule", "verdict", F.round("score", 9).alias("score"))
@@ -68,9 +66,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_chat_format": op6_chat_format,
     "op7_url_filter": op7_url_filter,
     "op8_pii": op8_pii,
     "op9_near_dedup": op9_near_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {}
