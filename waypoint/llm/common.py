@@ -77,22 +77,23 @@ def _slot(keys: list[Column], bits: int) -> Column:
 
 
 def bitmap(df: DataFrame, keys: list[str], bits: int = BITS) -> DataFrame:
-    slot = _slot([F.col(k) for k in keys], bits)
-    return (
-        df.select(slot.alias("_s"))
-        .select(F.shiftright("_s", 6).cast("int").alias("_word"), F.expr("shiftleft(1L, cast(_s % 64 as int))").alias("_bit"))
-        .groupBy("_word")
-        .agg(F.bit_or("_bit").alias("_mask"))
-    )
+    """(word, mask) rows of the keys' hashes; equal hashes are merged before the shuffle."""
+    slots = df.select(_slot([F.col(k) for k in keys], bits).alias("slot"))
+    marks = slots.select(F.shiftright("slot", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"))
+    return marks.groupBy("word").agg(F.bit_or("bit").alias("mask"))
 
 
-def mark_maybe(df: DataFrame, keys: list[str], words: DataFrame, name: str, bits: int = BITS) -> DataFrame:
+#: Working columns of the lookup; no input should use these names.
+SLOT, WORD, MASK, MAYBE = "_waypoint_slot", "_waypoint_word", "_waypoint_mask", "_waypoint_maybe"
+
+
+def mark_maybe(df: DataFrame, keys: list[str], words: DataFrame, name: str = MAYBE, bits: int = BITS) -> DataFrame:
     """Adds the boolean column ``name``: false where the key is surely not in the bitmap."""
-    slot = _slot([F.col(k) for k in keys], bits)
-    marked = df.withColumn("_s", slot).withColumn("_word", F.shiftright("_s", 6).cast("int"))
-    joined = marked.join(F.broadcast(words), "_word", "left")
-    hit = F.expr("coalesce(_mask, 0L) & shiftleft(1L, cast(_s % 64 as int))") != 0
-    return joined.withColumn(name, hit).drop("_s", "_word", "_mask")
+    marked = df.withColumn(SLOT, _slot([F.col(k) for k in keys], bits)).withColumn(WORD, F.shiftright(SLOT, 6).cast("int"))
+    # at most 2^(bits-6) rows of 12 bytes, so the broadcast has a fixed bound
+    joined = marked.join(F.broadcast(words.select(F.col("word").alias(WORD), F.col("mask").alias(MASK))), WORD, "left")
+    hit = F.expr(f"coalesce({MASK}, 0L) & shiftleft(1L, cast({SLOT} % 64 as int))") != 0
+    return joined.withColumn(name, hit).drop(SLOT, WORD, MASK)
 
 
 def drop_keys(df: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
@@ -101,15 +102,13 @@ def drop_keys(df: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
     Rows that the bitmap clears never move; only the others are shuffled for
     the exact anti-join.
     """
-    words = stage(bitmap(dropped, [key]), "dropped-bits")
-    marked = mark_maybe(df, [key], words, "_maybe")
-    clear = marked.where(~F.col("_maybe")).drop("_maybe")
-    rest = marked.where("_maybe").drop("_maybe").join(dropped.select(key).distinct(), key, "left_anti")
-    return clear.unionByName(rest.select(*clear.columns))
+    marked = mark_maybe(df, [key], stage(bitmap(dropped, [key]), "dropped-bits"))
+    clear = marked.where(~F.col(MAYBE)).select(*df.columns)
+    rest = marked.where(F.col(MAYBE)).select(*df.columns).join(dropped.select(key).distinct(), key, "left_anti")
+    return clear.unionByName(rest.select(*df.columns))
 
 
 def keep_keys(df: DataFrame, key: str, kept: DataFrame) -> DataFrame:
     """Rows of ``df`` whose key is among ``kept``; rows that the bitmap clears are not moved."""
-    words = stage(bitmap(kept, [key]), "kept-bits")
-    marked = mark_maybe(df, [key], words, "_maybe")
-    return marked.where("_maybe").drop("_maybe").join(kept.select(key).distinct(), key, "left_semi")
+    marked = mark_maybe(df, [key], stage(bitmap(kept, [key]), "kept-bits"))
+    return marked.where(F.col(MAYBE)).select(*df.columns).join(kept.select(key).distinct(), key, "left_semi").select(*df.columns)

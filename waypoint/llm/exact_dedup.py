@@ -102,7 +102,7 @@ def settle(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
     norm = F.sha2(normal_text(F.col(text)), 256)
     columns = docs.columns
-    rows = docs.withColumn("_digest", norm).withColumn("_n", F.length(F.coalesce(F.col(text), F.lit(""))))
-    best = rows.groupBy("_digest").agg(F.min(F.struct(-F.col("_n"), F.col(key).isNull(), F.col(key))).alias("_best"))
-    same = (F.struct(-F.col("_n"), F.col(key).isNull(), F.col(key))).eqNullSafe(F.col("_best"))
-    return rows.join(best, "_digest").where(same).dropDuplicates(["_digest"]).select(*columns)
+    rows = docs.withColumn("_waypoint_digest", norm).withColumn("_waypoint_n", F.length(F.coalesce(F.col(text), F.lit(""))))
+    best = rows.groupBy("_waypoint_digest").agg(F.min(F.struct(-F.col("_waypoint_n"), F.col(key).isNull(), F.col(key))).alias("_waypoint_best"))
+    same = (F.struct(-F.col("_waypoint_n"), F.col(key).isNull(), F.col(key))).eqNullSafe(F.col("_waypoint_best"))
+    return rows.join(best, "_waypoint_digest").where(same).dropDuplicates(["_waypoint_digest"]).select(*columns)
