@@ -6,7 +6,9 @@ judges or whose host holds a listed word; each order is smoothed by the one
 below it in proportion to the number of different characters seen after the
 context (Witten-Bell), so long contexts speak only where they were seen. The
 difference of the two log-likelihoods over the URL's length is compared with a
-threshold calibrated on judged URLs that did not train.
+threshold calibrated on judged URLs that did not train. The models read the
+host without its top-level label, the path and what follows: the label is what
+rules decide by, and one that only rejected URLs have would speak against all.
 
 Counts live in hashed tables of fixed size, so the models can be broadcast
 however many URLs there are; the counting itself is a grouped sum.
@@ -40,6 +42,8 @@ CONTEXT_BITS, PAIR_BITS = 18, 20
 #: One URL in so many calibrates the threshold and does not train.
 HOLD = 5
 BIN = 0.01
+#: Share of the accepted URLs that the calibrated threshold has to keep.
+KEEP = 0.98
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PAD = 2
 
@@ -52,6 +56,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.when(known, F.regexp_extract(url, pattern, 2)).otherwise("")
 
 
+def model_text(url: Column, host: Column) -> Column:
+    """What the models read of a URL."""
+    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(.*)$", 1)
+    return F.when(F.contains(url, F.lit("://")), F.concat(F.regexp_replace(host, r"\.[^.]*$", ""), rest)).otherwise(F.coalesce(url, F.lit("")))
+
+
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) -> tuple[Column, Column]:
     """The longest rule that fits and its verdict, or nulls. A rule list is short: one test each."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -137,7 +147,10 @@ def train(judged: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 
 def threshold(scored: DataFrame) -> float:
-    """Where the mean of both kinds' hit rates is highest on (score, label), from a histogram; the middle of ties."""
+    """The cut that blocks most rejected URLs among those that keep the share KEEP of the accepted ones.
+
+    From (score, label) by a histogram; the middle of equally good cuts.
+    """
     edge = F.floor(F.col("score") / BIN).cast("long")
     bins = scored.where("label is not null").groupBy(edge.alias("bin")).agg(F.sum("label").alias("good"), F.count("*").alias("all")).toPandas().sort_values("bin")
     good, bad = bins["good"].to_numpy(float), (bins["all"] - bins["good"]).to_numpy(float)
@@ -146,7 +159,8 @@ def threshold(scored: DataFrame) -> float:
     kept = 1 - np.concatenate([[0], np.cumsum(good)]) / good.sum()
     blocked = np.concatenate([[0], np.cumsum(bad)]) / bad.sum()
     edges = np.append(bins["bin"].to_numpy(float), bins["bin"].iloc[-1] + 1) * BIN
-    best = np.flatnonzero(kept + blocked >= (kept + blocked).max() - 1e-12)
+    worth = np.where(kept >= KEEP, kept + blocked, -1.0)
+    best = np.flatnonzero(worth >= worth.max() - 1e-12)
     return float((edges[best[0]] + edges[best[-1]]) / 2)
 
 
@@ -162,7 +176,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, words: list[st
     listed = F.col("host").rlike("(?:^|[.-])(?:" + "|".join(words) + ")") if words else F.lit(False)
     label = F.when(F.col("says") == "allow", 1).when((F.col("says") == "block") | listed, 0)
     rows = rows.withColumn("rule", rule).withColumn("says", says).withColumn("label", label.cast("int"))
-    rows = rows.withColumn("held", F.pmod(F.xxhash64("url"), F.lit(HOLD)) == 0).withColumn("body", F.col("url").cast("binary"))
+    rows = rows.withColumn("held", F.pmod(F.xxhash64("url"), F.lit(HOLD)) == 0).withColumn("body", model_text(F.col("url"), F.col("host")).cast("binary"))
     models = train(rows.where("label is not null and not held").select("body", "label"))
     columns = ["key", "host", "path", "rule", "says", "label", "held"]
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*columns).dtypes) + ", score double"
