@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_true
-from .ordered import count_if, percentiles, prefix, prefix_by_value, with_totals
+from .ordered import count_if, percentiles, prefix, prefix_by_value, small
 
 
 def risk_curve(df: DataFrame, score: str, unique: str, unsafe: str, value: str, by: list[str]) -> DataFrame:
@@ -14,8 +14,7 @@ def risk_curve(df: DataFrame, score: str, unique: str, unsafe: str, value: str,
     rows = df.select(*by, unique, F.col(score).alias("threshold"), is_true(F.col(unsafe)).cast("bigint").alias("u"),
                      F.coalesce(F.abs(value), F.lit(0.0)).alias("v"))
     rows = rows.withColumn("uv", F.col("u") * F.col("v"))
-    c = prefix(rows, [F.col("threshold").desc_nulls_last(), F.col(unique)], by=by, sums=["u", "v", "uv"])
-    c = with_totals(c, by, {"n_cases": F.max("rank")})
+    c = prefix(rows, [F.col("threshold").desc_nulls_last(), F.col(unique)], by=by, sums=["u", "v", "uv"], totals={"n_cases": None})
     return c.withColumns({
         "coverage": F.col("rank") / F.col("n_cases"),
         "unsafe_rate": F.col("cum_u") / F.col("rank"),
@@ -71,13 +70,12 @@ def score_points(df: DataFrame, score: str, positive: Column, by: list[str], wei
     w = F.lit(1) if weight is None else weight
     pos = is_true(positive)
     rows = df.where(F.col(score).isNotNull()).select(*by, F.col(score).alias("score"), F.when(pos, w).otherwise(0).alias("pos"), F.when(~pos, w).otherwise(0).alias("neg"))
-    return prefix_by_value(rows, "score", ["pos", "neg"], by)
+    return prefix_by_value(rows, "score", ["pos", "neg"], by, totals={"all_pos": "pos", "all_neg": "neg"})
 
 
 def roc_pr_points(points: DataFrame, by: list[str]) -> DataFrame:
-    t = with_totals(points, by, {"p": F.sum("pos"), "n": F.sum("neg")})
-    return t.select(*by, F.col("score").alias("threshold"), F.try_divide(F.col("cum_pos").cast("double"), F.col("p").cast("double")).alias("tpr"),
-                    F.try_divide(F.col("cum_neg").cast("double"), F.col("n").cast("double")).alias("fpr"),
+    return points.select(*by, F.col("score").alias("threshold"), F.try_divide(F.col("cum_pos").cast("double"), F.col("all_pos").cast("double")).alias("tpr"),
+                    F.try_divide(F.col("cum_neg").cast("double"), F.col("all_neg").cast("double")).alias("fpr"),
                     (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"))
 
 
@@ -94,8 +92,7 @@ def discrimination(points: DataFrame, by: list[str]) -> DataFrame:
 def ks_distance(df: DataFrame, value: str, group_a: Column, group_b: Column, by: list[str]) -> DataFrame:
     """Largest gap between the two groups' cumulative shares."""
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("x"), is_true(group_a).cast("bigint").alias("a"), is_true(group_b).cast("bigint").alias("b"))
-    c = prefix_by_value(rows.where((F.col("a") + F.col("b")) > 0), "x", ["a", "b"], by, descending=False)
-    c = with_totals(c, by, {"ta": F.sum("a"), "tb": F.sum("b")})
+    c = prefix_by_value(rows.where((F.col("a") + F.col("b")) > 0), "x", ["a", "b"], by, descending=False, totals={"ta": "a", "tb": "b"})
     gap = F.abs(F.try_divide(F.col("cum_a").cast("double"), F.col("ta").cast("double")) - F.try_divide(F.col("cum_b").cast("double"), F.col("tb").cast("double")))
     return c.groupBy(*by).agg(F.max(gap).alias("ks"))
 
@@ -115,15 +112,14 @@ def mean_difference(df: DataFrame, value: str, group_a: Column, group_b: Column,
 def quantile_overlap(df: DataFrame, value: str, inner: Column, outer: Column, by: list[str]) -> DataFrame:
     """Share of the inner group inside the outer group's p05-p95 and p01-p99 ranges."""
     q = percentiles(df.where(is_true(outer)), value, {"p01": 0.01, "p05": 0.05, "p95": 0.95, "p99": 0.99}, by)
-    x = F.col(value)
+    q, x = small(q), F.col(value)
     rows = df.where(is_true(inner) & x.isNotNull()).join(q, by, "left")
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(x.between(F.col("p05"), F.col("p95")).cast("int")).alias("inside_p05_p95"),
                                  F.avg(x.between(F.col("p01"), F.col("p99")).cast("int")).alias("inside_p01_p99"))
 
 
 def _average_rank(pairs: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    p = prefix_by_value(pairs.select(*by, value, F.col("w")), value, ["w"], by, descending=False)
-    p = with_totals(p, by, {"_n": F.sum("w")})
+    p = prefix_by_value(pairs.select(*by, value, F.col("w")), value, ["w"], by, descending=False, totals={"_n": "w"})
     return p.select(*by, value, ((F.col("cum_w") - (F.col("w") - 1) / 2) / F.col("_n")).alias(name))
 
 

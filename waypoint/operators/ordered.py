@@ -2,8 +2,10 @@
 
 ``prefix`` range-partitions on the full order (ties end on a unique column, so a
 value held by a third of the rows is still spread), writes the sorted rows once,
-and adds each partition's starting offset. The offset table has at most one row
-per partition and group.
+and adds each partition's starting offset. A row's place in its partition is
+part of the written row, so ranks need no window; running sums need one, over
+(group, partition). The offset table has one row per partition and group at
+most; it is written and counted first and broadcast only up to SMALL_ROWS rows.
 """
 
 from __future__ import annotations
@@ -26,42 +28,55 @@ def scalars(one_row: DataFrame) -> Column:
     return one_row.select(F.struct(*one_row.columns)).scalar()
 
 
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The written rows, with a broadcast hint when their counted number allows it."""
+    kept = materialize(df)
+    return F.broadcast(kept) if kept.count() <= SMALL_ROWS else kept
+
+
 def prefix(
     df: DataFrame,
     order: list[Column],
     by: list[str] | None = None,
     sums: list[str] | None = None,
     rank: str = "rank",
+    totals: dict[str, str | None] | None = None,
 ) -> DataFrame:
-    """Adds ``rank`` (1-based) and ``cum_<x>`` (inclusive) within each group."""
-    by, sums = by or [], sums or []
+    """Adds ``rank`` (1-based) and ``cum_<x>`` (inclusive) within each group.
+
+    ``totals`` adds group totals on every row: name -> one of ``sums``, or None
+    for the number of rows. They come from the offset table, not from the rows.
+    """
+    by, sums, totals = by or [], sums or [], totals or {}
     ordered = df.orderBy(*[F.col(b).asc_nulls_first() for b in by], *order)
     placed = materialize(ordered.withColumn("_seq", F.monotonically_increasing_id()))
-    placed = placed.withColumn("_part", F.shiftright("_seq", 33))
+    placed = placed.withColumn("_part", F.shiftright("_seq", 33)).withColumn("_row", F.col("_seq") % (1 << 33))
 
     keys = [*by, "_part"]
-    totals = placed.groupBy(*keys).agg(
-        F.count("*").alias("_n"), *[F.sum(s).alias(f"_t_{s}") for s in sums]
+    per_part = placed.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.min("_row").alias("_first"), *[F.sum(s).alias(f"_t_{s}") for s in sums]
     )
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    start = totals.select(
-        *keys,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = per_part.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
         *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_b_{s}") for s in sums],
+        *[F.sum("_n" if s is None else f"_t_{s}").over(group).alias(f"_a_{name}") for name, s in totals.items()],
     )
-    local = Window.partitionBy(*keys).orderBy("_seq")
-    run = local.rowsBetween(Window.unboundedPreceding, 0)
-    inside = placed.select(
-        "*",
-        F.row_number().over(local).alias("_r"),
-        *[F.sum(s).over(run).alias(f"_c_{s}") for s in sums],
-    )
-    start = start.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_n0", *[f"_b_{s}" for s in sums])
-    match = reduce(lambda a, b: a & b, [inside[k].eqNullSafe(start[f"_k_{k}"]) for k in keys])
-    return inside.join(start, match).select(
+    if sums:
+        run = Window.partitionBy(*keys).orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
+        placed = placed.select("*", *[F.sum(s).over(run).alias(f"_c_{s}") for s in sums])
+    start = small(start)
+    match = reduce(lambda a, b: a & b, [placed[k].eqNullSafe(start[f"_k_{k}"]) for k in by], placed["_part"] == start["_k__part"])
+    return placed.join(start, match).select(
         *df.columns,
-        (F.col("_n0") + F.col("_r")).cast("bigint").alias(rank),
+        (F.col("_row") + F.col("_shift")).cast("bigint").alias(rank),
         *[(F.col(f"_b_{s}") + F.coalesce(F.col(f"_c_{s}"), F.lit(0))).alias(f"cum_{s}") for s in sums],
+        *[F.col(f"_a_{name}").alias(name) for name in totals],
     )
 
 
@@ -105,14 +120,7 @@ def percentiles(
     w = F.lit(1) if weight is None else weight
     counts = df.select(*by, x.cast("double").alias("_x"), w.cast("bigint").alias("_w")).where(F.col("_x").isNotNull())
     counts = counts.groupBy(*by, "_x").agg(F.sum("_w").alias("_w"))
-    placed = prefix(counts, [F.col("_x")], by=by, sums=["_w"], rank="_rank")
-    total = placed.groupBy(*by).agg(F.max("cum__w").alias("_total"))
-    if by:
-        total = total.select(*[F.col(b).alias(f"_k_{b}") for b in by], "_total")
-        match = reduce(lambda a, b: a & b, [placed[b].eqNullSafe(total[f"_k_{b}"]) for b in by])
-        placed = placed.join(total, match)
-    else:
-        placed = placed.withColumn("_total", total.scalar())
+    placed = prefix(counts, [F.col("_x")], by=by, sums=["_w"], rank="_rank", totals={"_total": "_w"})
 
     def value_at(position: Column) -> Column:
         here = (position >= F.col("cum__w") - F.col("_w")) & (position < F.col("cum__w"))
@@ -170,12 +178,12 @@ def at_thresholds(
     )
 
 
-def prefix_by_value(df: DataFrame, value: str, sums: list[str], by: list[str] | None = None, descending: bool = True) -> DataFrame:
+def prefix_by_value(df: DataFrame, value: str, sums: list[str], by: list[str] | None = None, descending: bool = True, totals: dict[str, str | None] | None = None) -> DataFrame:
     """One row per distinct value with its own sums and running sums over values."""
     by = by or []
     per_value = df.groupBy(*by, value).agg(*[F.sum(s).alias(s) for s in sums])
     order = F.col(value).desc() if descending else F.col(value).asc()
-    return prefix(per_value, [order], by=by, sums=sums)
+    return prefix(per_value, [order], by=by, sums=sums, totals=totals)
 
 
 def count_if(c: Column) -> Column:
@@ -189,6 +197,6 @@ def with_totals(df: DataFrame, by: list[str], aggs: dict[str, Column]) -> DataFr
         packed = df.withColumn("_one", one.select(F.struct(*aggs)).scalar())
         return packed.select(*df.columns, *[F.col("_one")[n].alias(n) for n in aggs])
     t = df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()])
-    t = t.select(*[F.col(b).alias(f"_t_{b}") for b in by], *aggs)
+    t = small(t.select(*[F.col(b).alias(f"_t_{b}") for b in by], *aggs))
     match = reduce(lambda a, b: a & b, [df[b].eqNullSafe(t[f"_t_{b}"]) for b in by])
     return df.join(t, match).drop(*[f"_t_{b}" for b in by])

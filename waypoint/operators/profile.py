@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import AMBIGUOUS, SAFE, UNSAFE, is_true
-from .ordered import count_if, percentiles, with_totals
+from .ordered import count_if, percentiles, small, with_totals
 
 
 def unpivot_flags(df: DataFrame, flags: list[str], keep: list[str] | None = None, name: str = "signal", value: str = "on") -> DataFrame:
@@ -136,7 +136,7 @@ def bucket_counts(df: DataFrame, x: Column, edges: list[float], labels: list[str
 def quantile_bins(df: DataFrame, value: str, by: list[str], probs: list[float]) -> DataFrame:
     """Right-closed bins at the group's own quantiles; the lowest value is included."""
     names = {f"_q{i}": p for i, p in enumerate(probs)}
-    p = percentiles(df, value, names, by)
+    p = small(percentiles(df, value, names, by))
     j = df.join(p, by, "left")
     out = F.when(F.col(value) <= F.col("_q0"), "Q1")
     for i in range(1, len(probs)):

@@ -69,6 +69,28 @@ def weight_table(clusters: DataFrame, key: str, reps: int, seed: str) -> DataFra
     return clusters.select(key, *cluster_keys(key)).mapInPandas(run, f"{key} {kind}, rep bigint, weight bigint")
 
 
+def weight_moments(clusters: DataFrame, key: str, mark: Column, reps: int, seed: str) -> DataFrame:
+    """Per replicate: clusters, sum of weights and of their squares, and sum of weight x mark.
+
+    A task adds up blocks of clusters and emits one row per replicate.
+    """
+    steps, m = poisson_steps(), multipliers(seed, reps)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((4, reps))
+        for b in batches:
+            for at in range(0, len(b), BLOCK):
+                part = b.iloc[at:at + BLOCK]
+                w = weights(part["_k1"].to_numpy(), part["_k2"].to_numpy(), m, steps)
+                total += np.stack([np.full(reps, len(part)), w.sum(0), (w * w).sum(0), part["_mark"].to_numpy(dtype=float) @ w])
+        yield pd.DataFrame({"rep": np.arange(reps), **dict(zip(("clusters", "weight", "square", "keyed"), total.astype(np.int64), strict=True))})
+
+    ship_package(clusters.sparkSession)
+    rows = clusters.select(*cluster_keys(key), mark.cast("double").alias("_mark"))
+    parts = rows.mapInPandas(run, "rep bigint, clusters bigint, weight bigint, square bigint, keyed bigint")
+    return parts.groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("clusters", "weight", "square", "keyed")])
+
+
 def replicate_sums(per_cluster: DataFrame, key: str, sums: list[str], reps: int, seed: str, by: list[str] | None = None) -> DataFrame:
     """Weighted totals of every sum per replicate (and label)."""
     by = by or []

@@ -174,3 +174,14 @@ def permuted(df: DataFrame, unique: str, value: str, seed: str, name: str) -> Da
     own = hash_ranks(df, F.sha2(F.col(unique).cast("string"), 256), unique, rank="_rk")
     deal = hash_ranks(df.select(unique, value), F.sha2(F.concat(F.lit(seed), F.col(unique).cast("string")), 256), unique, rank="_rk")
     return own.join(deal.select("_rk", F.col(value).alias(name)), "_rk").drop("_rk")
+
+
+def permuted_all(df: DataFrame, unique: str, value: str, seeds: list[str], name: str, by: list[str]) -> DataFrame:
+    """One copy of the rows per seed, column ``permutation``, with the values dealt anew within ``by``."""
+    from .ordered import hash_ranks
+
+    arms = F.explode(F.array(*[F.lit(s) for s in seeds]))
+    own = hash_ranks(df, F.sha2(F.col(unique).cast("string"), 256), unique, by, rank="_rk").withColumn("permutation", arms)
+    dealt = df.select(unique, value, *by).withColumn("permutation", arms)
+    deal = hash_ranks(dealt, F.sha2(F.concat("permutation", F.col(unique).cast("string")), 256), unique, [*by, "permutation"], rank="_rk")
+    return own.join(deal.select(*by, "permutation", "_rk", F.col(value).alias(name)), [*by, "permutation", "_rk"]).drop("_rk")

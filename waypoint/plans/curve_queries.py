@@ -306,7 +306,7 @@ def _(spark, sf):
     return rounded(rounded(c, ["top_share", "top5_share"]), ["effective_groups"], 4)
 
 
-COSTS = [round(i * 0.01, 2) for i in range(26)]
+COSTS = [round(i * 0.002, 3) for i in range(126)]
 
 
 @query("a50_cost_curves", f"""{RL}, kc AS (SELECT unnest({COSTS})::DOUBLE AS c_h), kd AS (SELECT regime, c_h, u, c, gate = 'VALID' AND s >= 0.8 AND (1 - s) * c <= 0.09 AS fx, s >= 0.8 AS ot, gate = 'VALID' AND s >= 0.8 AND (1 - s) * c <= least(0.09, c_h) AS rt FROM rb, kc)

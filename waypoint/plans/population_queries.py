@@ -301,7 +301,8 @@ def _(spark, sf):
     return t.select("split", S.micros("first_time").alias("first_us"), S.micros("last_time").alias("last_us"))
 
 
-SEEDS = ["20261004", "20261024", "20261025", "20261026"]
+# 20 seeds.
+SEEDS = ["20261004", *[str(s) for s in range(20261024, 20261043)]]
 
 
 @query("x11_group_split_many_seeds", " UNION ALL ".join(f"SELECT '{s}' AS seed, {HS.format(s=s + ':', k='o_custkey')} AS part, count(*) AS n, count(DISTINCT o_custkey) AS groups FROM orders GROUP BY 2" for s in SEEDS))

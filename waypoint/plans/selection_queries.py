@@ -19,7 +19,8 @@ from .registry import query, r, rounded, rs
 from .scalar_queries import GATED, TRAIN_REF, gated, train_refs
 from .tables import BASE, episodes
 
-SEEDS = ["20261004", "20261024", "20261025", "20261026"]
+# 20 seeds.
+SEEDS = ["20261004", *[str(s) for s in range(20261024, 20261043)]]
 CAPS = [0.02, 0.10, 0.30, 0.60]
 BT = [0.05, 0.06, 0.07, 0.08, 0.09, 0.10]
 
@@ -44,7 +45,7 @@ def halves(spark, sf, seeds=SEEDS):
     return Z.by_seed(calibration(spark, sf).where("part = 'calibration'"), "case_id", seeds)
 
 
-GRID = [i / 20 for i in range(20)]
+GRID = [i / 25 for i in range(25)]
 
 
 @query("r01_binomial_tail", f"""{BASE}, z AS (SELECT regime, part, count(*) AS n, count(*) FILTER (WHERE unsafe) AS u FROM epi GROUP BY 1, 2), a AS (SELECT z.*, cap FROM z, (SELECT unnest([0.3, 0.5, 0.6, 0.7])::DOUBLE AS cap))
@@ -152,7 +153,8 @@ def _(spark, sf):
     return rounded(Z.repeat_summary(m.withColumn("certified", F.coalesce("certified", F.lit(False))), ["cap"]))
 
 
-SWEEP = [i / 100 for i in range(101)]
+# both published sweeps: 101 points for scores, 201 for the finer curve
+SWEEP = [i / 200 for i in range(201)]
 
 
 @query("r12_descriptive_sweep", f"{RL} SELECT regime, t AS threshold, count(*) FILTER (WHERE s >= t) AS selected, {rs('avg((s >= t)::INT)')} AS coverage, {rs('count(*) FILTER (WHERE s >= t AND u) / nullif(count(*) FILTER (WHERE s >= t), 0)')} AS unsafe_rate FROM rb, (SELECT unnest({SWEEP})::DOUBLE AS t) GROUP BY 1, 2")
@@ -160,17 +162,16 @@ def _(spark, sf):
     return rounded(R.threshold_table(ruled(spark, sf), "s", "u", SWEEP, ["regime"]).select("regime", "threshold", "selected", "coverage", "unsafe_rate"), ["coverage", "unsafe_rate"])
 
 
-@query("r13_exact_interval", f"""{BASE}, z AS (SELECT regime, count(*) AS n, count(*) FILTER (WHERE unsafe) AS u FROM epi WHERE part = 'test' GROUP BY 1)
-SELECT regime, n, u, true AS upper_holds, true AS lower_holds FROM z""")
+BISECT = f"""{BASE.replace('WITH', 'WITH RECURSIVE', 1)}, z AS (SELECT regime, count(*) AS n, count(*) FILTER (WHERE unsafe) AS u FROM epi WHERE part = 'test' GROUP BY 1),
+bi AS (SELECT regime, n, u, 0 AS step, 0.0::DOUBLE AS l0, 1.0::DOUBLE AS l1, 0.0::DOUBLE AS u0, 1.0::DOUBLE AS u1 FROM z UNION ALL
+ SELECT regime, n, u, step + 1, CASE WHEN low < 0.025 THEN lm ELSE l0 END, CASE WHEN low < 0.025 THEN l1 ELSE lm END, CASE WHEN up > 0.025 THEN um ELSE u0 END, CASE WHEN up > 0.025 THEN u1 ELSE um END
+ FROM (SELECT *, {tail_sql('u', 'n', 'um')} AS up, CASE WHEN u = 0 THEN 0 ELSE 1 - {tail_sql('(u - 1)', 'n', 'lm')} END AS low FROM (SELECT *, (l0 + l1) / 2 AS lm, (u0 + u1) / 2 AS um FROM bi WHERE step < 45)))"""
+
+
+@query("r13_exact_interval", f"{BISECT} SELECT regime, n, u, {rs('CASE WHEN u = 0 THEN 0 ELSE (l0 + l1) / 2 END')} AS lower, {rs('CASE WHEN u = n THEN 1 ELSE (u0 + u1) / 2 END')} AS upper FROM bi WHERE step = 45")
 def _(spark, sf):
-    # the bounds are checked by putting them back into the tail: both tails must equal alpha / 2
     z = episodes(spark, sf).where("part = 'test'").groupBy("regime").agg(F.count("*").alias("n"), O.count_if(F.col("unsafe")).alias("u"))
-    i = Z.exact_intervals(z, "n", "u")
-    from ..functions.stats import binomial_tail
-
-    u, n = F.col("u"), F.col("n")
-    up, low = binomial_tail(u, n, F.col("upper")), 1 - binomial_tail(u - 1, n, F.col("lower"))
-    return i.select("regime", "n", "u", (F.abs(up - 0.025) < 1e-6).alias("upper_holds"), (F.abs(low - 0.025) < 1e-6).alias("lower_holds"))
+    return rounded(Z.exact_intervals(z, "n", "u").select("regime", "n", "u", "lower", "upper"), ["lower", "upper"])
 
 
 @query("b13_permutation_placebo", f"""{RL}, pa AS (SELECT case_id, row_number() OVER (ORDER BY sha256(case_id), case_id) AS k FROM rb), pb AS (SELECT c, row_number() OVER (ORDER BY sha256('perm1:' || case_id), case_id) AS k FROM rb)
@@ -180,28 +181,34 @@ def _(spark, sf):
     return Z.permuted(d, "case_id", "c", "perm1:", "c_placebo").select("case_id", r("c_placebo").alias("c_placebo"))
 
 
-@query("r14_placebo_certification", f"""{CAL}, ps AS (SELECT j, (row_number() OVER (PARTITION BY j ORDER BY sha256(case_id), case_id)) AS k, case_id FROM cal0, (SELECT unnest(['perm0:', 'perm1:']) AS j) WHERE part = 'calibration'),
-pd AS (SELECT j, c AS cp, row_number() OVER (PARTITION BY j ORDER BY sha256(j || case_id), case_id) AS k FROM cal0, (SELECT unnest(['perm0:', 'perm1:']) AS j) WHERE part = 'calibration'),
-pm AS (SELECT ps.j, ps.case_id, pd.cp FROM ps JOIN pd USING (j, k) UNION ALL SELECT 'actual', case_id, c FROM cal0 WHERE part = 'calibration'),
-pn AS (SELECT pm.j AS permutation, seed, tau, beta, count(*) FILTER (WHERE g AND s >= tau AND (1 - s) * cp <= least(beta, 0.1)) AS n, count(*) FILTER (WHERE u AND g AND s >= tau AND (1 - s) * cp <= least(beta, 0.1)) AS u
- FROM sd JOIN pm USING (case_id), (SELECT unnest({Z.TAUS})::DOUBLE AS tau), (SELECT unnest({BT})::DOUBLE AS beta) WHERE half = 1 GROUP BY 1, 2, 3, 4),
-pv AS (SELECT pn.*, cap, {tail_sql('u', 'n', 'cap')} AS pv FROM pn, caps), pg AS (SELECT *, min((n > 0 AND pv <= 0.05 / 8)::INT) OVER (PARTITION BY permutation, seed, cap, tau ORDER BY beta ROWS UNBOUNDED PRECEDING) AS pass FROM pv)
-SELECT permutation, cap, count(DISTINCT seed) FILTER (WHERE pass = 1) AS certifications FROM pg GROUP BY 1, 2""")
+PERMS = [f"perm{j}:" for j in range(20)]
+# cells between grid values are counted before the grid is met: the twin stays small at 20 permutations x 20 seeds
+CELL = "CASE WHEN g AND s >= 0 THEN list_count(list_filter({0}, lambda x: s >= x)) ELSE 0 END AS ti, list_count(list_filter({1}, lambda x: (1 - s) * cp <= least(x, 0.1))) AS bi"
+
+
+@query("r14_placebo_certification", f"""{CAL}, ps AS (SELECT regime, row_number() OVER (PARTITION BY regime ORDER BY sha256(case_id), case_id) AS k, case_id FROM cal0 WHERE part = 'calibration'),
+pd AS (SELECT regime, j, c AS cp, row_number() OVER (PARTITION BY regime, j ORDER BY sha256(j || case_id), case_id) AS k FROM cal0, (SELECT unnest({PERMS}) AS j) WHERE part = 'calibration'),
+pm AS (SELECT pd.j, ps.case_id, pd.cp FROM ps JOIN pd USING (regime, k) UNION ALL SELECT 'actual', case_id, c FROM cal0 WHERE part = 'calibration'),
+pc AS (SELECT regime, pm.j AS permutation, seed, {CELL.format(Z.TAUS, BT)}, u, count(*) AS m FROM sd JOIN pm USING (case_id) WHERE half = 1 GROUP BY ALL),
+pn AS (SELECT regime, permutation, seed, tau, beta, coalesce(sum(m) FILTER (WHERE ti >= tx AND bi >= {len(BT)} - bx + 1), 0)::BIGINT AS n, coalesce(sum(m) FILTER (WHERE u AND ti >= tx AND bi >= {len(BT)} - bx + 1), 0)::BIGINT AS u
+ FROM pc, (SELECT tau, row_number() OVER (ORDER BY tau) AS tx FROM (SELECT unnest({Z.TAUS})::DOUBLE AS tau)), (SELECT beta, row_number() OVER (ORDER BY beta) AS bx FROM (SELECT unnest({BT})::DOUBLE AS beta)) GROUP BY 1, 2, 3, 4, 5),
+pv AS (SELECT pn.*, cap, {tail_sql('u', 'n', 'cap')} AS pv FROM pn, caps), pg AS (SELECT *, min((n > 0 AND pv <= 0.05 / 8)::INT) OVER (PARTITION BY regime, permutation, seed, cap, tau ORDER BY beta ROWS UNBOUNDED PRECEDING) AS pass FROM pv)
+SELECT regime, permutation, cap, count(DISTINCT seed) FILTER (WHERE pass = 1) AS certifications FROM pg GROUP BY 1, 2, 3""")
 def _(spark, sf):
     cal = calibration(spark, sf).where("part = 'calibration'")
-    arms = cal.withColumn("permutation", F.lit("actual")).withColumn("cp", F.col("c"))
-    for seed in ("perm0:", "perm1:"):
-        arms = arms.unionByName(Z.permuted(cal, "case_id", "c", seed, "cp").withColumn("permutation", F.lit(seed)))
+    arms = Z.permuted_all(cal, "case_id", "c", PERMS, "cp", ["regime"]).unionByName(cal.withColumn("permutation", F.lit("actual")).withColumn("cp", F.col("c")))
     d = Z.by_seed(arms.drop("c").withColumnRenamed("cp", "c"), "case_id", SEEDS).where("half = 1")
-    by = ["permutation", "seed"]
+    by = ["regime", "permutation", "seed"]
     t = Z.tested(Z.node_counts(d, by, betas=BT), CAPS)
     kept = Z.stop_at_first_failure(t, [*by, "cap", "tau"], "bj", (F.col("n") > 0) & (F.col("p_value") <= 0.05 / 8))
-    hit = kept.select("permutation", "cap", "seed").distinct().groupBy("permutation", "cap").agg(F.count("*").alias("certifications"))
-    return t.select("permutation", "cap").distinct().join(hit, ["permutation", "cap"], "left").fillna(0, ["certifications"])
+    hit = kept.select("regime", "permutation", "cap", "seed").distinct().groupBy("regime", "permutation", "cap").agg(F.count("*").alias("certifications"))
+    return t.select("regime", "permutation", "cap").distinct().join(hit, ["regime", "permutation", "cap"], "left").fillna(0, ["certifications"])
 
 
 # ---- bootstraps ---------------------------------------------------------------------------
-REPS, BS = 100, "boot1"
+# keeps sums that end in exactly half a digit off the rounding edge, on both sides alike
+OFF = " + 3e-10"
+REPS, BS = 2000, "boot1"
 CASES = " ".join(f"WHEN x < {float(c)!r} THEN {k}" for k, c in enumerate(Q.poisson_steps()))
 
 
@@ -215,9 +222,9 @@ cl AS (SELECT DISTINCT {key} AS ck, {key_sql(f'{key}::VARCHAR', 1)} AS k1, {key_
 bw AS (SELECT ck, rep, CASE {CASES} ELSE {len(Q.poisson_steps())} END AS w FROM (SELECT ck, rep, ((k1 * m1 + k2 * m2) % 2147483647) / 2147483647.0 AS x FROM cl, rp))"""
 
 
-@query("q01_bootstrap_weights", f"WITH {boot('c_custkey', 'customer')} SELECT ck AS c_custkey, rep, w::BIGINT AS weight FROM bw")
+@query("q01_bootstrap_weights", f"WITH {boot('c_custkey', 'customer')} SELECT rep, count(*) AS clusters, sum(w)::BIGINT AS weight, sum(w * w)::BIGINT AS square, sum(w * (ck % 97))::BIGINT AS keyed FROM bw GROUP BY 1")
 def _(spark, sf):
-    return Q.weight_table(table(spark, sf, "customer", ["c_custkey"]), "c_custkey", REPS, BS)
+    return Q.weight_moments(table(spark, sf, "customer", ["c_custkey"]), "c_custkey", F.col("c_custkey") % 97, REPS, BS)
 
 
 V = "transaction_exposure_eur"
@@ -236,9 +243,9 @@ def replicates(spark, sf, reps=REPS):
     return Q.replicate_metrics(per, "group_id", ["policy"], reps, BS)
 
 
-@query("q02_weighted_metrics", f"{BM} SELECT policy, rep, {', '.join(f'{rs(m)} AS {m}' for m in RATES)} FROM bm")
+@query("q02_weighted_metrics", f"{BM} SELECT policy, rep, {', '.join(f'{rs(m + OFF)} AS {m}' for m in RATES)} FROM bm")
 def _(spark, sf):
-    return rounded(replicates(spark, sf).select("policy", "rep", *RATES))
+    return rounded(replicates(spark, sf).select("policy", "rep", *[(F.col(m) + float(OFF[3:])).alias(m) for m in RATES]))
 
 
 def interval_sql(src: str, by: str, value: str) -> str:
@@ -264,9 +271,9 @@ def _(spark, sf):
     return rounded(rounded(p, ["mean", "lower", "upper"], 5), ["p_below", "p_above"])
 
 
-@query("q17_replicate_deltas", f"{DELTA} SELECT rep, comparison, metric, {rs('delta', 5)} AS delta FROM dt")
+@query("q17_replicate_deltas", f"{DELTA} SELECT rep, comparison, metric, {rs('delta' + OFF, 5)} AS delta FROM dt")
 def _(spark, sf):
-    return rounded(deltas(spark, sf).select("rep", "comparison", "metric", "delta"), digits=5)
+    return rounded(deltas(spark, sf).select("rep", "comparison", "metric", (F.col("delta") + float(OFF[3:])).alias("delta")), digits=5)
 
 
 DIAG = {
@@ -329,7 +336,7 @@ def _(spark, sf):
     return rounded(Q.rate_difference(d, "group_id", sel, hi, F.col("u"), REPS, BS), digits=5)
 
 
-AUC = f"""{RL}, {boot('group_id', 'rb', 20)}, au AS (SELECT group_id, u, p_safe_t0_raw AS a, s AS b FROM rb), an AS (SELECT -1 AS rep, ck, 1 AS w FROM cl UNION ALL SELECT rep, ck, w FROM bw)"""
+AUC = f"""{RL}, {boot('group_id', 'rb')}, au AS (SELECT group_id, u, p_safe_t0_raw AS a, s AS b FROM rb), an AS (SELECT -1 AS rep, ck, 1 AS w FROM cl UNION ALL SELECT rep, ck, w FROM bw)"""
 
 
 def auc_sql(score: str) -> str:
@@ -341,7 +348,7 @@ def auc_sql(score: str) -> str:
 SELECT (SELECT {rs('a', 5)} FROM ud WHERE rep = -1) AS a, (SELECT {rs('b', 5)} FROM ud WHERE rep = -1) AS b, (SELECT {rs('d', 5)} FROM ud WHERE rep = -1) AS estimate, count(*) AS replicates, {rs('avg(d)', 5)} AS mean, {rs('quantile_cont(d, 0.025)', 5)} AS lower, {rs('quantile_cont(d, 0.975)', 5)} AS upper FROM ud WHERE rep >= 0""")
 def _(spark, sf):
     d = ruled(spark, sf).withColumn("safe", ~F.col("u"))
-    return rounded(Q.paired_auroc(d, "group_id", "p_safe_t0_raw", "s", "safe", 20, BS).drop("p_below", "p_above"), digits=5)
+    return rounded(Q.paired_auroc(d, "group_id", "p_safe_t0_raw", "s", "safe", REPS, BS).drop("p_below", "p_above"), digits=5)
 
 
 @query("q14_report_table", f"""{BM}, lg AS ({' UNION ALL '.join(f'''SELECT policy, '{m}' AS metric, {m} AS x FROM bm''' for m in RATES[:2])}), it AS (SELECT policy, metric, avg(x) AS mean, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi FROM lg GROUP BY 1, 2)
@@ -360,11 +367,12 @@ def _(spark, sf):
     return rounded(split_gap_summary(ruled(spark, sf), "group_id", F.col("u").cast("double") * F.col("c"), SEEDS))
 
 
-@query("v05_same_as_archived", f"""WITH a AS (SELECT o_orderstatus AS k, count(*) AS n FROM orders GROUP BY 1) SELECT count(*) AS n_rows, 0 AS only_in_one, 0 AS different FROM a""")
+@query("v05_same_as_archived", """WITH a AS (SELECT o_custkey, sum(o_totalprice) AS x, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT o_custkey, sum(o_totalprice) AS x, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE a.x IS NULL OR b.x IS NULL) AS only_in_one, count(*) FILTER (WHERE a.x IS NOT NULL AND b.x IS NOT NULL AND (abs(a.x - b.x) > 1e-9 * abs(b.x) OR a.n <> b.n)) AS different FROM a FULL JOIN b USING (o_custkey)""")
 def _(spark, sf):
     from ..operators.reports import same_table
 
-    o = table(spark, sf, "orders", ["o_orderstatus", "o_totalprice"])
-    new = o.groupBy("o_orderstatus").agg(F.sum("o_totalprice").alias("x"))
-    old = o.repartition(7).groupBy("o_orderstatus").agg(F.sum("o_totalprice").alias("x"))
-    return same_table(new, old, ["o_orderstatus"], ["x"], rtol=1e-9)
+    # the archived run lacks the pending orders, so both kinds of difference turn up
+    o = table(spark, sf, "orders", ["o_custkey", "o_orderstatus", "o_totalprice"])
+    run = lambda d: d.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("x"), F.count("*").alias("n"))
+    return same_table(run(o), run(o.where("o_orderstatus <> 'P'")), ["o_custkey"], ["x", "n"], rtol=1e-9)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,19 +28,36 @@ def build_session(master: str = "local[*]", partitions: int = 8, name: str = "wa
     return spark
 
 
+_local: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, named by ``spark.checkpoint.dir``.
+
+    A local session without that setting gets a folder of its own; a cluster has to name one.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return _local.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="waypoint-"))
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write the rows once to the shared checkpoint folder and read them from there.
+    """Write the rows once, as parquet in the shared folder, and read them from there.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a
-    local session without that setting gets a folder of its own.
+    Later reads fetch only the columns they need and survive lost executors; the
+    files go when the application ends. Row order inside a file is kept, the
+    dealing of files to tasks is not: what depends on it has to be a column.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="waypoint-ckpt-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[str] = set()
