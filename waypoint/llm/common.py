@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def columns_of(df: DataFrame) -> dict[str, np.ndarray]:
+    """Columns of a result of fixed size on the driver, through Arrow and without pandas."""
+    found = df.toArrow()
+    return {name: found[name].to_numpy() for name in found.column_names}
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of bounded rows and bytes, so that long texts fit a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

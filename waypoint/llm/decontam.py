@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from waypoint.session import ship_package
 
-from .common import drop_keys, small_batches, stage
+from .common import columns_of, drop_keys, small_batches, stage
 
 GRAM = 4
 BITS = 24
@@ -160,9 +160,9 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     # the items' n-grams as 2^BITS bits: at most 2^(BITS-6) rows reach the driver
     slot = F.shiftrightunsigned("gram", 64 - BITS)
     marked = listed.select(F.explode("grams").alias("gram")).select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"))
-    found = marked.groupBy("word").agg(F.bit_or("bit").alias("mask")).toPandas()
+    found = columns_of(marked.groupBy("word").agg(F.bit_or("bit").alias("mask")))
     bits = np.zeros(1 << (BITS - 6), np.uint64)
-    bits[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
+    bits[found["word"]] = found["mask"].view(np.uint64)
     sizes = tuple(sorted(r[0] for r in listed.select(F.least(F.size("words"), F.lit(GRAM))).distinct().collect()))  # at most GRAM rows
 
     held = spark.sparkContext.broadcast(bits)

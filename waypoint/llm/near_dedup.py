@@ -10,11 +10,14 @@ one or two steps. Bands of slots give bucket keys. Documents that share a
 bucket are compared on their full sets, and links are joined by union-find.
 
 Large buckets are never expanded into pairs. Equal sets are one class from the
-start. In each bucket the smallest member is compared with all others; after
-the links are grouped, only members of different groups can still matter. When
-their pairs are few (at most as many as the bucket rows in all) they are
-compared at once; else other members lead further rounds first. Nothing is
-left out: every pair of a bucket is compared or already in one group.
+start. In each bucket one member is compared with all others, and the links
+are grouped; this is done again with other members while it joins many. What
+remains are buckets with members of different groups, mostly outliers beside a
+large group. Any link between those must show in a prefix: when shingles are
+ordered from rare to frequent, two similar sets share one of their first
+n - ceil(n * similarity) + 1 shingles, early enough for the overlap they need.
+Only members of different groups with such a shingle are compared. So every
+pair of a bucket is compared, or in one group, or cannot be similar.
 
 Defined cases: null and empty texts have no shingles and link with nothing;
 rows that share a doc_id are one document and pool their links; rows with a
@@ -34,13 +37,18 @@ from pyspark.sql import functions as F
 
 from waypoint.session import ship_package
 
-from .common import drop_keys, keep_keys, small_batches, stage
+from .common import columns_of, drop_keys, keep_keys, small_batches, stage
 from .components import connected
 
 SLOTS, ROWS = 128, 4
 WORDS = 5
 PERCENT = 80
-ROUNDS = 12
+#: Rounds of leaders before the prefix search, at most.
+ROUNDS = 4
+#: Pairs per bucket row that are left to the prefix search without such a round.
+FEW = 8
+#: Slots in which shingle counts are kept to order shingles from rare to frequent.
+COUNT_BITS = 20
 #: Shingles that one call of the signature code takes together.
 CHUNK = 200_000
 
@@ -167,6 +175,61 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.where(F.col("_n") * 100 >= (F.size("_x") + F.size("_y") - F.col("_n")) * percent).select("a", "b")
 
 
+def _count_slots(items: np.ndarray) -> np.ndarray:
+    return (_mix(items.view(np.uint64) + _C) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found, n = np.unique(_count_slots(batch.column(0).flatten().to_numpy()), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["slot", "n"])
+
+
+def _prefixer(counts, percent: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[] for _ in range(4)]
+            for i, listed in enumerate(batch.column(2)):
+                items = listed.values.to_numpy()
+                often = counts.value[_count_slots(items)]
+                n = len(items)
+                order = np.lexsort((items, often))[: n - -(-n * percent // 100) + 1]
+                # a count of 1 is exact: no other set holds that shingle
+                place = np.flatnonzero(often[order] > 1)
+                for column, values in zip(rows, (np.full(len(place), i), np.full(len(place), n), place, items[order[place]]), strict=True):
+                    column.append(values)
+            owner, n, place, item = (np.concatenate(c) if c else np.empty(0, np.int64) for c in rows)
+            take = pa.array(owner.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(n.astype(np.int64)), pa.array(place.astype(np.int64)), pa.array(item.astype(np.int64))], ["id", "component", "n", "place", "item"])
+
+    return work
+
+
+def prefix_pairs(sets: DataFrame, named: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of different components that can still be similar, from (id, component).
+
+    The order of shingles comes from hashed counts over all the sets, an array
+    of fixed size; any order is right, this one keeps prefixes apart.
+    """
+    held = stage(sets.join(named, "id").select("id", "component", "items"), "held")
+    tally = held.select("items").mapInArrow(_tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    tally = columns_of(tally.select(F.col("slot").cast("int"), F.least("n", F.lit(255)).cast("short").alias("n")))
+    counts = np.zeros(1 << COUNT_BITS, np.uint8)
+    counts[tally["slot"]] = tally["n"]
+    rows = held.mapInArrow(_prefixer(held.sparkSession.sparkContext.broadcast(counts), percent), "id long, component long, n long, place long, item long")
+    rows = stage(rows, "prefixes")
+    sizes = rows.groupBy("item", "component").agg(F.count("*").alias("k"))
+    # of each shingle's groups the largest is not compared with itself
+    mixed = sizes.groupBy("item").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component")).alias("most")).where("parts > 1")
+    mixed = stage(mixed.select("item", F.col("most.component").alias("main")), "mixed")
+    small = rows.join(mixed, "item").where("component <> main").drop("main")
+    other = rows.select("item", *[F.col(c).alias(f"{c}_") for c in ("id", "component", "n", "place")])
+    met = small.join(other, "item").where("component <> component_")
+    overlap = F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_"))
+    met = met.where(overlap * (100 + percent) >= (F.col("n") + F.col("n_")) * percent)
+    return met.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).where("a <> b").distinct()
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text", slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -196,33 +259,29 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key
     links = stage(verified(asked, sets, percent).unionByName(pooled), "links")
     groups = connected(links)
 
-    limit = members.count()
-    rest = members.where("rep <> leader").select("bucket", "rep")
+    limit, before, rest = members.count(), None, members.select("bucket", "rep", "leader")
     for turn in range(ROUNDS):
         named = rest.join(groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         parts = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         apart = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares")).where("parts > 1")
         apart = stage(apart.select("bucket", ((F.col("n") * F.col("n") - F.col("squares")) / 2).cast("long").alias("pairs")), "apart")
-        left = apart.agg(F.sum("pairs")).first()[0]
-        if not left:
-            break
+        left = apart.agg(F.sum("pairs")).first()[0] or 0
         rest = stage(named.join(apart.select("bucket"), "bucket", "left_semi"), "rest")
-        if left <= limit or turn == ROUNDS - 1:
-            other = rest.select("bucket", F.col("rep").alias("other"), F.col("component").alias("theirs"))
-            met = rest.join(other, "bucket").where("rep < other and component <> theirs")
-            asked = met.select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct()
-        else:
-            draw = F.xxhash64(F.col("rep"), F.lit(turn))
-            leads = rest.groupBy("bucket").agg(F.min(draw).alias("draw"))
-            lead = rest.withColumn("draw", draw).join(leads, ["bucket", "draw"]).groupBy("bucket").agg(F.min("rep").alias("leader"), F.min("component").alias("theirs"))
-            rest = stage(rest.join(lead, "bucket"), "led")
-            asked = rest.where("component <> theirs").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
-        more = verified(asked, sets, percent)
-        links = stage(links.unionByName(more), "links")
-        groups = connected(links)
-        if left <= limit:
+        if left <= FEW * limit or before and left > 0.7 * before or turn == ROUNDS - 1:
             break
-        rest = rest.where("rep <> leader").select("bucket", "rep")
+        before, draw = left, F.xxhash64(F.col("rep"), F.lit(turn))
+        leads = rest.groupBy("bucket").agg(F.min(draw).alias("draw"))
+        lead = rest.withColumn("draw", draw).join(leads, ["bucket", "draw"]).groupBy("bucket").agg(F.min("rep").alias("leader"), F.min("component").alias("theirs"))
+        led = rest.drop("leader").join(lead, "bucket").where("component <> theirs")
+        asked = led.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
+        links = stage(links.unionByName(verified(asked, sets, percent)), "links")
+        groups = connected(links)
+        rest = rest.select("bucket", "rep", "leader")
+    if left:
+        # a pair that its bucket's first leader has been compared with is compared again: links stay the same
+        asked = prefix_pairs(sets, rest.select(F.col("rep").alias("id"), "component").distinct(), percent)
+        links = stage(links.unionByName(verified(asked, sets, percent)), "links")
+        groups = connected(links)
 
     named = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
     roots = classes.select("digest", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left")

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from waypoint.session import ship_package
 
-from .common import small_batches, stage
+from .common import columns_of, small_batches, stage
 
 BITS = 18
 #: The classifier is fitted on at most about this many labelled rows.
@@ -157,10 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, rounds: int =
     for _ in range(rounds):
         fit = _shard_learner(spark.sparkContext.broadcast(weights))
         fitted = rows.groupBy("shard").applyInArrow(fit, "at int, w double")
-        mean = fitted.groupBy("at").agg(F.sum("w").alias("w")).toPandas()
+        mean = columns_of(fitted.groupBy("at").agg(F.sum("w").alias("w")))
         used = max(1, rows.select("shard").distinct().count())
         weights = np.zeros((1 << BITS) + 1)
-        weights[mean["at"].to_numpy(dtype=np.int64)] = mean["w"].to_numpy() / used
+        weights[mean["at"]] = mean["w"] / used
     return weights
 
 

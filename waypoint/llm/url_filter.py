@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from waypoint.session import ship_package
 
-from .common import small_batches, stage
+from .common import columns_of, small_batches, stage
 
 # The rules (rule, verdict); a rule is a host and the start of a path.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -133,15 +133,14 @@ def train(judged: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     counted = stage(judged.mapInArrow(_counter, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "url-counts")
     label = F.shiftright("key", CONTEXT_BITS + PAIR_BITS)
     context, pair = F.shiftright("key", PAIR_BITS) % (1 << CONTEXT_BITS), F.col("key") % (1 << PAIR_BITS)
-    by_pair = counted.groupBy(label.alias("label"), pair.alias("slot")).agg(F.sum("n").alias("n")).toPandas()
-    by_context = counted.groupBy(label.alias("label"), context.alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()
     models = []
     for which in (0, 1):
+        own = counted.where(label == which)
         seen, total, kinds = np.zeros(1 << PAIR_BITS, np.float32), np.zeros(1 << CONTEXT_BITS, np.float32), np.zeros(1 << CONTEXT_BITS, np.float32)
-        rows = by_pair[by_pair["label"] == which]
-        seen[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy()
-        rows = by_context[by_context["label"] == which]
-        total[rows["slot"].to_numpy(np.int64)], kinds[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(), rows["kinds"].to_numpy()
+        rows = columns_of(own.groupBy(pair.cast("int").alias("slot")).agg(F.sum("n").cast("float").alias("n")))
+        seen[rows["slot"]] = rows["n"]
+        rows = columns_of(own.groupBy(context.cast("int").alias("slot")).agg(F.sum("n").cast("float").alias("n"), F.count("*").cast("float").alias("kinds")))
+        total[rows["slot"]], kinds[rows["slot"]] = rows["n"], rows["kinds"]
         models.append((seen, total, kinds))
     return models
 
@@ -152,13 +151,14 @@ def threshold(scored: DataFrame) -> float:
     From (score, label) by a histogram; the middle of equally good cuts.
     """
     edge = F.floor(F.col("score") / BIN).cast("long")
-    bins = scored.where("label is not null").groupBy(edge.alias("bin")).agg(F.sum("label").alias("good"), F.count("*").alias("all")).toPandas().sort_values("bin")
-    good, bad = bins["good"].to_numpy(float), (bins["all"] - bins["good"]).to_numpy(float)
+    bins = scored.where("label is not null").groupBy(edge.alias("bin")).agg(F.sum("label").alias("good"), F.count("*").alias("all"))
+    bins = columns_of(bins.orderBy("bin"))
+    good, bad = bins["good"].astype(float), (bins["all"] - bins["good"]).astype(float)
     if not good.sum() or not bad.sum():
         return 0.0
     kept = 1 - np.concatenate([[0], np.cumsum(good)]) / good.sum()
     blocked = np.concatenate([[0], np.cumsum(bad)]) / bad.sum()
-    edges = np.append(bins["bin"].to_numpy(float), bins["bin"].iloc[-1] + 1) * BIN
+    edges = np.append(bins["bin"], bins["bin"][-1] + 1) * BIN
     worth = np.where(kept >= KEEP, kept + blocked, -1.0)
     best = np.flatnonzero(worth >= worth.max() - 1e-12)
     return float((edges[best[0]] + edges[best[-1]]) / 2)
