@@ -33,7 +33,9 @@ def _fraction(p: np.ndarray, q: np.ndarray, x: np.ndarray) -> np.ndarray:
             change = c * d
             total = total * change
         if np.all(np.abs(change - 1.0) < 1e-15):
-            break
+            return total
+    if np.any(np.abs(change - 1.0) > 1e-10):
+        raise ArithmeticError("the continued fraction did not converge")
     return total
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import differs, is_true, number_changed, relative_gap, severity_rank
-from .ordered import hash_ranks
+from .ordered import count_if, hash_ranks
 
 PO, INV, SEEN, GR = "po_value_initial_eur", "invoice_value_t0_eur", "gr_available_at_t0", "latest_gr_value_before_t0_eur"
 PO_GAP, GR_GAP = "inv_po_abs_rel_diff", "inv_gr_abs_rel_diff"
@@ -122,18 +122,36 @@ def with_episode_ids(df: DataFrame, case: str) -> DataFrame:
     return prefix(df, order).withColumn("benchmark_episode_id", F.format_string("EP_%09d", F.col("rank") - 1)).drop("rank")
 
 
+AGE = "po_to_invoice_days"
+
+
 def stress(df: DataFrame, kinds: list[str], recompute: bool = True) -> DataFrame:
     """Copies under unseen corruptions: ORIGINAL, NEGATIVE_PO_AGE, COHERENT_VALUE_SUBSTITUTION."""
+    if "NEGATIVE_PO_AGE" in kinds and AGE not in df.columns:
+        raise ValueError(f"{AGE} is missing: the NEGATIVE_PO_AGE copies would equal the originals")
     rows = df.withColumn("corruption", F.explode(F.array(*[F.lit(k) for k in kinds])))
     coherent = F.col("corruption") == "COHERENT_VALUE_SUBSTITUTION"
     scaled = rows.withColumns({c: F.when(coherent, F.col(c) * 10.0).otherwise(F.col(c)) for c in (PO, INV, GR)})
-    if "po_to_invoice_days" in df.columns:
-        scaled = scaled.withColumn("po_to_invoice_days", F.when(F.col("corruption") == "NEGATIVE_PO_AGE", F.lit(-7.0)).otherwise(F.col("po_to_invoice_days")))
+    if "NEGATIVE_PO_AGE" in kinds:
+        scaled = scaled.withColumn(AGE, F.when(F.col("corruption") == "NEGATIVE_PO_AGE", F.lit(-7.0)).otherwise(F.col(AGE)))
     if not recompute:
         return scaled
     return scaled.withColumns({PO_GAP: relative_gap(INV, PO), GR_GAP: relative_gap(INV, GR)})
 
 
+def stress_outcomes(df: DataFrame, kinds: list[str], score: Column, gate: Column, high: float) -> DataFrame:
+    """Gate and score of the corrupted rows, over all rows and over those the gate lets pass.
+
+    ``score`` and ``gate`` are worked out on the corrupted values, never carried over.
+    """
+    s = stress(df, kinds).withColumn("_score", score).withColumn("_gate", gate)
+    blocked, top = F.col("_gate") != "VALID", F.col("_score") >= high
+    subsets = F.when(blocked, F.array(F.lit("all_natural"))).otherwise(F.array(F.lit("all_natural"), F.lit("gate_valid")))
+    return s.select("*", F.explode(subsets).alias("subset")).groupBy("subset", "corruption").agg(
+        F.count("*").alias("cases"), count_if(blocked).alias("gate_blocked"), count_if(top).alias("high_score"), count_if(top & ~blocked).alias("selected"),
+        F.avg("_score").alias("mean_score"), F.sum(PO).alias("total_po"))
+
+
 def footprint(episodes: DataFrame, base: DataFrame, case: str, fields: list[str], atol: float = 1e-9, rtol: float = 1e-9) -> DataFrame:
     """Per synthetic copy and field: did it change against its source case?"""
     b = base.select(F.col(case).alias("_b"), *[F.col(f).alias(f"_b_{f}") for f in fields])

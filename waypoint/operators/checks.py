@@ -68,8 +68,19 @@ def missing_keys(left: DataFrame, right: DataFrame, keys: list[str], sample: int
     return out.orderBy(*keys).limit(sample) if sample else out
 
 
-def check_rows(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
-    """One row per named condition with the number of rows that break it."""
-    counted = df.agg(*[count_if(~is_true(c)).alias(n) for n, c in checks.items()])
-    rows = F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("violations")) for n in checks])
-    return counted.select(F.inline(rows)).withColumn("passed", F.col("violations") == 0)
+def check_rows(df: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Per named (condition, measure): rows seen, rows that break the condition, and the sum of the measure.
+
+    The sum ties a check to the values it looked at, so a check over wrong or missing rows differs too.
+    """
+    one = [F.count("*").alias("rows")]
+    for name, (condition, measure) in checks.items():
+        one += [count_if(~is_true(condition)).alias(f"_v_{name}"), F.coalesce(F.sum(measure.cast("double")), F.lit(0.0)).alias(f"_m_{name}")]
+    rows = F.array(*[F.struct(F.lit(n).alias("check"), F.col("rows"), F.col(f"_v_{n}").alias("violations"), F.col(f"_m_{n}").alias("measured")) for n in checks])
+    return df.agg(*one).select(F.inline(rows))
+
+
+def unique_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The same row for uniqueness: rows seen, keys that repeat, and the number of keys."""
+    per_key = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return per_key.agg(F.sum("_n").alias("rows"), count_if(F.col("_n") > 1).alias("violations"), F.count("*").cast("double").alias("measured")).select(F.lit("unique").alias("check"), "rows", "violations", "measured")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def attach_missing(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join bringing only the columns the left side lacks, one right row per key."""
+    """Left join bringing only the columns the left side lacks; of several right rows the smallest one."""
     new = [c for c in right.columns if c not in left.columns]
-    return left.join(right.select(*keys, *new).dropDuplicates(keys), keys, "left")
+    one = right.groupBy(*keys).agg(F.min(F.struct(*new)).alias("_one")) if new else right.select(*keys).distinct()
+    return left.join(one, keys, "left").select(*left.columns, *[F.col("_one")[c].alias(c) for c in new])
 
 
 def duplicate_equivalence(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -185,6 +185,7 @@ def monotonicity(df: DataFrame, rules: dict[str, Column], by: list[str]) -> Data
     pair = paired(df, rules, [("Gate safety", "Safety")], by).groupBy(*by).agg(F.avg("delta").alias("_d"))
     wide = wide.join(pair, by)
     le = lambda a, b: (F.col(a)["executed"] <= F.col(b)["executed"]) & (F.col(a)["executed_value_per_1000"] <= F.col(b)["executed_value_per_1000"] + 1e-6)
+    less = lambda a, b: F.col(b)["executed"] - F.col(a)["executed"]
     return check_rows(wide, {
-        "gate_safety_within_safety": le("Gate_safety", "Safety"), "reference_within_gate_safety": le("Reference", "Gate_safety"),
-        "v04_contrast_is_difference": F.abs(F.col("_d") - (F.col("Gate_safety")["mean_loss"] - F.col("Safety")["mean_loss"])) < 1e-9})
+        "gate_safety_within_safety": (le("Gate_safety", "Safety"), less("Gate_safety", "Safety")), "reference_within_gate_safety": (le("Reference", "Gate_safety"), less("Reference", "Gate_safety")),
+        "v04_contrast_is_difference": (F.abs(F.col("_d") - (F.col("Gate_safety")["mean_loss"] - F.col("Safety")["mean_loss"])) < 1e-9, F.col("_d"))})

@@ -361,6 +361,11 @@ def _(spark, sf):
     return rounded(R.consequence_only(moded(spark, sf, ["LOG_TRAIN_P90"]), PAR, ["regime"]))
 
 
-@query("v03_restriction_monotonicity", f"""{RL} SELECT 'gate_safety_within_safety' AS "check", 0 AS violations, true AS passed UNION ALL SELECT 'reference_within_gate_safety', 0, true UNION ALL SELECT 'v04_contrast_is_difference', 0, true""")
+V3 = f"""{RL}, vm AS (SELECT regime, policy, count(*) FILTER (WHERE ex) AS n, coalesce(sum(transaction_exposure_eur) FILTER (WHERE ex), 0) * 1000 / count(*) AS v, avg(CASE WHEN ex THEN u::INT * c ELSE 0.1 END) AS l FROM rl GROUP BY 1, 2),
+vx AS (SELECT s.regime, s.n AS sn, g.n AS gn, f.n AS fn, s.v AS sv, g.v AS gv, f.v AS fv, g.l - s.l AS d FROM vm s JOIN vm g USING (regime) JOIN vm f USING (regime) WHERE s.policy = 'Safety' AND g.policy = 'Gate safety' AND f.policy = 'Reference')"""
+
+
+@query("v03_restriction_monotonicity", f"""{V3} SELECT 'gate_safety_within_safety' AS "check", count(*) AS rows, count(*) FILTER (WHERE gn > sn OR gv > sv + 1e-6) AS violations, {rs('sum(sn - gn)::DOUBLE', 4)} AS measured FROM vx
+ UNION ALL SELECT 'reference_within_gate_safety', count(*), count(*) FILTER (WHERE fn > gn OR fv > gv + 1e-6), {rs('sum(gn - fn)::DOUBLE', 4)} FROM vx UNION ALL SELECT 'v04_contrast_is_difference', count(*), 0, {rs('sum(d)', 4)} FROM vx""")
 def _(spark, sf):
-    return R.monotonicity(ruled(spark, sf), rules(), ["regime"])
+    return rounded(R.monotonicity(ruled(spark, sf), rules(), ["regime"]), digits=4)

@@ -165,16 +165,18 @@ def _(spark, sf):
     return d.withColumn("delta", r("delta", 5))
 
 
-@query("v01_metric_identities", f"""{MET} SELECT 'actions_sum_to_one' AS "check", 0 AS violations, true AS passed UNION ALL SELECT 'coverage_is_ratio', count(*) FILTER (WHERE abs(autonomous_execution_coverage - execute_count / episodes) > 1e-5), true FROM mt
- UNION ALL SELECT 'unsafe_within_executed', count(*) FILTER (WHERE unsafe_execute_count > execute_count), true FROM mt""")
+@query("v01_metric_identities", f"""{MET} SELECT 'actions_sum_to_one' AS "check", count(*) AS rows, count(*) FILTER (WHERE abs(autonomous_execution_coverage + human_escalation_rate + gather_rate + abstention_rate - 1) > 1e-5) AS violations, {rs('coalesce(sum(autonomous_execution_coverage + human_escalation_rate + gather_rate + abstention_rate), 0)::DOUBLE', 4)} AS measured FROM mt
+ UNION ALL SELECT 'coverage_is_ratio' AS "check", count(*) AS rows, count(*) FILTER (WHERE abs(autonomous_execution_coverage - execute_count / episodes) > 1e-5) AS violations, {rs('coalesce(sum(autonomous_execution_coverage), 0)::DOUBLE', 4)} AS measured FROM mt
+ UNION ALL SELECT 'unsafe_within_executed' AS "check", count(*) AS rows, count(*) FILTER (WHERE unsafe_execute_count > execute_count) AS violations, {rs('coalesce(sum(unsafe_execute_count), 0)::DOUBLE', 4)} AS measured FROM mt""")
 def _(spark, sf):
     from ..operators.checks import check_rows
 
-    m = metrics_of(longs(spark, sf), ["regime", "mode", "policy"])
-    total = F.col("autonomous_execution_coverage") + F.col("human_escalation_rate") + F.col("gather_rate") + F.col("abstention_rate")
-    return check_rows(m, {
-        "actions_sum_to_one": F.abs(total - 1) < 1e-9, "coverage_is_ratio": F.abs(F.col("autonomous_execution_coverage") - F.col("execute_count") / F.col("episodes")) < 1e-9,
-        "unsafe_within_executed": F.col("unsafe_execute_count") <= F.col("execute_count")})
+    m = rounded(metrics_of(longs(spark, sf), ["regime", "mode", "policy"]), M.RATES)
+    cover, unsafe, done = F.col("autonomous_execution_coverage"), F.col("unsafe_execute_count"), F.col("execute_count")
+    total = cover + F.col("human_escalation_rate") + F.col("gather_rate") + F.col("abstention_rate")
+    return rounded(check_rows(m, {
+        "actions_sum_to_one": (F.abs(total - 1) <= 1e-5, total), "coverage_is_ratio": (F.abs(cover - done / F.col("episodes")) <= 1e-5, cover),
+        "unsafe_within_executed": (unsafe <= done, unsafe)}), digits=4)
 
 
 # ---- frontier -----------------------------------------------------------------------------

@@ -331,7 +331,7 @@ def _(spark, sf):
     return c.select("regime", "part", "total", "resolved", "ambiguous", "complete", S.micros("decision_min").alias("min_us"), S.micros("decision_max").alias("max_us"))
 
 
-@query("x15_v02_disjoint_parts", f"""WITH {RANDOM} SELECT 'cases' AS level, 0 AS shared UNION ALL SELECT 'groups', count(*) FROM (SELECT o_custkey FROM sp WHERE iid = 'train' INTERSECT SELECT o_custkey FROM sp WHERE iid = 'test')""")
+@query("x15_v02_disjoint_parts", f"""WITH {RANDOM} SELECT 'cases' AS level, count(*) AS shared FROM (SELECT o_orderkey FROM sp WHERE iid = 'train' INTERSECT SELECT o_orderkey FROM sp WHERE iid = 'test') UNION ALL SELECT 'groups', count(*) FROM (SELECT o_custkey FROM sp WHERE iid = 'train' INTERSECT SELECT o_custkey FROM sp WHERE iid = 'test')""")
 def _(spark, sf):
     s = X.random_split(order_cases(spark, sf), "o_orderkey", "x1:")
     tr, te = s.where("split = 'train'"), s.where("split = 'test'")
@@ -382,13 +382,15 @@ def _(spark, sf):
     return B.with_episode_ids(bench(spark, sf).select("case_id", "arm_key", "benchmark_arm", "intervention_type", "intervention_strength"), "case_id").select("case_id", "arm_key", "benchmark_episode_id")
 
 
-@query("b09_benchmark_invariants", f"""{BM} SELECT 'unique_copy' AS "check", 0 AS violations, true AS passed UNION ALL SELECT 'action_present', count(*) FILTER (WHERE expected IS NULL), true FROM bm
- UNION ALL SELECT 'natural_not_synthetic', count(*) FILTER (WHERE benchmark_arm LIKE 'NATURAL%' AND syn), true FROM bm UNION ALL SELECT 'controlled_synthetic', count(*) FILTER (WHERE benchmark_arm LIKE 'CONTROLLED%' AND NOT syn), true FROM bm""")
+@query("b09_benchmark_invariants", f"""{BM} SELECT 'unique' AS "check", sum(n)::BIGINT AS rows, count(*) FILTER (WHERE n > 1) AS violations, count(*)::DOUBLE AS measured FROM (SELECT case_id, arm_key, count(*) AS n FROM bm GROUP BY 1, 2)
+ UNION ALL SELECT 'action_present' AS "check", count(*) AS rows, count(*) FILTER (WHERE expected IS NULL) AS violations, {rs('coalesce(sum(length(expected)), 0)::DOUBLE', 4)} AS measured FROM bm
+ UNION ALL SELECT 'natural_not_synthetic' AS "check", count(*) AS rows, count(*) FILTER (WHERE benchmark_arm LIKE 'NATURAL%' AND syn) AS violations, {rs('coalesce(sum((benchmark_arm[1] = chr(78))::INT), 0)::DOUBLE', 4)} AS measured FROM bm
+ UNION ALL SELECT 'controlled_synthetic' AS "check", count(*) AS rows, count(*) FILTER (WHERE benchmark_arm LIKE 'CONTROLLED%' AND NOT syn) AS violations, {rs('coalesce(sum(syn::INT), 0)::DOUBLE', 4)} AS measured FROM bm""")
 def _(spark, sf):
     b = bench(spark, sf)
-    dup = K.duplicate_keys(b, ["case_id", "arm_key"]).agg(F.count("*").alias("violations")).select(F.lit("unique_copy").alias("check"), "violations", (F.col("violations") == 0).alias("passed"))
-    natural, syn = F.col("benchmark_arm").startswith("NATURAL"), F.col("synthetic_intervention")
-    return dup.unionByName(K.check_rows(b, {"action_present": F.col("expected_action_reference").isNotNull(), "natural_not_synthetic": ~(natural & syn), "controlled_synthetic": natural | syn}))
+    natural, syn, action = F.col("benchmark_arm").startswith("NATURAL"), F.col("synthetic_intervention"), F.col("expected_action_reference")
+    return rounded(K.unique_rows(b, ["case_id", "arm_key"]).unionByName(K.check_rows(b, {
+        "action_present": (action.isNotNull(), F.length(action)), "natural_not_synthetic": (~(natural & syn), natural.cast("int")), "controlled_synthetic": (natural | syn, syn.cast("int"))})), digits=4)
 
 
 @query("a59_benchmark_composition", f"{BM} SELECT benchmark_arm, kind AS intervention_type, s AS intervention_strength, count(*) AS n, {rs('100.0 * count(*) / sum(count(*)) OVER ()')} AS pct FROM bm GROUP BY 1, 2, 3")
@@ -397,16 +399,25 @@ def _(spark, sf):
 
 
 KINDS = ["ORIGINAL", "NEGATIVE_PO_AGE", "COHERENT_VALUE_SUBSTITUTION"]
-ST = f"""{BASE}, sx AS (SELECT epi.*, corruption, {gate_sql('1.0')} AS g0 FROM epi, (SELECT unnest({KINDS}) AS corruption))"""
+# A frozen scoring rule stands in for the fitted model here, so that SQL can score the corrupted rows too.
+FROZEN = (1.5, -0.08, 0.012, -1.5)
+ST = f"""{BASE}, sx AS (SELECT epi.* REPLACE (CASE WHEN corruption = 'NEGATIVE_PO_AGE' THEN -7.0 ELSE po_to_invoice_days END AS po_to_invoice_days, po_value_initial_eur * k AS po_value_initial_eur, invoice_value_t0_eur * k AS invoice_value_t0_eur), corruption
+ FROM (SELECT *, CASE WHEN corruption LIKE 'COH%' THEN 10.0 ELSE 1.0 END AS k FROM (SELECT unnest({KINDS}) AS corruption)), epi WHERE NOT synthetic),
+sy AS (SELECT *, {gate_sql('1.0')} AS g0, 1 / (1 + exp(-({FROZEN[0]} + {FROZEN[1]} * ln(1 + abs(po_value_initial_eur)) + {FROZEN[2]} * coalesce(po_to_invoice_days, 0) + {FROZEN[3]} * coalesce(inv_po_abs_rel_diff, 0)))) AS score FROM sx),
+sz AS (SELECT 'all_natural' AS subset, * FROM sy UNION ALL SELECT 'gate_valid', * FROM sy WHERE g0 = 'VALID')"""
 
 
-@query("b10_b12_stress_arms", f"""{ST} SELECT corruption, count(*) AS cases, count(*) FILTER (WHERE g0 <> 'VALID') AS gate_blocked, count(*) FILTER (WHERE p_safe_t0_cal >= 0.9) AS high_score, count(*) FILTER (WHERE p_safe_t0_cal >= 0.9 AND g0 = 'VALID') AS selected,
- {rs('sum(po_value_initial_eur * CASE WHEN corruption LIKE ' + "'COH%'" + ' THEN 10.0 ELSE 1.0 END)', 1)} AS total_po FROM sx GROUP BY 1""")
+def frozen_score():
+    a, b, c, d = FROZEN
+    z = F.lit(a) + F.lit(b) * F.log1p(F.abs(B.PO)) + F.lit(c) * F.coalesce(F.col(B.AGE), F.lit(0.0)) + F.lit(d) * F.coalesce(F.col(B.PO_GAP), F.lit(0.0))
+    return 1 / (1 + F.exp(-z))
+
+
+@query("b10_b12_stress_arms", f"""{ST} SELECT subset, corruption, count(*) AS cases, count(*) FILTER (WHERE g0 <> 'VALID') AS gate_blocked, count(*) FILTER (WHERE score >= 0.45) AS high_score, count(*) FILTER (WHERE score >= 0.45 AND g0 = 'VALID') AS selected,
+ {rs('avg(score)', 5)} AS mean_score, {rs('sum(po_value_initial_eur)', 0)} AS total_po FROM sz GROUP BY 1, 2""")
 def _(spark, sf):
-    s = B.stress(episodes(spark, sf), KINDS).withColumn("gate", G.gate_state(1.0))
-    blocked, high = F.col("gate") != "VALID", F.col("p_safe_t0_cal") >= 0.9
-    return s.groupBy("corruption").agg(F.count("*").alias("cases"), O.count_if(blocked).alias("gate_blocked"), O.count_if(high).alias("high_score"),
-                                       O.count_if(high & ~blocked).alias("selected"), r(F.sum(B.PO), 1).alias("total_po"))
+    s = B.stress_outcomes(episodes(spark, sf).where("not synthetic"), KINDS, frozen_score(), G.gate_state(1.0), 0.45)
+    return rounded(rounded(s, ["mean_score"], 5), ["total_po"], 0)
 
 
 FIELDS = [B.PO, B.INV, B.SEEN, B.GR, B.PO_GAP, B.GR_GAP]

@@ -108,7 +108,7 @@ VC = f"""vc0 AS (
   SELECT o_orderkey, any_value(o_custkey) AS group_id, any_value(o_orderdate) AS decision_time,
     any_value(o_orderpriority) AS item_category, any_value(o_orderstatus) AS status,
     any_value(o_totalprice) AS po_value_initial_eur,
-    count(l_orderkey)::BIGINT AS n_lines, max(l_linenumber) AS max_line,
+    count(l_orderkey)::BIGINT AS n_lines, max(l_linenumber) AS max_line, date_diff('day', any_value(o_orderdate), min(l_shipdate))::DOUBLE AS po_to_invoice_days,
     round(sum(l_extendedprice), 2) AS invoice_value_t0_eur,
     round(sum(l_extendedprice) FILTER (WHERE l_shipdate <= o_orderdate AND l_linestatus = 'F'), 2) AS latest_gr_value_before_t0_eur,
     {", ".join(_rule_sql(*x) for x in LINE_RULES)}
@@ -138,10 +138,12 @@ def value_cases(spark: SparkSession, sf: str) -> DataFrame:
             "o_orderstatus": "status", "o_totalprice": "po_value_initial_eur"}
     g = rows.groupBy("o_orderkey", *keys).agg(
         F.count("l_orderkey").alias("n_lines"), F.max("l_linenumber").alias("max_line"),
+        F.min("l_shipdate").alias("_first"),
         F.round(F.sum("l_extendedprice"), 2).alias("invoice_value_t0_eur"),
         F.round(F.sum(F.when(received, F.col("l_extendedprice"))), 2).alias("latest_gr_value_before_t0_eur"),
         *[rule(*x) for x in LINE_RULES],
     ).withColumnsRenamed(keys)
+    g = g.withColumn("po_to_invoice_days", F.datediff("_first", "decision_time").cast("double")).drop("_first")
     return g.withColumns({
         "case_id": F.col("o_orderkey").cast("string"),
         "goods_receipt_required": F.col("item_category") != "5-LOW",
