@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-BUCKETS = 4096
+BUCKETS = 4096  # 16^3
 BLOCK = 65536
 
 
@@ -38,19 +38,21 @@ def home(key: Column, weights: list[float]) -> Column:
 
 
 def number_slots(rows: DataFrame, shard: str, order: list[str]) -> DataFrame:
-    """Adds ``slot``: gapless from 0 within each shard.
+    """Adds ``slot``: gapless from 0 within each shard, in the order of a hash of the first column.
 
-    Equal rows are counted first. Each shard is cut into buckets by a hash of
-    the row; a table of one count per (shard, bucket), of fixed size, gives the
-    bucket's first slot, and rows are numbered within buckets only. Repeated
-    rows come back from their counts in blocks, dealt over all tasks.
+    Equal rows are counted first. The first three digits of the hash cut each
+    shard into BUCKETS buckets; a table of one count per (shard, bucket), of
+    fixed size, gives the bucket's first slot, and rows are numbered within
+    buckets only. Repeated rows come back from their counts in blocks, dealt
+    over all tasks.
     """
     keys = [shard, *order]
-    counted = stage(rows.groupBy(*keys).agg(F.count("*").alias("_count")).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)).cast("int")), "slots")
+    mark = F.md5(F.concat(F.coalesce(F.col(order[0]).cast("string"), F.lit("null")), F.lit(":slot")))
+    counted = stage(rows.groupBy(*keys).agg(F.count("*").alias("_count")).withColumn("_mark", mark).withColumn("_bucket", F.conv(F.substring("_mark", 1, 3), 16, 10).cast("int")), "slots")
     sizes = counted.groupBy(shard, "_bucket").agg(F.sum("_count").alias("_size"))
     before = W.partitionBy(shard).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(shard, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    inside = W.partitionBy(shard, "_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(shard, "_bucket").orderBy("_mark", *[F.col(c).asc_nulls_first() for c in order]).rowsBetween(W.unboundedPreceding, -1)
     placed = counted.withColumn("_before", F.coalesce(F.sum("_count").over(inside), F.lit(0))).join(F.broadcast(starts), [shard, "_bucket"])
     first = placed.select(*keys, (F.col("_start") + F.col("_before")).alias("_first"), "_count")
     single = first.where("_count = 1").select(*keys, F.col("_first").alias("slot"))
