@@ -32,5 +32,5 @@ def test_matches_sql(spark, con, name):
 def test_every_query_but_the_fitted_ones_has_sql():
     builds, sql = all_queries()
     assert {n for n in builds if n not in sql} == {
-        "m02_m05_action_scores", "m03_m06_m08_safety_scores", "m04_boosted_comparison", "m07_value_bin_calibration",
+        "m02_m05_action_scores", "m03_m06_m08_safety_scores", "m04_boosted_comparison",
         "m17_m19_feature_ablation", "m22_mismatch_sensitivity", "m23_corrected_action_model"}

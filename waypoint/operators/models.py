@@ -177,6 +177,14 @@ def calibrate_by_value(fit: DataFrame, target: DataFrame, score: str, positive:
     return out.drop("_bin")
 
 
+def converged(est: LogisticRegression, prepared: DataFrame) -> Model:
+    """The fitted model; a fit that stops at its iteration limit is an error, not a result."""
+    model = est.fit(prepared)
+    if model.summary.totalIterations >= est.getMaxIter():
+        raise RuntimeError(f"the fit stopped at its limit of {est.getMaxIter()} iterations")
+    return model
+
+
 @dataclass
 class SafetyModel:
     features: Features
@@ -202,9 +210,7 @@ def fit_safety(train: DataFrame, calibration: DataFrame, label: str, numeric: li
     prepared = materialize(f.transform(train).select("features", "label"))
     rows = prepared.count()
     est = logistic(rows) if kind == "logistic" else boosted(rounds)
-    model = est.fit(prepared)
-    if kind == "logistic" and model.summary.totalIterations >= est.getMaxIter():
-        raise RuntimeError("the fit stopped at its iteration limit")
+    model = converged(est, prepared) if kind == "logistic" else est.fit(prepared)
     raw = probabilities(model, f.transform(calibration), ["_p0", "_p1"])
     return SafetyModel(f, model, fit_isotonic(raw, "_p1", F.col(label) == SAFE), rows)
 
@@ -225,4 +231,4 @@ def fit_action(train: DataFrame, label: str, classes: list[str], numeric: list[s
         code = F.when(F.col(label) == c, float(i)).otherwise(code)
     f = fit_features(train, numeric, categorical)
     prepared = materialize(f.transform(train.withColumn("label", code)).select("features", "label"))
-    return ActionModel(f, logistic(prepared.count(), family="multinomial").fit(prepared), classes)
+    return ActionModel(f, converged(logistic(prepared.count(), max_iter=2000, family="multinomial"), prepared), classes)

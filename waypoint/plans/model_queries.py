@@ -12,10 +12,11 @@ from ..operators import curves as C
 from ..operators import models as M
 from ..session import materialize
 from .registry import query, r, rounded, rs
-from .scalar_queries import train_refs
+from .scalar_queries import TRAIN_REF, train_refs
 from .tables import BASE, episodes
 
 CLS = ["EXECUTE", "GATHER", "ESCALATE", "ABSTAIN"]
+S_SAFE = "target = 'SAFE_TO_EXECUTE'"
 NUM = M.FEATURE_SETS["FULL"]
 
 
@@ -63,12 +64,23 @@ def _(spark, sf):
     tr, cal, te = parts(d)
     rows = []
     for kind in ("logistic", "boosted"):
-        m = M.fit_safety(tr, cal, "target", NUM, M.CATEGORY_FEATURES, kind, rounds=20)
+        m = M.fit_safety(tr, cal, "target", NUM, M.CATEGORY_FEATURES, kind)
         rows.append(auc(m.score(te), "p_safe_raw", []).select(F.lit(kind).alias("model"), r("auroc").alias("auroc"), r("average_precision").alias("average_precision"), "positives", "negatives"))
     return rows[0].unionByName(rows[1])
 
 
-@query("m07_value_bin_calibration")
+# The isotonic value at a score is the largest, over starts at or before it, of the smallest mean up to ends at or after it.
+ISO = f"""{BASE}, {TRAIN_REF}, kn AS (SELECT part, p_safe_t0_raw AS s, (target = 'SAFE_TO_EXECUTE')::DOUBLE AS y, (transaction_exposure_eur > p50)::INT + (transaction_exposure_eur > p90)::INT AS b FROM epi, tr WHERE target <> 'AMBIGUOUS'),
+fi AS (SELECT b, s, count(*) AS w, sum(y) AS t FROM kn WHERE part = 'calibration' GROUP BY 1, 2),
+cu AS (SELECT b, s, row_number() OVER o AS i, sum(w) OVER o AS cw, sum(t) OVER o AS ct, w, t FROM fi WINDOW o AS (PARTITION BY b ORDER BY s)),
+mm AS (SELECT b, k, s, min(mean) OVER (PARTITION BY b, j ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low FROM
+ (SELECT x.b, x.i AS j, z.i AS k, z.s, (z.ct - x.ct + x.t) / (z.cw - x.cw + x.w) AS mean FROM cu x JOIN cu z ON x.b = z.b AND x.i <= z.i)),
+iso AS (SELECT b, s, max(low) AS g FROM mm GROUP BY 1, 2),
+ap AS (SELECT te.*, lo.s AS s0, lo.g AS g0, hi.s AS s1, hi.g AS g1 FROM (SELECT * FROM kn WHERE part = 'test') te ASOF LEFT JOIN iso lo ON te.b = lo.b AND te.s >= lo.s ASOF LEFT JOIN iso hi ON te.b = hi.b AND te.s <= hi.s),
+pr AS (SELECT b, y, least(greatest(CASE WHEN s0 IS NULL THEN g1 WHEN s1 IS NULL OR s0 = s1 THEN g0 ELSE g0 + (g1 - g0) * (s - s0) / (s1 - s0) END, 0), 1) AS p FROM ap)"""
+
+
+@query("m07_value_bin_calibration", f"{ISO} SELECT b AS value_bin, count(*) AS n, {rs('avg(p)')} AS mean_score, {rs('avg(y)')} AS safe_rate FROM pr GROUP BY 1")
 def _(spark, sf):
     d = table(spark, sf)
     _, cal, te = parts(d)
@@ -115,3 +127,28 @@ def _(spark, sf):
     both = materialize(both)
     one = lambda c: auc(both, c, []).select(F.lit(c).alias("score"), r("auroc").alias("auroc"), r("average_precision").alias("average_precision"))
     return one("action_score").unionByName(one("p_safe_raw"))
+
+
+# At the optimum the free intercept makes mean scores equal class shares on the training rows, and an isotonic
+# map keeps the mean on the rows it was fitted to: identities that SQL can work out from the labels alone.
+def share_sql(part: str, what: str, cond: str, known: str) -> str:
+    return f"SELECT '{part}' AS part, '{what}' AS score, count(*) AS n, {rs(f'avg(({cond})::INT)', 3)} AS mean_score FROM epi WHERE part = '{part}' AND {known}"
+
+
+KNOWN = "target <> 'AMBIGUOUS'"
+
+
+@query("m03_m06_fit_identities", f"{BASE} {share_sql('train', 'raw', S_SAFE, KNOWN)} UNION ALL {share_sql('calibration', 'calibrated', S_SAFE, KNOWN)}")
+def _(spark, sf):
+    tr, cal, _ = parts(table(spark, sf))
+    m = M.fit_safety(tr, cal, "target", NUM, M.CATEGORY_FEATURES)
+    one = lambda d, part, what, c: m.score(d).agg(F.count("*").alias("n"), r(F.avg(c), 3).alias("mean_score")).select(F.lit(part).alias("part"), F.lit(what).alias("score"), "n", "mean_score")
+    return one(tr, "train", "raw", "p_safe_raw").unionByName(one(cal, "calibration", "calibrated", "p_safe_cal"))
+
+
+@query("m02_m05_fit_identities", f"{BASE} " + " UNION ALL ".join(share_sql("train", c, f"expected_action_reference = '{c}'", "true") for c in CLS))
+def _(spark, sf):
+    tr = table(spark, sf).where("part = 'train'")
+    scored = M.fit_action(tr, "expected_action_reference", CLS, NUM, M.CATEGORY_FEATURES).score(tr)
+    means = scored.agg(F.count("*").alias("n"), *[r(F.avg(f"p_raw_{c}"), 3).alias(c) for c in CLS])
+    return means.select(F.inline(F.array(*[F.struct(F.lit("train").alias("part"), F.lit(c).alias("score"), F.col("n"), F.col(c).alias("mean_score")) for c in CLS])))
