@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -65,19 +65,32 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 
 def replace_table(df: DataFrame, path: str) -> int:
-    """Write beside the target, check the row count, then replace the target.
+    """Write beside the target, check the row count, then swap the two by renaming.
 
-    ``df`` may read the target: it is only overwritten from the staged copy.
+    The input is computed once, its rows are counted while they are written, and
+    ``df`` may read the target: nothing of it changes before the copy is whole.
+    A reader sees the old or the new table; a failed check leaves the old one
+    and no staging folder.
     """
     spark = df.sparkSession
-    staging = path.rstrip("/") + "__staging"
-    expected = df.count()
-    df.write.mode("overwrite").parquet(staging)
-    staged = spark.read.parquet(staging)
-    found = staged.count()
+    path = path.rstrip("/")
+    staging, old = f"{path}__staging", f"{path}__old"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(conf)
+    rows = Observation("rows")
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(staging)
+    expected = rows.get["n"]
+    found = spark.read.parquet(staging).count()
     if found != expected:
+        fs.delete(at(staging), True)
         raise RuntimeError(f"staged {found} rows, expected {expected}; target left as it was")
-    staged.write.mode("overwrite").parquet(path)
-    if spark.read.parquet(path).count() != expected:
-        raise RuntimeError("row count changed while replacing the table")
+    fs.delete(at(old), True)
+    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
+        raise RuntimeError("the target cannot be moved aside")
+    if not fs.rename(at(staging), at(path)):
+        fs.rename(at(old), at(path))
+        raise RuntimeError("the staged table cannot take the target's place; target left as it was")
+    fs.delete(at(old), True)
+    spark.catalog.refreshByPath(path)
     return expected
