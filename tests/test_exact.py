@@ -151,3 +151,16 @@ def test_future_columns_are_refused():
 
     with pytest.raises(ValueError):
         M.check_inputs(["n_goods_receipts_before_t0", "events_total_case"])
+
+
+def test_a_bad_consequence_reference_is_an_error(spark):
+    from waypoint.functions import scalars as S
+
+    assert spark.range(1).select(S.consequence(F.lit(1.0), F.lit(1.0))).first()[0] == 1.0
+    for bad in (0.0, -1.0, None):
+        try:
+            spark.range(1).select(S.consequence(F.lit(1.0), F.lit(bad).cast("double"))).collect()
+        except Exception as error:
+            assert "must be positive" in str(error)
+        else:
+            raise AssertionError(bad)

@@ -161,7 +161,8 @@ def consequence(value: Column, ref: Column | None, mode: str = "LOG") -> Column:
     v = F.coalesce(F.abs(value), F.lit(0.0))
     if mode == "UNIFORM":
         return F.lit(1.0)
-    good = F.when(ref > 0, ref)
+    # a missing or non-positive reference is an error: a null cost would drop out of means unseen
+    good = F.when(ref > 0, ref).otherwise(F.raise_error(F.lit("the consequence reference must be positive")).cast("double"))
     if mode == "LOG":
         return F.log1p(v) / F.log1p(good)
     if mode == "LINEAR":
