@@ -55,6 +55,18 @@ def budget_sweep(df: DataFrame, budgets: list[float], p: D.Params) -> DataFrame:
                     ((F.col("all_base") + F.col("gain")) / F.col("all_one")).alias("mean_loss"))
 
 
+def confidence_sweep(df: DataFrame, taus: list[float], p: D.Params) -> DataFrame:
+    """Confidence policy over thresholds: execute at or above, else escalate."""
+    from .ordered import at_thresholds
+
+    c, other = F.col("c"), D.escalate_loss(F.col("c"), p)
+    bad = (upper_text("expected_action_reference") != "EXECUTE").cast("bigint")
+    d = df.select(F.col("p_cal_execute").alias("s"), bad.alias("uns"), (bad * c - other).alias("gain"), other.alias("base"))
+    t = at_thresholds(d, F.col("s"), taus, {"ex": F.lit(1), "uns": F.col("uns"), "gain": F.col("gain"), "base": F.col("base")})
+    return t.select("threshold", F.col("ex").alias("executed"), F.col("uns").alias("unsafe"), (F.col("ex") / F.col("all_ex")).alias("coverage"),
+                    F.try_divide(F.col("uns").cast("double"), F.col("ex").cast("double")).alias("unsafe_rate"), ((F.col("all_base") + F.col("gain")) / F.col("all_ex")).alias("mean_loss"))
+
+
 def cost_grid(df: DataFrame, c_g: list[float], c_h: list[float], c_a: list[float], p: D.Params) -> DataFrame:
     """Action counts of the full policy at every cost point with c_G < c_H < c_A."""
     pe, p1, c, ok = F.col("p_cal_execute"), F.col("p_safe_t1_primary"), F.col("c"), is_true(F.col("gather_policy_eligible"))

@@ -322,6 +322,18 @@ def _(spark, sf):
     return rounded(budget_sweep(moded(spark, sf, ["LOG_TRAIN_P90"]), [0.05, 0.1, 0.2, 0.4, 0.8], PAR))
 
 
+FT = [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
+
+
+@query("d16_first_generation_confidence_sweep", f"""{MODED}, sw AS (SELECT *, p_cal_execute >= t AS ex, expected_action_reference <> 'EXECUTE' AS bad FROM l4, (SELECT unnest({FT})::DOUBLE AS t) WHERE mode = 'LOG_TRAIN_P90')
+SELECT t AS threshold, count(*) FILTER (WHERE ex) AS executed, count(*) FILTER (WHERE ex AND bad) AS unsafe, {rs('avg(ex::INT)')} AS coverage, {rs('count(*) FILTER (WHERE ex AND bad) / nullif(count(*) FILTER (WHERE ex), 0)')} AS unsafe_rate,
+ {rs('avg(CASE WHEN ex THEN bad::INT * c ELSE lh END)')} AS mean_loss FROM sw GROUP BY 1""")
+def _(spark, sf):
+    from ..operators.first_generation import confidence_sweep
+
+    return rounded(confidence_sweep(moded(spark, sf, ["LOG_TRAIN_P90"]), FT, PAR))
+
+
 CG = [(g, h, a) for g in (0.01, 0.02, 0.05, 0.1) for h in (0.05, 0.1, 0.2) for a in (0.2, 0.5, 1.0) if g < h < a]
 
 
