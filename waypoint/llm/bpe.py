@@ -33,11 +33,11 @@ from pyspark.sql import types as T
 
 from waypoint.session import ship_package
 
-from .common import small_batches
+from .common import hold, kept_table, small_batches
 
 #: Bounds of the tables a worker keeps; a full table is emptied and refilled.
-MAX_PAIRS = 500_000
-MAX_PIECES = 400_000
+MAX_PAIRS = 300_000
+MAX_PIECES = 150_000
 #: Bytes a stream reads before it looks for final tokens.
 WINDOW = 4096
 
@@ -312,11 +312,12 @@ class Codec:
         return "".join([*(stream.feed(b) for b in self.decode_bytes(ids)), stream.end()])
 
 
-_codecs: dict[tuple, Codec] = {}
+_codecs: dict[tuple, Codec] = kept_table()
 
 
 def codec(key: tuple, load: Callable[[], tuple[dict[bytes, int], str]]) -> Codec:
     """One codec a worker: its tables stay warm from task to task."""
+    hold(_codecs)
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(*load())

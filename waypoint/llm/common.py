@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,24 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+_kept: list[dict] = []
+
+
+def kept_table() -> dict:
+    """A dict that a Python worker keeps from task to task; see ``hold``."""
+    table: dict = {}
+    _kept.append(table)
+    return table
+
+
+def hold(table: dict) -> None:
+    """Empties all kept tables but this one: a worker holds the tables of one operator at a time."""
+    for other in _kept:
+        if other is not table:
+            other.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def columns_of(df: DataFrame) -> dict[str, np.ndarray]:
     """Columns of a result of fixed size on the driver, through Arrow and without pandas."""
     found = df.toArrow()
@@ -68,8 +87,8 @@ def columns_of(df: DataFrame) -> dict[str, np.ndarray]:
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of bounded rows and bytes, so that long texts fit a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 # A bitmap over hashed keys: 2^bits bits as rows (word, mask), so at most

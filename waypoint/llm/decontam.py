@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from waypoint.session import ship_package
 
-from .common import columns_of, drop_keys, small_batches, stage
+from .common import columns_of, drop_keys, hold, kept_table, small_batches, stage
 
 GRAM = 4
 BITS = 24
@@ -45,14 +45,14 @@ GAP = 0.5
 THRESHOLD = 0.5
 
 _TOKEN = re.compile(r"\w+")
-_codes: dict[str, int] = {}
+_codes: dict[str, int] = kept_table()
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def _code(word: str) -> int:
     code = _codes.get(word)
     if code is None:
-        if len(_codes) > 300_000:
+        if len(_codes) > 100_000:
             _codes.clear()
         code = _codes[word] = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
     return code
@@ -124,6 +124,7 @@ def regions_of(codes: np.ndarray, bits: np.ndarray, sizes: tuple[int, ...]) -> l
 
 def _scanner(bits, sizes: tuple[int, ...]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(_codes)
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column(1)):

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from waypoint.session import ship_package
 
-from .common import columns_of, drop_keys, keep_keys, small_batches, stage
+from .common import columns_of, drop_keys, hold, keep_keys, kept_table, small_batches, stage
 from .components import connected
 
 SLOTS, ROWS = 128, 4
@@ -52,7 +52,7 @@ COUNT_BITS = 20
 #: Shingles that one call of the signature code takes together.
 CHUNK = 200_000
 
-_words: dict[bytes, int] = {}
+_words: dict[bytes, int] = kept_table()
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,7 +65,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _word(word: bytes) -> int:
     code = _words.get(word)
     if code is None:
-        if len(_words) > 300_000:
+        if len(_words) > 100_000:
             _words.clear()
         code = _words[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
     return code
@@ -138,6 +138,7 @@ def band_keys(best: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 def _signer(words: int, slots: int, rows: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(_words)
         for batch in batches:
             sets = [shingles(t.as_py() or b"", words) for t in batch.column(1)]
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -155,6 +156,7 @@ def _signer(words: int, slots: int, rows: int):
 
 def _setter(words: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(_words)
         for batch in batches:
             sets = [shingles(t.as_py() or b"", words) for t in batch.column(1)]
             ends = np.cumsum([0, *(len(s) for s in sets)])

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from waypoint.session import ship_package
 
-from .common import columns_of, small_batches, stage
+from .common import columns_of, hold, kept_table, small_batches, stage
 
 BITS = 18
 #: The classifier is fitted on at most about this many labelled rows.
@@ -48,13 +48,13 @@ THRESHOLD = 0.7
 _TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\s]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _REPEAT = np.uint64(0x5851F42D4C957F2D)
-_CACHE: dict[bytes, int] = {}
+_CACHE: dict[bytes, int] = kept_table()
 
 
 def _code(token: bytes) -> int:
     code = _CACHE.get(token)
     if code is None:
-        if len(_CACHE) > 300_000:
+        if len(_CACHE) > 100_000:
             _CACHE.clear()
         low = token.lower()
         # the lowest bit tells capitals, the next one signs
@@ -148,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, rounds: int =
     chosen = sample(docs, labels, bound)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(_CACHE)
         for b in batches:
             index = [features(t.as_py()).astype(np.int32).tobytes() for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(index, pa.binary()), b.column(1), b.column(2), b.column(3)], ["grams", "label", "order", "shard"])
@@ -174,6 +175,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField("score", T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(_CACHE)
         w = model.value
         for b in batches:
             out = [float(_sigmoid(dot(features(t.as_py() or b""), w))) for t in b.column(len(rest))]
@@ -191,6 +193,7 @@ def accepted(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFr
     place = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(_CACHE)
         for b in batches:
             keep = [_sigmoid(dot(features((t.as_py() or "").encode()), model.value)) >= THRESHOLD for t in b.column(place)]
             yield b.filter(pa.array(keep, pa.bool_()))
