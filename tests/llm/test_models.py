@@ -146,3 +146,23 @@ def test_edited_copies_are_found_and_clean_texts_left_alone(spark):
     assert kept.count() == len(rows) - len({k for k, _ in want})
     assert decontam.contaminated(no_documents(spark), table_).count() == 0
     assert decontam.contaminated(documents(spark), table_.where("item_id = 'none'")).count() == 0
+
+
+@pytest.mark.parametrize("copies", [20, 2000])
+def test_an_exact_copy_does_not_hide_edited_ones(spark, copies):
+    item = [f"v{i}" for i in range(40)]
+    edited = " ".join("swapped" if i % 6 == 3 else w for i, w in enumerate(item))
+    rows = [(1, f"before {' '.join(item)} after")] + [(10 + i, f"before{i} {edited} after{i}") for i in range(copies)] + [(9999, "said v0 v1 v2 v3 and no more")]
+    items = spark.createDataFrame([("one", " ".join(item))], "item_id string, text string")
+    got = decontam.contaminated(documents(spark, rows), items).collect()
+    assert {r.key for r in got} == {k for k, _ in rows} - {9999}
+    want = plain_alignment(item, edited.split()) / 40
+    assert all(abs(r.score - (1 if r.key == 1 else want)) < 1e-9 for r in got)
+
+
+def test_no_alignment_scores_more_than_the_common_words():
+    draw = np.random.default_rng(8)
+    for _ in range(200):
+        a, b = draw.integers(0, 9, draw.integers(1, 12)), draw.integers(0, 9, draw.integers(1, 25))
+        common = sum(min((a == w).sum(), (b == w).sum()) for w in set(a.tolist()))
+        assert decontam.most_score(a, b) == common >= decontam.alignment(a, b)[0]

@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
 All word n-grams of the test items go into a bitmap of fixed size, which the
 tasks hold while they read the texts. Texts with hits give regions: the words
-around neighbouring hits. How often each n-gram turns up in all regions says
-which ones are rare; an item keeps, in every short window, the n-grams that
-are not much more frequent than the window's rarest, so a passage copied a
-million times keeps its seeds and common phrases lose theirs. Seeds join
-regions to items by hash, and each candidate is aligned as a whole: matching
+around neighbouring hits. Seeds join regions to items by hash: every n-gram
+that a region and an item share is a seed, however often other documents hold
+it, as the n-grams that an edited copy keeps may be the frequent ones. Only
+candidates that cannot reach the threshold, as too few words are common to
+both, go without an alignment; the others are aligned as a whole: matching
 words score 1, others and gaps cost GAP. The score over the item's words
 decides. Memory is bounded by the bitmap and the longest text; no pair of
 texts is ever compared without a shared seed.
@@ -27,7 +27,6 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waypoint.session import ship_package
@@ -38,9 +37,6 @@ GRAM = 4
 BITS = 24
 #: Words kept on either side of a hit, and the gap that parts two regions.
 PAD = 64
-WINDOW = 4
-#: A seed may be this many times as frequent as the rarest of its window, and a few more.
-RARITY, SLACK = 2, 8
 GAP = 0.5
 THRESHOLD = 0.5
 
@@ -139,15 +135,30 @@ def _scanner(bits, sizes: tuple[int, ...]):
     return work
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        key, item_id, first, item, text = (batch.column(i) for i in range(5))
-        rows = []
-        for i in range(len(key)):
-            a = np.asarray(item[i].values, np.int64)
-            score, end = alignment(a, np.asarray(text[i].values, np.int64))
-            rows.append((score / len(a), first[i].as_py() + end))
-        yield pa.RecordBatch.from_arrays([key, item_id, pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.int64())], ["key", "item_id", "score", "end_word"])
+def most_score(item: np.ndarray, text: np.ndarray) -> int:
+    """No alignment of the two word lists scores more: each match uses up a word of either."""
+    words, wanted = np.unique(item, return_counts=True)
+    place = np.minimum(np.searchsorted(words, text), len(words) - 1)
+    held = np.bincount(place[words[place] == text], minlength=len(words))
+    return int(np.minimum(wanted, held).sum())
+
+
+def _aligner(threshold: float):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, item_id, first, item, text = (batch.column(i) for i in range(5))
+            rows = []
+            for i in range(len(key)):
+                a, b = np.asarray(item[i].values, np.int64), np.asarray(text[i].values, np.int64)
+                if most_score(a, b) / len(a) < threshold:
+                    continue
+                score, end = alignment(a, b)
+                if score / len(a) >= threshold:
+                    rows.append((i, score / len(a), first[i].as_py() + end))
+            take = pa.array([r[0] for r in rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([key.take(take), item_id.take(take), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64())], ["key", "item_id", "score", "end_word"])
+
+    return work
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -172,20 +183,15 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     scanned = bodies.mapInArrow(_scanner(held, sizes or (GRAM,)), f"key {key_kind}, first int, stamp binary, words array<long>, seeds array<long>")
     regions = stage(scanned, "regions")
 
-    # rarity over all documents
+    # every n-gram that a region and an item share is a seed of that pair
     hits = regions.select("key", "first", "stamp", F.explode("seeds").alias("gram"))
-    counts = hits.groupBy("gram").agg(F.count("*").alias("n"))
-    placed = listed.select("item_id", F.posexplode("grams").alias("at", "gram")).join(counts, "gram")
-    window = W.partitionBy("item_id", F.floor(F.col("at") / WINDOW))
-    seeds = placed.withColumn("low", F.min("n").over(window)).where(F.col("n") <= F.col("low") * RARITY + SLACK).select("item_id", "gram").distinct()
-    seeds = stage(seeds, "seeds")
-
+    seeds = stage(listed.select("item_id", F.explode("grams").alias("gram")).distinct(), "seeds")
     pairs = hits.join(seeds, "gram").select("key", "first", "stamp", "item_id").distinct()
     whole = regions.select("key", "first", "stamp", F.col("words").alias("region")).dropDuplicates(["key", "first", "stamp"])
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("key", "first", "stamp")]
     joined = pairs.alias("p").join(whole.alias("w"), same).select("p.key", "p.item_id", "p.first", "w.region")
     ready = joined.join(listed.select("item_id", "words"), "item_id").select("key", "item_id", "first", "words", "region")
-    aligned = ready.mapInArrow(_align, f"key {key_kind}, item_id {kind}, score double, end_word long").where(F.col("score") >= threshold)
+    aligned = ready.mapInArrow(_aligner(threshold), f"key {key_kind}, item_id {kind}, score double, end_word long")
     return aligned.groupBy("key", "item_id").agg(F.max("score").alias("score"), F.min("end_word").alias("end_word"))
 
 
