@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 from helpers import TEXTS, documents, no_documents
+from pyspark.sql import functions as F
 
 from waypoint.llm import exact_dedup, pii, secrets, shards
 
@@ -148,3 +149,15 @@ def test_weak_parts_are_reported_only_with_their_complement(spark):
     got = {r.doc_id: {s.kind for s in r.secrets} for r in secrets.find_secrets(documents(spark, rows)).collect()}
     assert got == {1: {"access", "weak_secret", "endpoint"}, 2: set(), 3: {"access"}, 4: {"access"}, 5: {"access", "weak_hex"}}
     assert secrets.digest(secrets.find_secrets(no_documents(spark))).count() == 0
+
+
+def test_scope_equals_the_check_of_all_pairs(spark):
+    draw = random.Random(11)
+    span = lambda longest: (lambda a, n: (a, a + n))(draw.randrange(1500), draw.randint(1, longest))
+    rows = [(i, [span(draw.choice([20, 40, 120, 700])) for _ in range(draw.randint(0, 3))], [span(40) for _ in range(draw.randint(0, 2))]) for i in range(400)]
+    rows += [(400, [(195, 235)], [(430, 450)]), (401, [(5, 45)], [(240, 260)]), (402, [(150, 400)], [(401, 421)])]
+    kind = "array<struct<start:int,end:int>>"
+    frame = spark.createDataFrame(rows, f"id int, spans {kind}, others {kind}")
+    got = {r.id: [(s.start, s.end) for s in r.found] for r in frame.select("id", secrets.in_scope(F.col("spans"), F.col("others")).alias("found")).collect()}
+    for i, spans, others in rows:
+        assert got[i] == [s for s in spans if any(o[0] <= s[1] + secrets.SCOPE and s[0] <= o[1] + secrets.SCOPE for o in others)], i

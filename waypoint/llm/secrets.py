@@ -61,13 +61,13 @@ def _blocks(spans: Column) -> Column:
 def in_scope(spans: Column, others: Column) -> Column:
     """Of ``spans`` those with one of ``others`` at most SCOPE code points away.
 
-    An interval join inside the document: blocks are matched by hashing, and
-    only spans in matched blocks are compared, up to the first partner.
+    An interval join inside the document: the blocks that a span touches and
+    those that a partner reaches are matched by hashing, and only spans in matched blocks are compared, up to the first partner.
     """
-    own = F.array_distinct(F.transform(spans, lambda s: F.floor(s["start"] / SCOPE)))
-    matched = F.array_intersect(own, _blocks(others))
+    touched = lambda s: F.sequence(F.floor(s["start"] / SCOPE), F.floor(s["end"] / SCOPE))
+    matched = F.array_intersect(F.flatten(F.transform(spans, touched)), _blocks(others))
     near = lambda s, o: (o["start"] <= s["end"] + SCOPE) & (s["start"] <= o["end"] + SCOPE)
-    return let(matched, lambda m: F.filter(spans, lambda s: F.array_contains(m, F.floor(s["start"] / SCOPE)) & F.exists(others, lambda o: near(s, o))))
+    return let(matched, lambda m: F.filter(spans, lambda s: F.arrays_overlap(m, touched(s)) & F.exists(others, lambda o: near(s, o))))
 
 
 def _clear_of(weak: Column, base: Column) -> Column:
