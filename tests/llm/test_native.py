@@ -161,3 +161,9 @@ def test_scope_equals_the_check_of_all_pairs(spark):
     got = {r.id: [(s.start, s.end) for s in r.found] for r in frame.select("id", secrets.in_scope(F.col("spans"), F.col("others")).alias("found")).collect()}
     for i, spans, others in rows:
         assert got[i] == [s for s in spans if any(o[0] <= s[1] + secrets.SCOPE and s[0] <= o[1] + secrets.SCOPE for o in others)], i
+
+
+def test_a_repeated_id_with_a_copied_and_an_unshared_text_keeps_the_latter(spark):
+    rows = [(3, "same"), (7, "same"), (7, "a unique text"), (8, "sa me"), (9, "another")]
+    kept = exact_dedup.kept_rows(documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(7, "a unique text"), (8, "sa me"), (9, "another")]

@@ -87,8 +87,9 @@ def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """The documents that stay, all columns; one row of every group of equal texts."""
     decided = stage(exact_groups(docs, key, text), "exact")
     dropped = decided.where("not kept").select(F.col("key").alias(key)).where(F.col(key).isNotNull())
-    # a key that is kept for one text and dropped for another, or kept twice, is settled on its rows
-    unclear = decided.where("group_size > 1").groupBy("key").agg(F.count("*").alias("rows"), F.sum(F.col("kept").cast("long")).alias("stays")).where("rows > 1 and stays > 0 or key is null")
+    # a key that is kept for one text and dropped for another, or kept twice, is settled on its rows; texts without a copy count too
+    counted = decided.groupBy("key").agg(F.count("*").alias("rows"), F.sum(F.col("kept").cast("long")).alias("stays"), F.max("group_size").alias("most"))
+    unclear = counted.where("most > 1 and (rows > 1 and stays > 0 or key is null)")
     unclear = stage(unclear.select(F.col("key").alias(key)), "unclear")
     if unclear.isEmpty():
         return drop_keys(docs, key, dropped)
