@@ -10,7 +10,7 @@ from helpers import documents, no_documents
 from test_native import normal
 from test_near import plain_sets
 
-from waypoint.llm import bpe, decontam, quality
+from waypoint.llm import bpe, decontam, near_dedup, quality
 from waypoint.llm.common import stage, table, tokenizer
 from waypoint.llm.queries import QUERIES, SQL
 
@@ -81,3 +81,16 @@ def test_every_operator_is_registered_once():
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert [s[0] for s in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "near_dedup", "decontamination", "bpe"]
     assert set(SQL) <= set(QUERIES) and (corpus_pipeline.ORACLE_SQL is None) == ("pipeline" not in SQL)
+
+
+def test_rows_without_or_with_repeated_ids_are_judged_by_their_own_text(spark):
+    item = " ".join(f"q{i}" for i in range(40))
+    base = [f"v{i}" for i in range(200)]
+    texts = [" ".join(base), " ".join([*base, "one"]), " ".join([*base, "two"])]
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, "a text of its own that no other row shares"), (5, "and another text of its own under the same id"), (6, f"a {item} b"), (6, "a clean text under the id of a copy"), (None, f"c {item}"), (None, "a clean text without an id"), (None, None)]
+    near = sorted(r.text or "" for r in near_dedup.kept_rows(documents(spark, rows)).collect())
+    # of the near copies the row with the smallest id stays, and any id goes before none
+    assert near == sorted(t or "" for _, t in rows if t not in (*texts[:2], f"c {item}"))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = sorted(r.text or "" for r in decontam.kept_rows(documents(spark, rows), items).collect())
+    assert clean == sorted(t or "" for _, t in rows if item not in (t or ""))

@@ -14,8 +14,8 @@ texts is ever compared without a shared seed.
 Defined cases: a null or empty text or item matches nothing; items shorter than
 an n-gram count as one n-gram of their length when the text holds it whole;
 equal items are all reported; repeated rows give one result per (key, item);
-a null key is reported as null and its rows cannot be dropped by key; an empty
-table gives an empty result; further columns are ignored.
+a null key is reported as null; ``kept_rows`` drops by the text and not by the
+key; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -196,6 +196,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
 
 def kept_rows(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that hold no test item, all columns."""
-    found = stage(contaminated(docs, items, key, text).select(F.col("key").alias(key)).distinct(), "contaminated")
-    return drop_keys(docs, key, found.where(F.col(key).isNotNull()))
+    """The documents that hold no test item, all columns; each row is judged by its own text, whatever its key."""
+    digest = "_waypoint_text"
+    rows = docs.withColumn(digest, F.sha2(F.col(text), 256))
+    found = stage(contaminated(rows, items, digest, text).select(F.col("key").alias(digest)).distinct(), "contaminated")
+    return drop_keys(rows, digest, found.where(F.col(digest).isNotNull())).select(*docs.columns)

@@ -21,8 +21,9 @@ pair of a bucket is compared, or in one group, or cannot be similar.
 
 Defined cases: null and empty texts have no shingles and link with nothing;
 rows that share a doc_id are one document and pool their links; rows with a
-null doc_id take the component of their equals, or null; an empty table gives
-an empty result; further columns are ignored.
+null doc_id take the component of their equals, or null; ``kept_rows`` judges
+such rows one by one; an empty table gives an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -294,12 +295,20 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key
 
 
 def kept_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, all columns: of each group the one with the smallest id, once."""
-    decided = stage(near_groups(docs, words, percent, key, text), "near")
-    dropped = decided.where("not kept and doc_id is not null").select(F.col("doc_id").alias(key))
-    twice = stage(decided.where("kept and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null").select(F.col("doc_id").alias(key)), "twice")
-    left = drop_keys(docs, key, dropped)
-    if twice.isEmpty():
-        return left
-    once = keep_keys(left, key, twice).dropDuplicates([key])
-    return drop_keys(left, key, twice).unionByName(once.select(*left.columns))
+    """The documents that stay, all columns: of each group the one with the smallest id, once.
+
+    Where ids are missing or repeated, rows get numbers and are grouped by
+    these, so that each row is judged by its own text.
+    """
+    ids = docs.groupBy(F.col(key).cast("long").alias("id")).agg(F.count("*").alias("n"))
+    if ids.where("n > 1 or id is null").isEmpty():
+        decided = stage(near_groups(docs, words, percent, key, text), "near")
+        return drop_keys(docs, key, decided.where("not kept").select(F.col("doc_id").cast(docs.schema[key].dataType).alias(key)))
+    row = "_waypoint_row"
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    decided = stage(near_groups(rows, words, percent, row, text).select(F.col("doc_id").alias(row), "component_id"), "near")
+    order = F.struct(F.col(key).isNull(), F.col(key), F.col(row))
+    named = stage(decided.join(rows.select(row, key), row).select("component_id", row, order.alias("place")), "places")
+    first = named.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    dropped = named.join(stage(first, "firsts"), "component_id").where(F.col("place") > F.col("first")).select(row)
+    return drop_keys(rows, row, stage(dropped, "dropped")).select(*docs.columns)
