@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 from helpers import TEXTS, documents, no_documents
+from pyspark.sql import functions as F
 
 from waypoint.llm import decontam, quality, url_filter
 from waypoint.llm.common import table
@@ -166,3 +167,30 @@ def test_no_alignment_scores_more_than_the_common_words():
         a, b = draw.integers(0, 9, draw.integers(1, 12)), draw.integers(0, 9, draw.integers(1, 25))
         common = sum(min((a == w).sum(), (b == w).sum()) for w in set(a.tolist()))
         assert decontam.most_score(a, b) == common >= decontam.alignment(a, b)[0]
+
+
+def test_contexts_never_share_a_slot_and_judge_equals_the_plain_likelihood(spark):
+    draw = np.random.default_rng(4)
+    codes = {}
+    for _ in range(3000):  # far more contexts and pairs than 2^18 and 2^20 slots keep apart
+        url = draw.integers(0, 256, 120).astype(np.uint8).tobytes()
+        text = [256] * url_filter.ORDER + list(url) + [257]
+        for order, (contexts, pairs) in enumerate(zip(*(x.tolist() for x in url_filter.slots(url)), strict=True)):
+            for at, (c, p) in enumerate(zip(contexts, pairs, strict=True)):
+                own = (order, *text[at + url_filter.ORDER - order : at + url_filter.ORDER])
+                assert codes.setdefault(c, own) == own and codes.setdefault((p,), (*own, text[at + url_filter.ORDER])) == (*own, text[at + url_filter.ORDER])
+    assert len(codes) > 2**20
+    rows = [(i, f"http://www.a{i % 7}.{'org' if i % 2 else 'com/fr'}/p/{i}") for i in range(40)] + [(100 + i, f"http://b{i}.com/de/q{i}") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    host = url_filter.host_and_path(F.col("url"))
+    full = pages.withColumn("host", host[0]).withColumn("path", host[1])
+    says = url_filter.rule_of(F.col("host"), F.col("path"))[1]
+    full = full.withColumn("label", F.when(says == "allow", 1).when(says == "block", 0)).withColumn("body", url_filter.model_text(F.col("url"), F.col("host")).cast("binary"))
+    taught = full.where(F.col("label").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(url_filter.HOLD)) != 0))
+    rejected, accepted = url_filter.train(taught.select("body", "label"))
+    got = {r.key: r.score for r in url_filter.judge(pages).collect()}
+    assert len(got) == len(rows)
+    for r in full.where("page_id in (3, 4, 101)").collect():
+        codes = url_filter.slots(bytes(r.body))
+        want = (url_filter.log_likelihood(*codes, accepted) - url_filter.log_likelihood(*codes, rejected)) / (len(r.body) + 1)
+        assert abs(got[r.page_id] - want) < 1e-9

@@ -10,8 +10,12 @@ threshold calibrated on judged URLs that did not train. The models read the
 host without its top-level label, the path and what follows: the label is what
 rules decide by, and one that only rejected URLs have would speak against all.
 
-Counts live in hashed tables of fixed size, so the models can be broadcast
-however many URLs there are; the counting itself is a grouped sum.
+Counts are exact and live in written tables that grow with the URLs; nothing
+is hashed together and no count reaches the driver. A place of a URL is told
+by its last ORDER characters and the next one. Each chunk of URLs sends its
+distinct places once, each distinct place of all chunks meets the counts of
+its six orders in joins (the lowest orders, bounded in number, are broadcast),
+and what it says comes back to the chunks, which add up their URLs.
 
 Defined cases: a null URL and one without "://" have an empty host and path,
 fit no rule and are scored as the text they have (null: empty); repeated rows
@@ -38,14 +42,18 @@ RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 # Words of hosts that count as rejected when the models train.
 WORDS = ["casino", "poker", "pills", "viagra", "porn", "bets", "spam", "ads"]
 ORDER = 5
-CONTEXT_BITS, PAIR_BITS = 18, 20
+#: A symbol is a byte, the start or the end of a URL.
+SYMBOL = 9
+_START, _END = 256, 257
+#: Contexts up to this order are few whatever the input: 1 + 258 with at most 66,822 pairs.
+LOW = 1
+#: URLs of one partition that are scored together, 2 to this power.
+CHUNK = 9
 #: One URL in so many calibrates the threshold and does not train.
 HOLD = 5
 BIN = 0.01
 #: Share of the accepted URLs that the calibrated threshold has to keep.
 KEEP = 0.98
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_PAD = 2
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -73,25 +81,22 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) ->
 
 
 def slots(url: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Context and pair slots: one row per order, one column per character and the end."""
-    codes = np.frombuffer(bytes([_PAD] * ORDER) + url + b"\x03", np.uint8).astype(np.uint64)
+    """Codes of contexts and pairs: one row per order, one column per character and the end.
+
+    A context's code is its order and its characters, a pair's code the
+    context's and the next character: exact, in 57 bits.
+    """
+    codes = np.concatenate([np.full(ORDER, _START), np.frombuffer(url, np.uint8), [_END]]).astype(np.int64)
     n = len(codes) - ORDER
-    contexts, pairs = np.empty((ORDER + 1, n), np.int64), np.empty((ORDER + 1, n), np.int64)
-    hashed = np.zeros(n, np.uint64)
-    target = codes[ORDER:]
-    for order in range(ORDER + 1):
-        if order:
-            hashed = (hashed ^ codes[ORDER - order : ORDER - order + n] + np.uint64(1)) * _MIX
-            hashed ^= hashed >> np.uint64(31)
-        place = (hashed + np.uint64(order * 0x51ED2701 + 1)) * _MIX
-        contexts[order] = (place >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
-        pair = (place ^ place >> np.uint64(29) ^ (target + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)) * _MIX
-        pairs[order] = (pair >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    return contexts, pairs
-
-
-def log_likelihood(contexts: np.ndarray, pairs: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
-    """Of one URL: each order is interpolated with the one below, the lowest with 1/256."""
+    contexts = np.zeros((ORDER + 1, n), np.int64)
+    for order in range(1, ORDER + 1):
+        contexts[order] = contexts[order - 1] | codes[ORDER - order : ORDER - order + n] << SYMBOL * (order - 1)
+    contexts |= np.arange(ORDER + 1)[:, None] << SYMBOL * ORDER
+    return contexts, contexts << SYMBOL | codes[ORDER:]
+
+
+def log_likelihood(contexts: np.ndarray, pairs: np.ndarray, model: tuple[Counts, Counts, Counts]) -> float:
+    """Of one URL, the plain way: each order is interpolated with the one below, the lowest with 1/256."""
     seen, total, kinds = model
     p = np.full(contexts.shape[1], 1.0 / 256)
     for c, q in zip(contexts, pairs, strict=True):
@@ -99,50 +104,92 @@ def log_likelihood(contexts: np.ndarray, pairs: np.ndarray, model: tuple[np.ndar
     return float(np.log(p).sum())
 
 
+class Counts:
+    """A written table (code, n) that is asked for a few codes; absent ones count 0."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def sum(self) -> int:
+        return self.rows.agg(F.sum("n")).first()[0] or 0
+
+    def __getitem__(self, codes: np.ndarray) -> np.ndarray:
+        asked = np.unique(codes)
+        found = {r.code: r.n for r in self.rows.where(F.col("code").isin(asked.tolist())).collect()}
+        return np.array([found.get(c, 0) for c in asked.tolist()], np.float64)[np.searchsorted(asked, codes)]
+
+
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        keys = []
-        for i, url in enumerate(batch.column(0)):
-            contexts, pairs = slots(url.as_py() or b"")
-            keys.append(((label[i] << CONTEXT_BITS | contexts) << PAIR_BITS | pairs).reshape(-1))
-        found, counts = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.empty(0, np.int64), np.empty(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts.astype(np.int64))], ["key", "n"])
+        for which in (0, 1):
+            keys = [slots(batch.column(0)[i].as_py() or b"")[1].reshape(-1) for i in np.flatnonzero(label == which).tolist()]
+            if keys:
+                found, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n * (which == 0)), pa.array(n * (which == 1))], ["pair", "n0", "n1"])
 
 
-def _scorer(models):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rejected, accepted = models.value
-        for batch in batches:
-            out = []
-            for url in batch.column(0):
-                text = url.as_py() or b""
-                contexts, pairs = slots(text)
-                out.append((log_likelihood(contexts, pairs, accepted) - log_likelihood(contexts, pairs, rejected)) / (len(text) + 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64())], [*batch.schema.names[1:], "score"])
+def counts(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (url, label 0 or 1): how often each pair was seen by label, and each context's total and kinds."""
+    counted = judged.mapInArrow(_counter, "pair long, n0 long, n1 long").groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    pairs = stage(counted, "url-pairs")
+    sums = [x for i in "01" for x in (F.sum(f"n{i}").alias(f"total{i}"), F.sum((F.col(f"n{i}") > 0).cast("long")).alias(f"kinds{i}"))]
+    return pairs, stage(pairs.groupBy(F.shiftright("pair", SYMBOL).alias("context")).agg(*sums), "url-contexts")
 
-    return work
 
+def train(judged: DataFrame) -> list[tuple[Counts, Counts, Counts]]:
+    """Models (seen, total, kinds) of the rejected and the accepted URLs from (url, label 0 or 1)."""
+    pairs, contexts = counts(judged)
+    view = lambda rows, code, n: Counts(rows.select(F.col(code).alias("code"), F.col(n).alias("n")).where("n > 0"))
+    return [(view(pairs, "pair", f"n{i}"), view(contexts, "context", f"total{i}"), view(contexts, "context", f"kinds{i}")) for i in (0, 1)]
 
-def train(judged: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Models of the rejected and the accepted URLs from (url, label 0 or 1).
 
-    Counts are summed by slot before they reach the driver: never more than
-    2^PAIR_BITS + 2^CONTEXT_BITS rows per model.
-    """
-    counted = stage(judged.mapInArrow(_counter, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "url-counts")
-    label = F.shiftright("key", CONTEXT_BITS + PAIR_BITS)
-    context, pair = F.shiftright("key", PAIR_BITS) % (1 << CONTEXT_BITS), F.col("key") % (1 << PAIR_BITS)
-    models = []
-    for which in (0, 1):
-        own = counted.where(label == which)
-        seen, total, kinds = np.zeros(1 << PAIR_BITS, np.float32), np.zeros(1 << CONTEXT_BITS, np.float32), np.zeros(1 << CONTEXT_BITS, np.float32)
-        rows = columns_of(own.groupBy(pair.cast("int").alias("slot")).agg(F.sum("n").cast("float").alias("n")))
-        seen[rows["slot"]] = rows["n"]
-        rows = columns_of(own.groupBy(context.cast("int").alias("slot")).agg(F.sum("n").cast("float").alias("n"), F.count("*").cast("float").alias("kinds")))
-        total[rows["slot"]], kinds[rows["slot"]] = rows["n"], rows["kinds"]
-        models.append((seen, total, kinds))
-    return models
+def _placer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        chunks = batch.column(0).to_numpy(zero_copy_only=False)
+        for chunk in np.unique(chunks).tolist():
+            keys = [slots(batch.column(1)[i].as_py() or b"")[1][ORDER] for i in np.flatnonzero(chunks == chunk).tolist()]
+            found = np.unique(np.concatenate(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), chunk)), pa.array(found)], ["chunk", "place"])
+
+
+def place_scores(places: DataFrame, pairs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(place, score): what each distinct place adds to the difference of the two log-likelihoods."""
+    body = F.col("place").bitwiseAND(F.lit((1 << SYMBOL * (ORDER + 1)) - 1))
+    suffix = lambda order: body.bitwiseAND(F.lit((1 << SYMBOL * (order + 1)) - 1)).bitwiseOR(F.lit(order << SYMBOL * (ORDER + 1)))
+    wide = F.explode(F.array(*[F.struct(F.lit(k).alias("order"), suffix(k).alias("pair")) for k in range(ORDER + 1)]))
+    rows = stage(places.select("place", wide.alias("_")).select("place", "_.order", "_.pair"), "url-orders").withColumn("context", F.shiftright("pair", SYMBOL))
+    low = F.shiftright("pair", SYMBOL * (ORDER + 1)) <= LOW
+    low_context = F.shiftright("context", SYMBOL * ORDER) <= LOW
+    few = rows.where(F.col("order") <= LOW).join(F.broadcast(pairs.where(low)), "pair", "left").join(F.broadcast(contexts.where(low_context)), "context", "left")
+    many = rows.where(F.col("order") > LOW).join(pairs.where(~low), "pair", "left").join(contexts.where(~low_context), "context", "left")
+    found = ["n0", "total0", "kinds0", "n1", "total1", "kinds1"]
+    both = few.unionByName(many).select("place", F.struct("order", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in found]).alias("step"))
+    steps = both.groupBy("place").agg(F.array_sort(F.collect_list("step")).alias("steps"))
+    step = lambda i: lambda p, x: (x[f"n{i}"] + (x[f"kinds{i}"] + 1.0) * p) / (x[f"total{i}"] + x[f"kinds{i}"] + 1.0)
+    said = [F.log(F.aggregate("steps", F.lit(1.0 / 256), step(i))) for i in (0, 1)]
+    return steps.select("place", (said[1] - said[0]).alias("score"))
+
+
+def _adder(urls: pa.Table, scores: pa.Table) -> pa.Table:
+    place, score = scores.column("place").to_numpy(), scores.column("score").to_numpy()
+    order = np.argsort(place)
+    place, score = place[order], score[order]
+    out = []
+    for url in urls.column("body"):
+        own = slots(url.as_py() or b"")[1][ORDER]
+        out.append(float(score[np.searchsorted(place, own)].sum()) / len(own))
+    return urls.drop_columns(["chunk", "body"]).append_column("score", pa.array(out, pa.float64()))
+
+
+def scores(rows: DataFrame, pairs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The rows with ``score`` in place of their ``body``: log-likelihood accepted less rejected, over the length."""
+    chunked = stage(rows.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK)), "url-chunks")
+    sent = stage(chunked.select("chunk", "body").mapInArrow(_placer, "chunk long, place long").distinct(), "url-places")
+    known = stage(place_scores(sent.select("place").distinct(), pairs, contexts), "url-place-scores")
+    back = sent.join(known, "place").select("chunk", "place", "score")
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.drop("body").dtypes) + ", score double"
+    return chunked.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_adder, schema)
 
 
 def threshold(scored: DataFrame) -> float:
@@ -177,10 +224,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, words: list[st
     label = F.when(F.col("says") == "allow", 1).when((F.col("says") == "block") | listed, 0)
     rows = rows.withColumn("rule", rule).withColumn("says", says).withColumn("label", label.cast("int"))
     rows = rows.withColumn("held", F.pmod(F.xxhash64("url"), F.lit(HOLD)) == 0).withColumn("body", model_text(F.col("url"), F.col("host")).cast("binary"))
-    models = train(rows.where("label is not null and not held").select("body", "label"))
+    models = counts(rows.where("label is not null and not held").select("body", "label"))
     columns = ["key", "host", "path", "rule", "says", "label", "held"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*columns).dtypes) + ", score double"
-    scored = stage(rows.select("body", *columns).mapInArrow(_scorer(spark.sparkContext.broadcast(models)), schema), "url-scores")
+    scored = stage(scores(rows.select("body", *columns), *models), "url-scores")
     cut = threshold(scored.where("held"))
     verdict = F.coalesce("says", F.when(F.col("score") >= cut, "allow").otherwise("block"))
     return scored.select("key", "host", "path", "rule", verdict.alias("verdict"), "score", F.lit(cut).alias("threshold"))
