@@ -55,3 +55,23 @@ def test_every_call_comes_after_what_it_needs(spark):
     rows = [(7, 40 - i, "assistant", call(id=f"k{i}", name="add", arguments={"x": i, "y": i}, needs=[f"k{i - 1}"] if i else [])) for i in range(12)]
     out = {r.call_id: (r.ready_turn, r.hops) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMAS).collect()}
     assert all(out[f"k{i}"] > out[f"k{i - 1}"] for i in range(1, 12))
+
+
+def test_long_chains_are_ordered_and_only_cycles_are_stuck(spark):
+    rows = [(7, 500, "assistant", "".join(call(id=f"k{i}", name="add", arguments={"x": i, "y": i}, needs=[f"k{i + 1}"] if i < 99 else []) for i in range(100)))]
+    rows += [(8, 1, "assistant", call(id="a", name="add", arguments={"x": 1, "y": 1}, needs=["b"]) + call(id="b", name="add", arguments={"x": 1, "y": 1}, needs=["c"]) + call(id="c", name="add", arguments={"x": 1, "y": 1}, needs=["b", "d"]) + call(id="d", name="add", arguments={"x": 1, "y": 1}))]
+    rows += [(9, 1, "assistant", call(id="a", name="add", arguments={"x": 1, "y": 1}, needs=["b", "c"])), (9, 5, "assistant", call(id="b", name="add", arguments={"x": 1, "y": 1}, needs=["c"])), (9, 3, "assistant", call(id="c", name="add", arguments={"x": 1, "y": 1}))]
+    out = {(r.conv_id, r.call_id): r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMAS).collect() if r.name}
+    for i in range(100):
+        r = out[(7, f"k{i}")]
+        assert (r.ready_turn, r.hops, r.problems) == (500, 99 - i, "no result")
+    assert {k: "cycle" in out[(8, k)].problems for k in "abcd"} == {"a": True, "b": True, "c": True, "d": False}
+    assert {k: (out[(9, k)].ready_turn, out[(9, k)].hops) for k in "abc"} == {"a": (5, 1), "b": (5, 0), "c": (3, 0)}
+
+
+def test_results_without_a_call_are_reported(spark):
+    rows = [(1, 0, "assistant", "hello"), (1, 1, "user", "hi"), (1, 2, "assistant", "yes"), (1, 3, "tool", result("lost", "3")), (1, 4, "tool", "no json"), (None, 5, "assistant", "no chat")]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    got = sorted((r.turn, r.call_id, r.result_turn, r.problems, json.loads(r.json)["result"]) for r in out if not r.valid)
+    assert got == [(0, "u-1", 0, "no call", "hello"), (3, "lost", 3, "no call", "3"), (4, None, 4, "no identifier,no call", None), (5, "u4", 5, "no identifier,no call", "no chat")]
+    assert [r.call_id for r in out if r.valid] == ["u1"]

@@ -6,7 +6,8 @@ Arguments are checked against the tools' schemas and written as canonical
 JSON: sorted keys at every level, no blanks. A call can run once every call
 it needs has run: (ready_turn, hops) orders the calls of a conversation
 topologically, with the call's own turn first and, for needs that come later
-in the text, the number of steps behind them.
+in the text, the number of steps behind them. Long chains are followed by
+pointer doubling, so their length costs rounds by its logarithm only.
 
 Two kinds of calls are read from messages. Explicit ones stand in assistant
 texts as <tool_call>{"id", "name", "arguments", "needs"}</tool_call>, and
@@ -17,9 +18,10 @@ assistant wrote it; it needs the user turn before it.
 Defined cases: a null text counts as missing, so it is reported as a missing
 prompt; a null conversation or identifier links with nothing and is reported; an
 identifier used twice is reported on each of its calls; of several results the
-first by (turn, content) is taken and reported; calls in a cycle, or behind
-more than ROUNDS later calls, are reported; repeated rows stay; an empty table
-gives an empty result; further columns are ignored.
+first by (turn, content) is taken and reported; a result without a call is
+reported in a row of its own, without a name; calls in or behind a cycle are
+reported and keep their own turn; repeated rows stay; an empty table gives an
+empty result; further columns are ignored. Other roles (system) make no row.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-ROUNDS = 64
 # Tool, argument, JSON type, required, longest text.
 SCHEMAS = [("reply", "prompt", "STRING", True, 20000), ("reply", "turn", "BIGINT", True, None)]
 CALLS = ["conv_id", "turn", "call_id", "name", "arguments", "needs"]
@@ -111,20 +112,32 @@ def _ready(calls: DataFrame) -> DataFrame:
         own = stage(met.where("need_turn is not null").join(later, "conv_id", "left_semi").select("conv_id", "call_id", "need"), "needs")
         calm = state.join(later, "conv_id", "left_anti")
         now = stage(state.join(later, "conv_id", "left_semi"), "ready")
-        for _ in range(ROUNDS):
-            before = now.select("conv_id", F.col("call_id").alias("need"), F.struct(F.col("ready.t").alias("t"), (F.col("ready.h") + 1).alias("h")).alias("after"))
-            most = own.join(before, ["conv_id", "need"]).groupBy("conv_id", "call_id").agg(F.max("after").alias("after"))
-            moved = now.join(most, ["conv_id", "call_id"], "left")
-            up = F.coalesce(F.col("after") > F.col("ready"), F.lit(False))
-            now = stage(moved.select("conv_id", "call_id", F.when(up, F.col("after")).otherwise(F.col("ready")).alias("ready"), "lost", up.alias("stuck")), "ready")
-            if now.where("stuck").isEmpty():
+        # after each round the state holds all paths of fewer than ``step`` needs, and jumps are the paths of just so many
+        ids, step = ["conv_id", "call_id"], 1
+        sizes = stage(now.groupBy("conv_id").agg(F.count("*").alias("size")), "sizes")
+        jumps, caught = own, now.select(*ids).limit(0)
+        while True:
+            # a path as long as its conversation has calls comes by one of them twice
+            long = jumps.join(sizes.where(F.col("size") <= step), "conv_id", "left_semi")
+            caught = stage(caught.unionByName(long.select(*ids).distinct()), "caught")
+            jumps = stage(jumps.join(sizes.where(F.col("size") > step), "conv_id", "left_semi"), "jumps")
+            if jumps.isEmpty():
                 break
+            before = now.select("conv_id", F.col("call_id").alias("need"), F.struct(F.col("ready.t").alias("t"), (F.col("ready.h") + step).alias("h")).alias("after"))
+            most = jumps.join(before, ["conv_id", "need"]).groupBy(*ids).agg(F.max("after").alias("after"))
+            # null turns sort first, and so lose
+            now = stage(now.join(most, ids, "left").select(*ids, F.when(F.col("after") > F.col("ready"), F.col("after")).otherwise(F.col("ready")).alias("ready"), "lost"), "ready")
+            on = jumps.select("conv_id", F.col("call_id").alias("need"), F.col("need").alias("further"))
+            jumps, step = stage(jumps.join(on, ["conv_id", "need"]).select(*ids, F.col("further").alias("need")).distinct(), "jumps"), step * 2
+        # a call in or behind a cycle never gets ready: it keeps its own turn
+        stays = now.join(nodes, ids).join(caught.withColumn("stuck", F.lit(True)), ids, "left").withColumn("stuck", F.coalesce("stuck", F.lit(False)))
+        now = stays.select(*ids, F.when(F.col("stuck"), F.struct(F.col("turn").alias("t"), F.lit(0).alias("h"))).otherwise(F.col("ready")).alias("ready"), "lost", "stuck")
         state = calm.unionByName(now)
     return state.select("conv_id", "call_id", F.col("ready.t").alias("ready_turn"), F.col("ready.h").alias("hops"), "lost", "stuck")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: list[tuple] = SCHEMAS) -> DataFrame:
-    """Per call: conv_id, turn, call_id, name, ready_turn, hops, result_turn, valid, problems, json."""
+    """Per call, and per result without one: conv_id, turn, call_id, name, ready_turn, hops, result_turn, valid, problems, json."""
     calls = calls.select(*CALLS)
     answers = results.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.count("*").alias("answers"), F.min(F.struct("turn", "content")).alias("answer"))
     used = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.count("*").alias("uses"))
@@ -147,12 +160,25 @@ def link(calls: DataFrame, results: DataFrame, schemas: list[tuple] = SCHEMAS) -
         F.lit(',"call_id":'), quoted(F.col("call_id")), F.lit(',"name":'), quoted(F.col("name")),
         F.lit(',"result":'), quoted(F.col("answer.content")), F.lit("}"),
     )
-    return rows.select(
+    linked = rows.select(
         "conv_id", "turn", "call_id", "name", F.coalesce("ready_turn", "turn").alias("ready_turn"), F.coalesce("hops", F.lit(0)).alias("hops"),
         F.col("answer.turn").alias("result_turn"), (F.col("problems") == "").alias("valid"), "problems", json.alias("json"))
+    return linked.unionByName(_without_call(calls, results))
+
+
+def _without_call(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """The results that no call asks for, in the columns of ``link``."""
+    asked = calls.select("conv_id", "call_id").distinct()
+    rest = results.join(asked, ["conv_id", "call_id"], "left_anti")
+    unnamed = F.col("conv_id").isNull() | F.col("call_id").isNull()
+    problems = F.array_join(F.array_compact(F.array(F.when(unnamed, "no identifier"), F.lit("no call"))), ",")
+    json = F.concat(F.lit('{"arguments":null,"call_id":'), F.coalesce(quoted(F.col("call_id")), F.lit("null")), F.lit(',"name":null,"result":'), F.coalesce(quoted(F.col("content")), F.lit("null")), F.lit("}"))
+    return rest.select(
+        "conv_id", "turn", "call_id", F.lit(None).cast("string").alias("name"), F.col("turn").alias("ready_turn"), F.lit(0).alias("hops"),
+        F.col("turn").alias("result_turn"), F.lit(False).alias("valid"), problems.alias("problems"), json.alias("json"))
 
 
 def format_chats(messages: DataFrame, schemas: list[tuple] = SCHEMAS) -> DataFrame:
-    """All calls of plain and tool-using conversations, linked."""
+    """All calls of plain and tool-using conversations, linked, and the results that have none."""
     messages = messages.select("conv_id", "turn", "role", "text")
     return link(reply_calls(messages).unionByName(explicit_calls(messages)), reply_results(messages).unionByName(explicit_results(messages)), schemas)
