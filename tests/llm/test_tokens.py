@@ -72,3 +72,15 @@ def test_table_round_trip(spark, both):
         packed = struct.pack(f"<{r.n_tokens}I", *library.encode_ordinary(r.text))
         assert (r.ids, r.ids_sha256, r.decoded_sha256) == (packed, hashlib.sha256(packed).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest())
     assert bpe.tokenize(no_documents(spark), path, pattern).count() == 0
+
+
+def test_decoded_digest_comes_through_the_stream_decoder(monkeypatch):
+    fed, feed = [], bpe.Utf8Stream.feed
+    monkeypatch.setattr(bpe.Utf8Stream, "feed", lambda self, data: fed.append(bytes(data)) or feed(self, data))
+    path, pattern = tokenizer()
+    work = bpe.Codec(bpe.load_ranks(path), pattern)
+    work.CHUNK = 3  # cuts characters apart
+    for text in ("", "Größe, naïve café, 😀 and \x85 odd \u200b signs 漢字" * 5):
+        row = bpe._row(work, text, ("decoded_sha256",))
+        assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert b"".join(fed) == text.encode()

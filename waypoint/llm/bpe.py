@@ -341,9 +341,10 @@ def _row(work: Codec, text: str, wanted: Iterable[str]) -> dict:
     if "decoded" in wanted:
         row["decoded"] = work.decode(ids)
     if "decoded_sha256" in wanted:
-        digest = hashlib.sha256()
+        digest, stream = hashlib.sha256(), Utf8Stream()
         for part in work.decode_bytes(ids):
-            digest.update(part)
+            digest.update(stream.feed(part).encode())
+        digest.update(stream.end().encode())
         row["decoded_sha256"] = digest.hexdigest()
     return row
 
