@@ -44,14 +44,17 @@ def prefix(
     sums: list[str] | None = None,
     rank: str = "rank",
     totals: dict[str, str | None] | None = None,
+    order_only: list[str] | None = None,
 ) -> DataFrame:
     """Adds ``rank`` (1-based) and ``cum_<x>`` (inclusive) within each group.
 
     ``totals`` adds group totals on every row: name -> one of ``sums``, or None
     for the number of rows. They come from the offset table, not from the rows.
+    Columns named in ``order_only`` decide the order and are not written.
     """
     by, sums, totals = by or [], sums or [], totals or {}
-    ordered = df.orderBy(*[F.col(b).asc_nulls_first() for b in by], *order)
+    ordered = df.orderBy(*[F.col(b).asc_nulls_first() for b in by], *order).drop(*(order_only or []))
+    columns = [c for c in df.columns if c not in (order_only or [])]
     placed = materialize(ordered.withColumn("_seq", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_seq", 33)).withColumn("_row", F.col("_seq") % (1 << 33))
 
@@ -73,7 +76,7 @@ def prefix(
     start = small(start)
     match = reduce(lambda a, b: a & b, [placed[k].eqNullSafe(start[f"_k_{k}"]) for k in by], placed["_part"] == start["_k__part"])
     return placed.join(start, match).select(
-        *df.columns,
+        *columns,
         (F.col("_row") + F.col("_shift")).cast("bigint").alias(rank),
         *[(F.col(f"_b_{s}") + F.coalesce(F.col(f"_c_{s}"), F.lit(0))).alias(f"cum_{s}") for s in sums],
         *[F.col(f"_a_{name}").alias(name) for name in totals],
