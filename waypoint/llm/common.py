@@ -138,3 +138,23 @@ def keep_keys(df: DataFrame, key: str, kept: DataFrame) -> DataFrame:
     """Rows of ``df`` whose key is among ``kept``; rows that the bitmap clears are not moved."""
     marked = mark_maybe(df, [key], stage(bitmap(kept, [key]), "kept-bits"))
     return marked.where(F.col(MAYBE)).select(*df.columns).join(kept.select(key).distinct(), key, "left_semi").select(*df.columns)
+
+
+#: Keys that ``attach`` may broadcast, at most.
+HOT_KEYS = 10_000
+#: Rows that a key must have, at least, to be met by broadcast.
+HOT_ROWS = 100_000
+
+
+def attach(rows: DataFrame, known: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` joined to ``known``, one row per key, whose ``weight`` is the key's number of ``rows``.
+
+    Keys above a HOT_KEYS-th of all rows are looked up by broadcast, so at most
+    HOT_KEYS rows are; the other keys are joined by a shuffle. ``weight`` is dropped.
+    """
+    total = known.agg(F.sum(weight)).first()[0] or 0
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    if known.where(F.col(weight) > bound).isEmpty():
+        return rows.join(known.drop(weight), keys)
+    hot = F.broadcast(known.where(F.col(weight) > bound).drop(weight))
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(known.where(F.col(weight) <= bound).drop(weight), keys))

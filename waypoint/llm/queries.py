@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, chat, decontam, exact_dedup, near_dedup, pii, quality, secrets, shards, twins, url_filter
+from . import bpe, chat, decontam, exact_dedup, near_dedup, pii, quality, secrets, shards, trie, twins, url_filter
 from .common import table, tokenizer
 
 SHARDS = 8
@@ -60,6 +60,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_near_dedup": op9_near_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_conversation_trie": op11_conversation_trie,
     "pipeline": corpus_pipeline.run,
 }
 #: Fitted models, merges and alignment cannot be said in SQL; tests hold those queries against plain versions.
@@ -79,4 +84,5 @@ SQL: dict[str, str] = {
     "op5_exact_dedup": twins.OP5,
     "op6_chat_format": twins.OP6,
     "op9_near_dedup": twins.OP9,
+    "op11_conversation_trie": twins.OP11,
 }

@@ -33,3 +33,21 @@ e AS (SELECT x, y FROM o JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE
 r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
 c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, coalesce(k, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM w JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+# As in OP3, the checksum's table follows from its polynomial; a subtree's nodes are found through the path of their smallest member.
+OP11 = """WITH step AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS t),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(conv_id::VARCHAR), '..'), lambda x: ('0x' || x)::BIGINT), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295)) % 6 AS h FROM (SELECT DISTINCT conv_id FROM o), step),
+f AS (SELECT c.conv_id, o.p AS d, role, text FROM c JOIN o ON o.conv_id = c.base AND o.p <= c.h),
+n AS (SELECT conv_id, count(*) AS n FROM f GROUP BY 1),
+r AS (SELECT * FROM f UNION ALL SELECT o.conv_id, o.p - c.h + coalesce(n.n, 0), role, text FROM o JOIN c USING (conv_id) LEFT JOIN n USING (conv_id) WHERE o.p > c.h),
+k AS (SELECT conv_id, d, length(text) AS chars, md5(string_agg(md5(md5(role) || md5(text)), '') OVER (PARTITION BY conv_id ORDER BY d)) AS k FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+m AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM k GROUP BY 1, 2),
+u AS (SELECT m.*, q.conv_id AS parent FROM m LEFT JOIN k ON k.conv_id = m.conv_id AND k.d = m.d - 1 LEFT JOIN m q ON q.d = k.d AND q.k = k.k),
+kids AS (SELECT d - 1 AS d, parent AS conv_id, count(*) AS n_children FROM u WHERE d > 0 GROUP BY 1, 2),
+v AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN kids USING (d, conv_id)),
+s AS (SELECT k.d, k.k, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((v.n_convs - 1) * v.chars) AS saved_tokens FROM v JOIN k ON k.conv_id = v.conv_id AND k.d <= v.d GROUP BY 1, 2),
+l AS (SELECT conv_id, max(d) AS d FROM k GROUP BY 1),
+e AS (SELECT d, k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM k JOIN l USING (conv_id, d) GROUP BY 1, 2)
+SELECT conv_id::BIGINT AS conv_id, d::BIGINT AS depth, parent::BIGINT AS parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+ FROM v JOIN s USING (d, k) LEFT JOIN e USING (d, k)"""
