@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, chat, decontam, exact_dedup, near_dedup, pii, quality, secrets, shards, trie, twins, url_filter
+from . import bpe, chat, decontam, exact_dedup, fingerprints, near_dedup, pii, quality, search, secrets, shards, trie, twins, url_filter
 from .common import table, tokenizer
 
 SHARDS = 8
@@ -64,6 +64,14 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -76,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_lexical_search": op13_lexical_search,
     "pipeline": corpus_pipeline.run,
 }
 #: Fitted models, merges and alignment cannot be said in SQL; tests hold those queries against plain versions.
@@ -85,4 +95,5 @@ SQL: dict[str, str] = {
     "op6_chat_format": twins.OP6,
     "op9_near_dedup": twins.OP9,
     "op11_conversation_trie": twins.OP11,
+    "op13_lexical_search": twins.OP13,
 }

@@ -51,3 +51,14 @@ l AS (SELECT conv_id, max(d) AS d FROM k GROUP BY 1),
 e AS (SELECT d, k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM k JOIN l USING (conv_id, d) GROUP BY 1, 2)
 SELECT conv_id::BIGINT AS conv_id, d::BIGINT AS depth, parent::BIGINT AS parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
  FROM v JOIN s USING (d, k) LEFT JOIN e USING (d, k)"""
+
+OP13 = r"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS l FROM documents WHERE text IS NOT NULL),
+x AS (SELECT count(*) AS n, sum(len(l))::BIGINT AS total FROM d WHERE len(l) > 0),
+q AS (SELECT item_id, md5(text) AS tag, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)),
+a AS (SELECT item_id, tag, term, count(*) AS times FROM q GROUP BY 1, 2, 3),
+p AS (SELECT r, doc_id, len(l) AS size, unnest(l) AS term FROM d),
+t AS (SELECT r, doc_id, size, term, count(*) AS tf FROM p GROUP BY 1, 2, 3, 4),
+w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, x GROUP BY term, n),
+s AS (SELECT item_id, tag, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * size * n) // total))))::BIGINT AS score FROM a JOIN w USING (term) JOIN t USING (term), x GROUP BY 1, 2, 3, 4)
+SELECT item_id, row_number() OVER (PARTITION BY item_id, tag ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank, doc_id, score FROM s WHERE score > 0
+ QUALIFY rank <= 20"""
