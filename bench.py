@@ -29,7 +29,7 @@ def main() -> None:
     def auroc_intervals(s, d):
         from pyspark.sql import functions as F
 
-        return Q.paired_auroc(ruled(s, d).withColumn("safe", ~F.col("u")), "group_id", "p_safe_t0_raw", "s", "safe", 2000, "bench")
+        return Q.paired_curves(ruled(s, d).withColumn("safe", ~F.col("u")), "group_id", "p_safe_t0_raw", "s", "safe", 2000, "bench")
 
     jobs = {
         "case_state": builds["e13_case_state"],

@@ -1,24 +1,33 @@
 """Case state before and after a decision event, from an event log.
 
 One pass finds each case's cut point; the cut is joined back to the events and
-every state column is a sum, minimum or maximum, so a case is aggregated in two
-steps: first per (case, salt), then per case. Only cases with more than
-``HOT_ROWS`` events get more than one salt.
+every state column is a sum, minimum or maximum. Time and order of an event are
+packed into one decimal that sorts like the pair, so all buffers are numbers of
+fixed size and the aggregate is hashed; values are picked by that key. If there
+are cases with more than ``HOT_ROWS`` events, these are aggregated per (case,
+salt) first. Text attributes of a case are not aggregated with the events: they
+are read from the case's first row, and only cases that lack one there and have
+it later are searched further.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import any_of, is_true, parse_bool, relative_gap, require_columns
 from ..session import materialize
-from .ordered import percentiles, scalars
+from .ordered import hash_ranks, percentiles, prefix, scalars
 
 HOT_ROWS = 1_000_000
+#: Parts of a case whose first rows are found apart.
+SPREAD = 64
+#: Hot cases that are broadcast, at most.
+HOT_CASES = 10_000
 ARROW = " -> "
 
 # Static case attributes (log column -> state column).
@@ -88,6 +97,17 @@ HISTORY_FLAGS = {
 }
 
 
+_WIDE = "decimal(20,0)"
+
+
+def packed(ts: Column, order: Column) -> Column:
+    """(time, order) as one decimal(38) that sorts like the pair; undated events come last."""
+    late = F.lit(1 << 61)
+    micros = F.coalesce(F.unix_micros(ts.cast("timestamp")), late).cast(_WIDE)
+    place = F.coalesce(order.cast("bigint"), F.lit(0)).cast(_WIDE)
+    return micros * F.lit(str(1 << 64)).cast(_WIDE) + (place + F.lit(str(1 << 63)).cast(_WIDE))
+
+
 @dataclass(frozen=True)
 class Log:
     """Column roles of an event table and the activity behind each role."""
@@ -110,10 +130,14 @@ class Log:
             F.col(f"`{self.activity}`").alias("activity"),
             F.col(f"`{self.ts}`").alias("ts"),
             F.col(f"`{self.order}`").alias("ord"),
+            packed(F.col(f"`{self.ts}`"), F.col(f"`{self.order}`")).alias("at"),
             F.col(f"`{self.value}`").cast("double").alias("value"),
             *[F.col(f"`{c}`").cast("string").alias(f"attr_{n}") for c, n in {**self.attributes, **self.flags}.items()],
         )
 
+    def attribute_names(self) -> list[str]:
+        return [*self.attributes.values(), *self.flags.values()]
+
     def is_role(self, *roles: str) -> Column:
         return F.col("activity").isin([self.activities[r] for r in roles])
 
@@ -143,17 +167,21 @@ def last_time(cond: Column) -> Part:
     return Part(F.max(F.when(cond, F.col("ts"))), F.max)
 
 
-def _keyed(cond: Column, value: str) -> Column:
-    return F.when(cond, F.struct(F.col("ts"), F.col("ord"), F.col(value).alias("v")))
+def _picked(cond: Column, value: str, pick: Callable, end: Callable) -> Part:
+    at = F.when(cond, F.col("at"))
+    return Part(
+        F.struct(pick(value, at).alias("v"), end(at).alias("k")),
+        lambda c: F.struct(pick(c["v"], c["k"]).alias("v"), end(c["k"]).alias("k")), lambda c: c["v"],
+    )
 
 
 def first_row_value(cond: Column, value: str = "value") -> Part:
     """Value on the first matching row, NULL if that row has none."""
-    return Part(F.min(_keyed(cond, value)), F.min, lambda c: c["v"])
+    return _picked(cond, value, F.min_by, F.min)
 
 
 def last_row_value(cond: Column, value: str = "value") -> Part:
-    return Part(F.max(_keyed(cond, value)), F.max, lambda c: c["v"])
+    return _picked(cond, value, F.max_by, F.max)
 
 
 def first_value(cond: Column, value: str = "value") -> Part:
@@ -166,47 +194,82 @@ def last_value(cond: Column, value: str = "value") -> Part:
 
 
 def first_order(cond: Column) -> Part:
-    return Part(F.min(F.when(cond, F.struct("ts", "ord"))), F.min, lambda c: c["ord"])
+    return first_row_value(cond, "ord")
+
+
+CUT, CUT1 = ["cut_at", "cut_ts", "cut_ord"], ["cut1_at", "cut1_ts", "cut1_ord"]
 
 
 def combine(salted: DataFrame, parts: dict[str, Part], keep: list[str] | None = None) -> DataFrame:
-    """Aggregate per (case, salt), then per case. ``keep`` columns are constant per case."""
+    """Aggregate per case, by way of (case, salt) where ``attach`` has salted. ``keep`` columns are constant per case."""
     keep = keep or []
-    inner = salted.groupBy("case_id", "_salt").agg(
-        *[F.max(k).alias(k) for k in keep], *[p.partial.alias(n) for n, p in parts.items()]
-    )
-    outer = inner.groupBy("case_id").agg(
-        *[F.max(k).alias(k) for k in keep], *[p.merge(F.col(n)).alias(n) for n, p in parts.items()]
-    )
-    return outer.select("case_id", *keep, *[p.finish(F.col(n)).alias(n) for n, p in parts.items()])
+    salts = ["_salt"] if "_salt" in salted.columns else []
+    out = salted.groupBy("case_id", *salts, *keep).agg(*[p.partial.alias(n) for n, p in parts.items()])
+    if salts:
+        out = out.groupBy("case_id", *keep).agg(*[p.merge(F.col(n)).alias(n) for n, p in parts.items()])
+    return out.select("case_id", *keep, *[p.finish(F.col(n)).alias(n) for n, p in parts.items()])
+
 
+def cut_points(events: DataFrame, decision: Column, attributes: list[str] | None = None) -> DataFrame:
+    """First decision event of each case by (time, order); undated events never decide.
 
-def cut_points(events: DataFrame, decision: Column) -> DataFrame:
-    """First decision event of each case by (time, order); undated events never decide."""
-    key = F.struct("ts", "ord")
+    With ``attributes`` also the case's first row and which of them it holds,
+    and which the case holds at all (see ``static_attributes``).
+    """
+    at = F.when(decision & F.col("ts").isNotNull(), F.col("at"))
+    held = _held(attributes) if attributes else None
+    more = [F.min("at").alias("first_at"), F.min_by(held, "at").alias("first_held"), F.bit_or(held).alias("held")] if attributes else []
     return (
         events.groupBy("case_id")
-        .agg(F.min(F.when(decision & F.col("ts").isNotNull(), key)).alias("cut"), F.count("*").alias("n_events"))
-        .where(F.col("cut").isNotNull())
+        .agg(F.min(at).alias("cut_at"), F.min_by("ts", at).alias("cut_ts"), F.min_by("ord", at).alias("cut_ord"), F.count("*").alias("n_events"), *more)
+        .where(F.col("cut_at").isNotNull())
     )
 
 
 def second_cut(salted: DataFrame, evidence: Column) -> DataFrame:
     """First evidence event strictly after the first cut."""
-    after = F.col("ts").isNotNull() & (F.struct("ts", "ord") > F.col("cut"))
-    found = combine(salted, {"cut1": Part(F.min(F.when(evidence & after, F.struct("ts", "ord"))), F.min)}, ["cut", "n_events"])
-    return found.where(F.col("cut1").isNotNull())
+    later = evidence & future()
+    parts = {"cut1_at": Part(F.min(F.when(later, F.col("at"))), F.min), "cut1_ts": first_row_value(later, "ts"), "cut1_ord": first_row_value(later, "ord")}
+    return combine(salted, parts, [*CUT, "n_events"]).where(F.col("cut1_at").isNotNull())
+
+
+def _held(names: list[str]) -> Column:
+    """One bit per attribute that is not NULL."""
+    bits = [F.when(F.col(f"attr_{n}").isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, n in enumerate(names)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def static_attributes(events: DataFrame, cuts: DataFrame, names: list[str]) -> DataFrame:
+    """(case_id, names): the first value of each attribute that is not NULL.
+
+    ``cuts`` comes from ``cut_points`` with these attributes. The first row has
+    them all in most cases; it is found by an equi-join on (case, key), which
+    also spreads a hot case. The events of the other cases are searched.
+    """
+    whole = F.col("first_held") == F.col("held")
+    columns = [f"attr_{n}" for n in names]
+    first = cuts.where(whole).select(F.col("case_id").alias("_case"), F.col("first_at").alias("_at"))
+    # rows that repeat time and order are one
+    plain = events.join(first, (events["case_id"] == first["_case"]) & (events["at"] == first["_at"])).select("case_id", *columns)
+    plain = plain.dropDuplicates(["case_id"]).select("case_id", *[F.col(f"attr_{n}").alias(n) for n in names])
+    late = events.join(cuts.where(~whole).select("case_id"), "case_id")
+    keyed = late.groupBy("case_id").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(n) for c, n in zip(columns, names, strict=True)])
+    return plain.unionByName(keyed)
 
 
 def attach(events: DataFrame, cuts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join the cut of its case to every event, salting only hot cases.
 
-    The list of hot cases has at most (events / hot_rows) rows, which bounds what
-    is broadcast.
+    A case is hot above ``hot_rows`` events and above a HOT_CASES-th of all, so
+    at most HOT_CASES rows are broadcast; without one there are no salts.
     """
-    salts = F.ceil(F.col("n_events") / F.lit(hot_rows)).cast("int")
-    hot = cuts.where(F.col("n_events") > hot_rows).select(F.col("case_id").alias("_hot"), salts.alias("_salts"))
-    spread = F.pmod(F.xxhash64("ord", "ts"), F.coalesce(F.col("_salts"), F.lit(1))).cast("int")
+    size = cuts.agg(F.sum("n_events").alias("all"), F.max("n_events").alias("most")).first()
+    bound = max(hot_rows, (size["all"] or 0) // HOT_CASES)
+    if (size["most"] or 0) <= bound:
+        return events.join(cuts, "case_id")
+    salts = F.ceil(F.col("n_events") / F.lit(bound)).cast("int")
+    hot = cuts.where(F.col("n_events") > bound).select(F.col("case_id").alias("_hot"), salts.alias("_salts"))
+    spread = F.pmod(F.xxhash64("at"), F.coalesce(F.col("_salts"), F.lit(1))).cast("int")
     left = (
         events.join(F.broadcast(hot), events["case_id"] == hot["_hot"], "left")
         .withColumn("_salt", spread)
@@ -224,16 +287,11 @@ def prepared(events: DataFrame, log: Log) -> tuple[DataFrame, DataFrame]:
 
 
 def past() -> Column:
-    return F.col("ts").isNotNull() & (F.struct("ts", "ord") <= F.col("cut"))
+    return F.col("ts").isNotNull() & (F.col("at") <= F.col("cut_at"))
 
 
 def future() -> Column:
-    return F.col("ts").isNotNull() & (F.struct("ts", "ord") > F.col("cut"))
-
-
-def _static(log: Log) -> dict[str, Part]:
-    names = [*log.attributes.values(), *log.flags.values()]
-    return {n: first_value(F.lit(True), f"attr_{n}") for n in names}
+    return F.col("ts").isNotNull() & (F.col("at") > F.col("cut_at"))
 
 
 def _days(start: str, end: str) -> Column:
@@ -242,11 +300,14 @@ def _days(start: str, end: str) -> Column:
 
 def case_state(events: DataFrame, log: Log) -> DataFrame:
     """Everything known at the decision event, and what was seen after it."""
-    salted, _ = prepared(events, log)
+    rows, names = log.normal(events), log.attribute_names()
     role = log.is_role
-    before, after = past(), future()
+    cuts = materialize(cut_points(rows, role("invoice_receipt"), names))
+    # the side of the cut is worked out once per event
+    salted = attach(rows.drop(*[f"attr_{n}" for n in names]), cuts.select("case_id", *CUT, "n_events"))
+    salted = salted.withColumns({"_past": past(), "_future": future()})
+    before, after = F.col("_past"), F.col("_future")
     parts: dict[str, Part] = {
-        **_static(log),
         "case_start_time": first_time(F.lit(True)),
         "case_end_time": last_time(F.lit(True)),
         "events_total_case": Part(F.count("*"), F.sum),
@@ -296,14 +357,14 @@ def case_state(events: DataFrame, log: Log) -> DataFrame:
         "first_future_price_change_time": first_time(after & role("price_change")),
         "first_future_quantity_change_time": first_time(after & role("quantity_change")),
     }
-    state = combine(salted, parts, ["cut"])
+    state = combine(salted, parts, CUT).join(static_attributes(rows, cuts, names), "case_id")
     exceptions = [
         "outcome_invoice_cancelled_after_t0", "outcome_payment_block_removed_after_t0",
         "outcome_payment_block_set_after_t0", "outcome_future_gr_cancel",
         "outcome_future_price_change", "outcome_future_quantity_change", "outcome_subsequent_invoice",
     ]
     state = state.withColumns({
-        "decision_time": F.col("cut.ts"),
+        "decision_time": F.col("cut_ts"),
         "decision_activity": F.lit(log.activities["invoice_receipt"]),
         **{n: parse_bool(n) for n in log.flags.values()},
     })
@@ -323,7 +384,7 @@ def case_state(events: DataFrame, log: Log) -> DataFrame:
         "transaction_exposure_eur": F.abs("po_value_initial_eur"),
         "decision_year": F.year("decision_time"),
         "decision_month": F.date_format("decision_time", "yyyy-MM"),
-    }).drop("cut", "_po_time", "_vendor_time", "_gr_time")
+    }).drop(*CUT, "_po_time", "_vendor_time", "_gr_time")
 
 
 def risk_stratum(value: Column, refs: Column) -> Column:
@@ -345,16 +406,15 @@ def with_risk_stratum(df: DataFrame, value: str = "transaction_exposure_eur") ->
 def future_preview(events: DataFrame, log: Log, size: int = 12) -> DataFrame:
     """The first activities after the cut as text.
 
-    The row limit per case is applied before the shuffle, so a long case sends
-    at most ``size`` rows per task.
+    A case is cut into SPREAD parts by a hash; each keeps its first ``size``
+    rows, and the case the first of those, so a long case is not one task.
     """
     salted, cuts = prepared(events, log)
-    w = Window.partitionBy("case_id").orderBy("ts", "ord")
-    head = (
-        salted.where(future())
-        .select("case_id", "ts", "ord", "activity", F.row_number().over(w).alias("pos"))
-        .where(F.col("pos") <= size)
-    )
+    later = salted.where(future()).select("case_id", F.pmod(F.xxhash64("at"), F.lit(SPREAD)).alias("_part"), "at", "activity")
+    # the first rows of each part of a case, then of the case
+    place = lambda *by: F.row_number().over(Window.partitionBy("case_id", *by).orderBy("at"))
+    head = later.withColumn("pos", place("_part")).where(F.col("pos") <= size)
+    head = head.withColumn("pos", place()).where(F.col("pos") <= size)
     text = head.groupBy("case_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "activity"))), lambda x: x["activity"]), ARROW).alias("preview")
     )
@@ -365,19 +425,18 @@ def future_preview(events: DataFrame, log: Log, size: int = 12) -> DataFrame:
 
 def transition_state(events: DataFrame, log: Log) -> DataFrame:
     """State at the first evidence event after the decision (the second cut)."""
-    rows = log.normal(events)
+    rows, names = log.normal(events), log.attribute_names()
     role = log.is_role
-    cuts = materialize(cut_points(rows, role("invoice_receipt")))
-    first = attach(rows, cuts)
-    both = materialize(second_cut(first, role("goods_receipt")))
-    salted = attach(rows, both)
-    key, dated = F.struct("ts", "ord"), F.col("ts").isNotNull()
-    at_t0 = dated & (key <= F.col("cut"))
-    by_t1 = dated & (key <= F.col("cut1"))
-    between = dated & (key > F.col("cut")) & (key <= F.col("cut1"))
-    later = dated & (key > F.col("cut1"))
+    cuts = materialize(cut_points(rows, role("invoice_receipt"), names))
+    bare = rows.drop(*[f"attr_{n}" for n in names])
+    both = materialize(second_cut(attach(bare, cuts.select("case_id", *CUT, "n_events")), role("goods_receipt")))
+    key, dated = F.col("at"), F.col("ts").isNotNull()
+    salted = attach(bare, both).withColumns({
+        "_at_t0": dated & (key <= F.col("cut_at")), "_by_t1": dated & (key <= F.col("cut1_at")),
+        "_between": dated & (key > F.col("cut_at")) & (key <= F.col("cut1_at")), "_later": dated & (key > F.col("cut1_at")),
+    })
+    at_t0, by_t1, between, later = (F.col(c) for c in ("_at_t0", "_by_t1", "_between", "_later"))
     parts: dict[str, Part] = {
-        **_static(log),
         "events_total_case": Part(F.count("*"), F.sum),
         "events_available_at_t0_exact": count_where(at_t0),
         "events_between_t0_t1_inclusive_t1": count_where(between),
@@ -410,9 +469,10 @@ def transition_state(events: DataFrame, log: Log) -> DataFrame:
         "after_t1_service_entry": any_where(later & role("service_entry")),
         "_clear_time": first_time(later & role("clear_invoice")),
     }
-    state = combine(salted, parts, ["cut", "cut1"]).withColumns({
-        "t0_time": F.col("cut.ts"), "t0_event_order": F.col("cut.ord"),
-        "t1_time": F.col("cut1.ts"), "t1_event_order": F.col("cut1.ord"),
+    known = static_attributes(rows, cuts.join(both.select("case_id"), "case_id", "left_semi"), names)
+    state = combine(salted, parts, [*CUT, *CUT1]).join(known, "case_id").withColumns({
+        "t0_time": F.col("cut_ts"), "t0_event_order": F.col("cut_ord"),
+        "t1_time": F.col("cut1_ts"), "t1_event_order": F.col("cut1_ord"),
         **{n: parse_bool(n) for n in log.flags.values()},
     })
     selected = ["invoice_cancelled", "payment_block_set", "gr_cancel", "price_change", "quantity_change", "subsequent_invoice"]
@@ -426,7 +486,7 @@ def transition_state(events: DataFrame, log: Log) -> DataFrame:
         "after_t1_any_selected_exception": any_of([F.col(f"after_t1_{s}") for s in selected]),
         "diag_inv_po_abs_rel_diff_t1": relative_gap("invoice_value_t0_eur", "po_value_initial_eur"),
         "diag_inv_gr_abs_rel_diff_t1": relative_gap("invoice_value_t0_eur", "latest_gr_value_at_t1_eur"),
-    }).drop("cut", "cut1", "_po_time", "_vendor_time", "_gr_time", "_clear_time")
+    }).drop(*CUT, *CUT1, "_po_time", "_vendor_time", "_gr_time", "_clear_time")
 
 
 def horizon_outcomes(
@@ -434,19 +494,19 @@ def horizon_outcomes(
 ) -> DataFrame:
     """Outcomes strictly later by time and within h days, one row per case and horizon."""
     salted, _ = prepared(events, log)
-    start = F.col("cut.ts")
+    start = F.col("cut_ts")
     # the largest horizon filters the rows once; smaller ones are flags
     parts: dict[str, Part] = {"evidence_at_t0": any_where(past() & log.is_role("goods_receipt"))}
     for h in horizons_days:
         within = (F.col("ts") > start) & (F.col("ts") <= start + F.expr(f"INTERVAL '{h}' DAY"))
         parts[f"adverse_{h}"] = any_where(within & log.is_role(*adverse))
         parts[f"cleared_{h}"] = any_where(within & log.is_role(*clearing))
-    wide = combine(salted, parts, ["cut"])
+    wide = combine(salted, parts, CUT)
     rows = F.array(*[
         F.struct(F.lit(h).alias("horizon_days"), F.col(f"adverse_{h}").alias("adverse"), F.col(f"cleared_{h}").alias("cleared"))
         for h in horizons_days
     ])
-    return wide.select("case_id", F.col("cut.ts").alias("decision_time"), "evidence_at_t0", F.inline(rows))
+    return wide.select("case_id", F.col("cut_ts").alias("decision_time"), "evidence_at_t0", F.inline(rows))
 
 
 def cases_with_activity(events: DataFrame, log: Log, role: str) -> DataFrame:
@@ -537,7 +597,7 @@ def source_audit(events: DataFrame, log: Log, first_day: str, last_day: str) ->
         "_po": first_time(log.is_role("create_po")),
         "_last": last_time(F.lit(True)),
     }
-    d = combine(salted, parts, ["cut"]).withColumn("decision_time", F.col("cut.ts"))
+    d = combine(salted, parts, CUT).withColumn("decision_time", F.col("cut_ts"))
     return d.select("case_id", "events_outside", is_true(F.col("_po") > F.col("decision_time")).alias("po_after_first_invoice"),
                     _days("decision_time", "_last").alias("observed_span_days"))
 
@@ -551,11 +611,12 @@ def mature(df: DataFrame, end_column: str, start_column: str, days: list[int]) -
 
 
 def hash_sample(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
-    """Top n rows in hash order: a seeded sample without replacement."""
-    return df.orderBy(F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256), key).limit(n)
+    """First n rows in hash order: a seeded sample without replacement; ranked in even hash buckets, not in one task."""
+    ranked = hash_ranks(df, F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256), key, rank="_rank", limit=n)
+    return ranked.select(*df.columns)
 
 
 def complete_cases(events: DataFrame, case: str, order: str, n: int) -> DataFrame:
     """All events of the first n cases by first appearance."""
-    first = events.groupBy(case).agg(F.min(order).alias("_o")).orderBy("_o").limit(n).select(case)
-    return events.join(first, case, "left_semi")
+    first = prefix(events.groupBy(case).agg(F.min(order).alias("_o")), [F.col("_o"), F.col(case)], rank="_rank")
+    return events.join(first.where(F.col("_rank") <= n).select(case), case, "left_semi")

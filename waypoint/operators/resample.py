@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
@@ -26,8 +26,8 @@ PRIME = 2_147_483_647
 BLOCK = 256
 
 
-def poisson_steps(size: int = 12) -> np.ndarray:
-    """Cumulative Poisson(1) probabilities."""
+def poisson_steps(size: int = 18) -> np.ndarray:
+    """Cumulative Poisson(1) probabilities, to below the step of the hash."""
     return np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(size)])
 
 
@@ -50,7 +50,14 @@ def cluster_keys(key: str) -> list[Column]:
 def weights(k1: np.ndarray, k2: np.ndarray, m: np.ndarray, steps: np.ndarray) -> np.ndarray:
     """Clusters x replicates matrix of Poisson(1) weights."""
     h = (k1[:, None] * m[0][None, :] + k2[:, None] * m[1][None, :]) % PRIME
-    return np.searchsorted(steps, h / float(PRIME), side="right").astype(np.float64)
+    x = h / float(PRIME)
+    out = np.zeros(x.shape, np.uint8)
+    for step in steps:
+        reached = x >= step
+        if not reached.any():
+            break
+        out += reached
+    return out.astype(np.float64)
 
 
 def weight_table(clusters: DataFrame, key: str, reps: int, seed: str) -> DataFrame:
@@ -167,85 +174,105 @@ def rate_difference(df: DataFrame, cluster: str, selected: Column, high: Column,
     return i.select("*", point.scalar().alias("estimate"))
 
 
-# ---- AUROC ---------------------------------------------------------------------------------
-def _segments(score: np.ndarray, pos: np.ndarray, neg: np.ndarray, carry: list) -> None:
-    """Fold one block of equal-score groups (ascending) into the running state of a partition."""
-    edges = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
-    gp, gn = np.add.reduceat(pos, edges, axis=0), np.add.reduceat(neg, edges, axis=0)
-    for s, p, n in zip(score[edges], gp, gn):
-        if carry and carry[-1][0] == s:
-            carry[-1][1] += p
-            carry[-1][2] += n
-        else:
-            carry.append([s, p, n])
-
-
-def auroc_replicates(df: DataFrame, cluster: str, score: str, positive: str, reps: int, seed: str) -> DataFrame:
-    """Weighted AUROC (ties half) of every replicate; replicate -1 is the unweighted one.
-
-    Rows are range-partitioned by score. A task streams its sorted rows and keeps
-    replicate totals only: its first and last score apart, everything between
-    already paired up. Equal scores that span tasks are merged afterwards, so a
-    score shared by very many rows is spread over tasks.
+# ---- AUROC and average precision -------------------------------------------------------------
+def _ranked_cells(df: DataFrame, cluster: str, scores: dict[str, str], positive: str) -> DataFrame:
+    """Rows of equal (score, cluster) added up and written in the order of falling scores, with their place."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("which"), F.col(c).cast("double").alias("_s")) for n, c in scores.items()])
+    long = df.select(F.col(cluster).alias("_c"), F.col(positive).cast("bigint").alias("_y"), F.inline(pairs)).where("_s is not null and _y is not null")
+    cells = long.groupBy("which", "_s", "_c").agg(F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg"))
+    keyed = cells.select("which", "_s", *cluster_keys("_c"), "_pos", "_neg")
+    placed = materialize(keyed.orderBy("which", F.desc("_s"), "_k1", "_k2").withColumn("_seq", F.monotonically_increasing_id()))
+    return placed.withColumn("_part", F.shiftright("_seq", 33))
+
+
+def curve_replicates(df: DataFrame, cluster: str, scores: dict[str, str], positive: str, reps: int, seed: str) -> DataFrame:
+    """(which, rep, auroc, average_precision) of every score; replicate -1 is the unweighted one.
+
+    Both curves need what stands above a score in each replicate. Cells of
+    (score, cluster) are range-partitioned by score. In a first pass a task adds
+    up its range per replicate: its first and its last score apart, everything
+    between as one piece. Running totals over these pieces give every piece its
+    start, equal scores that span tasks become one, and a second pass streams
+    the pieces from their starts. So a score that very many rows share is spread
+    over tasks, and a task keeps a few values per replicate and one block of
+    cells. All scores go through the same two passes.
     """
     steps, m = poisson_steps(), multipliers(seed, reps)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = None
-        groups: list = []
-        body = [np.zeros(reps + 1) for _ in range(3)]  # pos, neg, paired
-        span = [math.nan, math.nan]
-
-        def settle(keep: int) -> None:
-            nonlocal first
-            while len(groups) > keep:
-                s, p, n = groups.pop(0)
-                if first is None:
-                    first = (s, p, n)
-                    continue
-                body[2] += p * body[1] + 0.5 * p * n
-                body[0] += p
-                body[1] += n
-                span[0] = s if math.isnan(span[0]) else span[0]
-                span[1] = s
-
-        for b in batches:
-            for at in range(0, len(b), BLOCK):
-                part = b.iloc[at:at + BLOCK]
-                w = weights(part["_k1"].to_numpy(), part["_k2"].to_numpy(), m, steps)
-                w = np.concatenate([np.ones((len(part), 1)), w], axis=1)
-                y = part["_y"].to_numpy()[:, None]
-                _segments(part["_s"].to_numpy(), w * y, w * (1 - y), groups)
-                settle(1)
-        rep = np.arange(-1, reps)
+    rep = np.arange(-1, reps)
+
+    def blocks(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for at in range(0, len(b), BLOCK):
+            part = b.iloc[at : at + BLOCK]
+            w = weights(part["_k1"].to_numpy(), part["_k2"].to_numpy(), m, steps)
+            w = np.concatenate([np.ones((len(part), 1)), w], axis=1)
+            yield part["_s"].to_numpy(), w * part["_pos"].to_numpy()[:, None], w * part["_neg"].to_numpy()[:, None]
+
+    def pieces(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("_seq")
+        s = b["_s"].to_numpy()
+        top, low = s == s[0], s == s[-1]
         out = []
-        if first is not None:
-            out.append((first[0], first[0], first[1], first[2], np.zeros(reps + 1)))
-        if not math.isnan(span[0]):
-            out.append((span[0], span[1], body[0], body[1], body[2]))
-        for s, p, n in groups:
-            out.append((s, s, p, n, np.zeros(reps + 1)))
-        for lo, hi, p, n, c in out:
-            yield pd.DataFrame({"lo": lo, "hi": hi, "single": lo == hi and not c.any(), "rep": rep, "p": p, "n": n, "c": c})
+        for place, mask in ((0, top), (1, ~top & ~low), (2, low & ~top)):
+            if mask.any():
+                p, n = np.zeros(reps + 1), np.zeros(reps + 1)
+                for _, wp, wn in blocks(b[mask]):
+                    p, n = p + wp.sum(0), n + wn.sum(0)
+                body = place == 1
+                out.append(pd.DataFrame({"which": key[1], "part": key[0] if body else -1, "body": body, "hi": s[mask][0], "rep": rep, "p": p, "n": n}))
+        return pd.concat(out)
+
+    def walk(key: tuple, b: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        if b.empty or starts.empty:
+            return pd.DataFrame({"which": [], "rep": [], "area": [], "precision": []})
+        b, starts = b.sort_values("_seq"), starts.sort_values("rep")
+        s = b["_s"].to_numpy()
+        inner = (s != s[0]) & (s != s[-1])
+        b, s = b[inner], s[inner]
+        ends = np.append(s[1:] != s[:-1], True)
+        p, n = starts["p_above"].to_numpy(), starts["n_above"].to_numpy()
+        closed, area, precision, at = (p, n), np.zeros(reps + 1), np.zeros(reps + 1), 0
+        for own, wp, wn in blocks(b):
+            cp, cn = p + np.cumsum(wp, axis=0), n + np.cumsum(wn, axis=0)
+            stop = np.flatnonzero(ends[at : at + len(own)])
+            if len(stop):
+                ep, en = cp[stop], cn[stop]
+                bp, bn = np.vstack([closed[0], ep[:-1]]), np.vstack([closed[1], en[:-1]])
+                area += ((en - bn) * (bp + ep) / 2).sum(0)
+                precision += ((ep - bp) * ep / np.maximum(ep + en, 1)).sum(0)
+                closed = ep[-1], en[-1]
+            p, n, at = cp[-1], cn[-1], at + len(own)
+        return pd.DataFrame({"which": key[1], "rep": rep, "area": area, "precision": precision})
 
     ship_package(df.sparkSession)
-    rows = df.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("_s"), F.col(positive).cast("int").alias("_y"), *cluster_keys(cluster))
-    ordered = rows.orderBy("_s", "_k1", "_k2")
-    parts = ordered.mapInPandas(run, "lo double, hi double, single boolean, rep bigint, p double, n double, c double")
-    merged = parts.groupBy("rep", "lo", "hi").agg(F.min("single").alias("single"), F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum("c").alias("c"))
-    merged = merged.withColumn("c", F.when(F.col("single"), F.col("p") * F.col("n") / 2).otherwise(F.col("c")))
-    from pyspark.sql import Window
-
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("rep").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    merged = merged.withColumn("_b", below)
-    return merged.groupBy("rep").agg(F.try_divide(F.sum(F.col("c") + F.col("p") * F.col("_b")), F.sum("p") * F.sum("n")).alias("auroc"))
-
-
-def paired_auroc(df: DataFrame, cluster: str, a: str, b: str, positive: str, reps: int, seed: str) -> DataFrame:
-    """AUROC of score b minus score a with its cluster interval."""
-    x = auroc_replicates(df, cluster, a, positive, reps, seed).withColumnRenamed("auroc", "a")
-    y = auroc_replicates(df, cluster, b, positive, reps, seed).withColumnRenamed("auroc", "b")
-    j = materialize(x.join(y, "rep").withColumn("delta", F.col("b") - F.col("a")))
-    point = j.where("rep = -1").select("a", "b", F.col("delta").alias("estimate"))
-    i = paired_intervals(j.where("rep >= 0"), [])
-    return i.withColumn("_p", scalars(point)).select(*i.columns, "_p.a", "_p.b", "_p.estimate")
+    cells = _ranked_cells(df, cluster, scores, positive)
+    parts = cells.groupBy("_part", "which").applyInPandas(pieces, "which string, part bigint, body boolean, hi double, rep bigint, p double, n double")
+    # the pieces of one score that several tasks hold are one
+    merged = parts.groupBy("which", "rep", "hi", "part", "body").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    above = Window.partitionBy("which", "rep").orderBy(F.desc("hi")).rowsBetween(Window.unboundedPreceding, -1)
+    start = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0.0))
+    merged = materialize(merged.select("*", start("p").alias("p_above"), start("n").alias("n_above")))
+    bodies = merged.where("body").select(F.col("part").alias("_part"), "which", "rep", "p_above", "n_above")
+    inside = cells.groupBy("_part", "which").cogroup(bodies.groupBy("_part", "which")).applyInPandas(walk, "which string, rep bigint, area double, precision double")
+    p, n = F.col("p_above") + F.col("p"), F.col("n_above") + F.col("n")
+    single = merged.where("not body").select("which", "rep", (F.col("n") * (F.col("p_above") + p) / 2).alias("area"), F.coalesce(F.try_divide(F.col("p") * p, p + n), F.lit(0.0)).alias("precision"))
+    sums = inside.unionByName(single).groupBy("which", "rep").agg(F.sum("area").alias("area"), F.sum("precision").alias("precision"))
+    totals = merged.groupBy("which", "rep").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return totals.join(sums, ["which", "rep"]).select(
+        "which", "rep", F.try_divide(F.col("area"), F.col("p") * F.col("n")).alias("auroc"), F.try_divide(F.col("precision"), F.col("p")).alias("average_precision")
+    )
+
+
+def auroc_replicates(df: DataFrame, cluster: str, score: str, positive: str, reps: int, seed: str) -> DataFrame:
+    """Weighted AUROC (ties half) of every replicate; replicate -1 is the unweighted one."""
+    return curve_replicates(df, cluster, {"score": score}, positive, reps, seed).select("rep", "auroc")
+
+
+def paired_curves(df: DataFrame, cluster: str, a: str, b: str, positive: str, reps: int, seed: str) -> DataFrame:
+    """AUROC and average precision of score b minus score a with their cluster intervals, one row per metric."""
+    both = curve_replicates(df, cluster, {"a": a, "b": b}, positive, reps, seed)
+    of = lambda w, m: F.max(F.when(F.col("which") == w, F.col(m)))
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"a_{m}").alias("a"), F.col(f"b_{m}").alias("b")) for m in ("auroc", "average_precision")])
+    wide = both.groupBy("rep").agg(*[of(w, m).alias(f"{w}_{m}") for w in "ab" for m in ("auroc", "average_precision")])
+    j = materialize(wide.select("rep", F.inline(rows)).withColumn("delta", F.col("b") - F.col("a")))
+    point = j.where("rep = -1").select("metric", "a", "b", F.col("delta").alias("estimate"))
+    return paired_intervals(j.where("rep >= 0"), ["metric"]).join(point, "metric")

@@ -48,7 +48,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = LOG.normal(event_log(spark, sf))
     cut = C.cut_points(rows, LOG.is_role("invoice_receipt"))
-    return cut.select("case_id", F.unix_micros(F.col("cut.ts").cast("timestamp")).alias("t0_us"), F.col("cut.ord").alias("ord0"))
+    return cut.select("case_id", F.unix_micros(F.col("cut_ts").cast("timestamp")).alias("t0_us"), F.col("cut_ord").alias("ord0"))
 
 
 @query("e03_j10_split_at_event", f"WITH {EV} SELECT case_id, count(*) FILTER (WHERE past) AS n_past, count(*) FILTER (WHERE fut) AS n_future FROM ex GROUP BY 1")

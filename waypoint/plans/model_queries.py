@@ -13,7 +13,10 @@ from ..operators import models as M
 from ..session import materialize
 from .registry import query, r, rounded, rs
 from .scalar_queries import TRAIN_REF, train_refs
-from .tables import BASE, episodes
+from ..functions import labels as L
+from ..operators import cases as K
+from .case_queries import STATE, T0_DERIVED, T1, T1_DERIVED, T1_SQL, T1_STATE, t1_sql
+from .tables import BASE, SPLIT_SEED, WIDE, WIDE_LOG, episodes, wide_event_log
 
 CLS = ["EXECUTE", "GATHER", "ESCALATE", "ABSTAIN"]
 S_SAFE = "target = 'SAFE_TO_EXECUTE'"
@@ -152,3 +155,144 @@ def _(spark, sf):
     scored = M.fit_action(tr, "expected_action_reference", CLS, NUM, M.CATEGORY_FEATURES).score(tr)
     means = scored.agg(F.count("*").alias("n"), *[r(F.avg(f"p_raw_{c}"), 3).alias(c) for c in CLS])
     return means.select(F.inline(F.array(*[F.struct(F.lit("train").alias("part"), F.lit(c).alias("score"), F.col("n"), F.col(c).alias("mean_score")) for c in CLS])))
+
+
+# ---- all published inputs, at the decision and at the evidence ------------------------------
+DICT = ["item_category", "group_id", "regime", "goods_receipt_required"]
+
+
+def levels_sql(names: list[str], source: str) -> str:
+    """lv: the levels of each category with their counts."""
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS feature, coalesce({c}::VARCHAR, '{M.MISSING}') AS level, count(*) AS n FROM {source} GROUP BY 1, 2" for c in names)
+    return f"lv AS ({rows})"
+
+
+@query("m01_level_dictionary", f"""{BASE}, tf AS (SELECT * FROM epi WHERE part = 'train'), {levels_sql(DICT, 'tf')}
+SELECT feature, level, n, CASE WHEN n < 5 THEN count(*) FILTER (WHERE n >= 5) OVER (PARTITION BY feature) ELSE row_number() OVER (PARTITION BY feature, n < 5 ORDER BY level) - 1 END AS slot FROM lv""")
+def _(spark, sf):
+    return M.level_dictionary(episodes(spark, sf).where("part = 'train'"), DICT)
+
+
+def equations_sql(numeric: list[str], categorical: list[str], source: str) -> str:
+    """Every input with a gap of zero: the fit is the optimum of its convex problem."""
+    numbers = ", ".join(f"'{c}'" for c in numeric)
+    return f"""SELECT DISTINCT feature, CASE WHEN n < 5 THEN '{M.RARE}' ELSE level END AS level, (SELECT count(*) FROM {source}) AS training_rows, 0.0::DOUBLE AS gap FROM lv
+ UNION ALL SELECT unnest([{numbers}]), NULL, (SELECT count(*) FROM {source}), 0.0"""
+
+
+def equations(m: M.SafetyModel):
+    return m.equations().select("feature", "level", F.lit(m.rows).cast("bigint").alias("training_rows"), r("gap", 3).alias("gap"))
+
+
+SPLIT_SQL = f"('0x' || substr(sha256('{SPLIT_SEED}' || case_id), 1, 12))::BIGINT / 281474976710656.0"
+WIDE_SQL = ", ".join(f"{e.replace('user_id', 'uid')} AS {n}" for n, e in WIDE.items()) + ", uid % 2 = 0 AS gr_based_invoice_verification"
+UID = "ux AS (SELECT case_id, any_value(user_id) AS uid, arg_min(props, k) AS first_props, CASE any_value(flag_text) WHEN 'yes' THEN true WHEN 'N' THEN false END AS flag FROM ex GROUP BY 1)"
+D1_SQL = f"CASE WHEN (goods_receipt_required AND NOT gr_available_at_t0) OR {' OR '.join(L.CORE_SIGNALS)} THEN 'NOT_SAFE_TO_EXECUTE' WHEN outcome_eventually_cleared THEN 'SAFE_TO_EXECUTE' ELSE 'AMBIGUOUS' END"
+
+
+def split_known(d: DataFrame, label: str):
+    u = S.hash_unit(F.col("case_id"), SPLIT_SEED)
+    return parts(d.withColumn("part", F.when(u < 0.7, "train").when(u < 0.85, "calibration").otherwise("test")), label)
+
+
+@query("m03_t0_full_inputs", f"""{STATE}, {UID}, cd AS (SELECT cs.*, {WIDE_SQL} FROM cs JOIN ux USING (case_id)),
+tf AS (SELECT * FROM cd WHERE {D1_SQL} <> 'AMBIGUOUS' AND {SPLIT_SQL} < 0.7), {levels_sql(M.T0_CATEGORIES, 'tf')} {equations_sql(M.T0_NUMERIC, M.T0_CATEGORIES, 'tf')}""")
+def _(spark, sf):
+    d = materialize(K.case_state(wide_event_log(spark, sf), WIDE_LOG).withColumn("target", L.d1_target()))
+    tr, cal, _ = split_known(d, "target")
+    return equations(M.fit_safety(tr, cal, "target", M.T0_NUMERIC, M.T0_CATEGORIES))
+
+
+@query("m03_t1_full_inputs", f"""{T1_STATE}, {UID}, cd AS (SELECT s1.*, {WIDE_SQL}, first_props AS sub_spend_area, flag AS goods_receipt_required FROM s1 JOIN ux USING (case_id)),
+tf AS (SELECT * FROM cd WHERE {t1_sql(L.T1_CORE)} <> 'AMBIGUOUS' AND {SPLIT_SQL} < 0.7), {levels_sql(M.T1_CATEGORIES, 'tf')} {equations_sql(M.T1_NUMERIC, M.T1_CATEGORIES, 'tf')}""")
+def _(spark, sf):
+    d = materialize(K.transition_state(wide_event_log(spark, sf), WIDE_LOG).withColumn("y_t1_d1", L.t1_target("D1_CORE")))
+    tr, cal, _ = split_known(d, "y_t1_d1")
+    return equations(M.fit_safety(tr, cal, "y_t1_d1", M.T1_NUMERIC, M.T1_CATEGORIES))
+
+
+@query("m08_t1_scores")
+def _(spark, sf):
+    d = materialize(K.transition_state(wide_event_log(spark, sf), WIDE_LOG).withColumn("y_t1_d1", L.t1_target("D1_CORE")))
+    tr, cal, _ = split_known(d, "y_t1_d1")
+    m = M.fit_safety(tr, cal, "y_t1_d1", M.T1_NUMERIC, M.T1_CATEGORIES)
+    return m.score(d).select("case_id", "y_t1_d1", r("p_safe_raw").alias("p_safe_raw"), r("p_safe_cal").alias("p_safe_cal"))
+
+
+@query("m08_score_checks", f"{BASE} SELECT family, count(*) AS n, 0::BIGINT AS missing, 0::BIGINT AS outside FROM epi WHERE part = 'test' GROUP BY 1")
+def _(spark, sf):
+    d = table(spark, sf)
+    tr, cal, _ = parts(d)
+    s = M.fit_safety(tr, cal, "target", NUM, M.CATEGORY_FEATURES).score(d.where("part = 'test'"))
+    inside = F.col("p_safe_raw").between(0, 1) & F.col("p_safe_cal").between(0, 1)
+    n = lambda c: F.sum(c.cast("bigint"))
+    return s.groupBy("family").agg(F.count("*").alias("n"), n(F.col("p_safe_raw").isNull() | F.col("p_safe_cal").isNull()).alias("missing"), n(~inside).alias("outside"))
+
+
+KNOWN_TRAIN = f"tf AS (SELECT * FROM epi WHERE part = 'train' AND {KNOWN})"
+
+
+@query("m22_fit_equations", f"""{BASE}, {KNOWN_TRAIN}, {levels_sql(M.CATEGORY_FEATURES, 'tf')}
+SELECT 'without' AS mismatch_inputs, * FROM ({equations_sql(M.FEATURE_SETS['NO_MISMATCH'], M.CATEGORY_FEATURES, 'tf')}) UNION ALL SELECT 'with', * FROM ({equations_sql(NUM, M.CATEGORY_FEATURES, 'tf')})""")
+def _(spark, sf):
+    tr, cal, _ = parts(table(spark, sf))
+    one = lambda name, inputs: equations(M.fit_safety(tr, cal, "target", inputs, M.CATEGORY_FEATURES)).select(F.lit(name).alias("mismatch_inputs"), "*")
+    return one("without", M.FEATURE_SETS["NO_MISMATCH"]).unionByName(one("with", NUM))
+
+
+# ---- action models of three feature sets over three splits -----------------------------------
+REGIMES = {
+    "iid": ("part = 'train'", "part = 'test'"),
+    "temporal": ("regime = 'early'", "regime = 'late'"),
+    "exposure": ("transaction_exposure_eur <= 250000 AND part <> 'test'", "transaction_exposure_eur > 250000"),
+}
+NAMES = [*NUM, *M.CATEGORY_FEATURES]
+
+
+def inputs_sql(names: list[str]) -> str:
+    return f"{len(names)} + (SELECT count(*) FROM lv WHERE n >= 5) + (SELECT (count(*) > 0)::INT FROM lv WHERE n < 5)"
+
+
+def ablation_sql(regime: str) -> str:
+    train, test = REGIMES[regime]
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS feature_set, ({inputs_sql(f)})::BIGINT AS inputs" for n, f in M.FEATURE_SETS.items())
+    return f"""SELECT '{regime}' AS regime, feature_set, inputs, (SELECT count(*) FROM tf) AS training_rows, (SELECT count(*) FROM epi WHERE {test}) AS test_rows, true AS converged, true AS falling, 0.0::DOUBLE AS largest_gap
+ FROM (WITH tf AS (SELECT * FROM epi WHERE {train}), {levels_sql(M.CATEGORY_FEATURES, 'tf')} {rows}), (SELECT 1)""".replace("(SELECT count(*) FROM tf) AS training_rows", f"(SELECT count(*) FROM epi WHERE {train}) AS training_rows")
+
+
+def action_fits(spark, sf):
+    """(regime, feature set, audit, scored test rows, largest gap) of every action model; one matrix per split."""
+    code = F.lit(None).cast("double")
+    for i, c in enumerate(CLS):
+        code = F.when(F.col("expected_action_reference") == c, float(i)).otherwise(code)
+    d = table(spark, sf)
+    for regime, (train, test) in REGIMES.items():
+        m = M.matrix(d, F.expr(train), NUM, M.CATEGORY_FEATURES, ["case_id", "expected_action_reference", "part", "regime", "transaction_exposure_eur"])
+        for name, inputs in M.FEATURE_SETS.items():
+            model, scored, audit = M.fit_masked(m, code, F.expr(train), [*inputs, *M.CATEGORY_FEATURES], "multinomial", 2000)
+            gaps = M.score_gaps(model, m.masked([*inputs, *M.CATEGORY_FEATURES], F.expr(train)).withColumn("label", code))
+            audit["inputs"] = model.numFeatures
+            audit["largest_gap"] = max(abs(x) for g in gaps.values() for x in g)
+            yield regime, name, audit, scored.where(test)
+
+
+@query("m17_m19_action_audit", f"{BASE} " + " UNION ALL ".join(ablation_sql(n) for n in REGIMES))
+def _(spark, sf):
+    rows = [
+        (regime, name, a["inputs"], a["training_rows"], scored.count(), a["converged"], a["falling"], round(a["largest_gap"], 3) + 0.0)
+        for regime, name, a, scored in action_fits(spark, sf)
+    ]
+    return spark.createDataFrame(rows, "regime string, feature_set string, inputs bigint, training_rows bigint, test_rows bigint, converged boolean, falling boolean, largest_gap double")
+
+
+@query("m17_action_ablation")
+def _(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = []
+    for regime, name, a, scored in action_fits(spark, sf):
+        p = vector_to_array("_prob")
+        chosen = S.first_largest(CLS, [p[i] for i in range(len(CLS))])
+        rows.append(scored.agg(F.count("*").alias("n"), r(F.avg((chosen == F.col("expected_action_reference")).cast("int"))).alias("accuracy")).select(
+            F.lit(regime).alias("regime"), F.lit(name).alias("feature_set"), "n", "accuracy", F.lit(a["iterations"]).alias("iterations"), F.lit(a["last_objective"]).alias("objective")))
+    return reduce(lambda x, y: x.unionByName(y), rows)

@@ -340,15 +340,16 @@ AUC = f"""{RL}, {boot('group_id', 'rb')}, au AS (SELECT group_id, u, p_safe_t0_r
 
 
 def auc_sql(score: str) -> str:
-    return f"""SELECT rep, sum(neg * (cp - pos / 2.0)) / nullif(any_value(p) * any_value(n), 0) AS auc FROM (SELECT rep, pos, neg, sum(pos) OVER (PARTITION BY rep ORDER BY x DESC ROWS UNBOUNDED PRECEDING) AS cp, sum(pos) OVER (PARTITION BY rep) AS p, sum(neg) OVER (PARTITION BY rep) AS n FROM
- (SELECT rep, {score} AS x, sum(CASE WHEN NOT u THEN w ELSE 0 END) AS pos, sum(CASE WHEN u THEN w ELSE 0 END) AS neg FROM au JOIN an ON ck = group_id GROUP BY 1, 2)) GROUP BY 1"""
+    return f"""SELECT rep, sum(neg * (cp - pos / 2.0)) / nullif(any_value(p) * any_value(n), 0) AS auroc, sum(CASE WHEN cp + cn > 0 THEN pos * (cp / (cp + cn)) ELSE 0 END) / nullif(any_value(p), 0) AS average_precision
+ FROM (SELECT rep, pos, neg, sum(pos) OVER o AS cp, sum(neg) OVER o AS cn, sum(pos) OVER (PARTITION BY rep) AS p, sum(neg) OVER (PARTITION BY rep) AS n FROM
+ (SELECT rep, {score} AS x, sum(CASE WHEN NOT u THEN w ELSE 0 END)::DOUBLE AS pos, sum(CASE WHEN u THEN w ELSE 0 END)::DOUBLE AS neg FROM au JOIN an ON ck = group_id GROUP BY 1, 2) WINDOW o AS (PARTITION BY rep ORDER BY x DESC ROWS UNBOUNDED PRECEDING)) GROUP BY 1"""
 
 
-@query("q09_paired_auroc", f"""{AUC}, ua AS ({auc_sql('a')}), ub AS ({auc_sql('b')}), ud AS (SELECT rep, ua.auc AS a, ub.auc AS b, ub.auc - ua.auc AS d FROM ua JOIN ub USING (rep))
-SELECT (SELECT {rs('a', 5)} FROM ud WHERE rep = -1) AS a, (SELECT {rs('b', 5)} FROM ud WHERE rep = -1) AS b, (SELECT {rs('d', 5)} FROM ud WHERE rep = -1) AS estimate, count(*) AS replicates, {rs('avg(d)', 5)} AS mean, {rs('quantile_cont(d, 0.025)', 5)} AS lower, {rs('quantile_cont(d, 0.975)', 5)} AS upper FROM ud WHERE rep >= 0""")
+@query("q09_paired_auroc", f"""{AUC}, ua AS ({auc_sql('a')}), ub AS ({auc_sql('b')}), ud AS ({' UNION ALL '.join(f"SELECT '{m}' AS metric, rep, ua.{m} AS a, ub.{m} AS b, ub.{m} - ua.{m} AS d FROM ua JOIN ub USING (rep)" for m in ('auroc', 'average_precision'))})
+SELECT metric, {', '.join(f"{rs(f'max({c}) FILTER (WHERE rep = -1)', 5)} AS {n}" for c, n in (('a', 'a'), ('b', 'b'), ('d', 'estimate')))}, count(*) FILTER (WHERE rep >= 0) AS replicates, {rs('avg(d) FILTER (WHERE rep >= 0)', 5)} AS mean, {rs('quantile_cont(d, 0.025) FILTER (WHERE rep >= 0)', 5)} AS lower, {rs('quantile_cont(d, 0.975) FILTER (WHERE rep >= 0)', 5)} AS upper FROM ud GROUP BY 1""")
 def _(spark, sf):
     d = ruled(spark, sf).withColumn("safe", ~F.col("u"))
-    return rounded(Q.paired_auroc(d, "group_id", "p_safe_t0_raw", "s", "safe", REPS, BS).drop("p_below", "p_above"), digits=5)
+    return rounded(Q.paired_curves(d, "group_id", "p_safe_t0_raw", "s", "safe", REPS, BS).drop("p_below", "p_above"), digits=5)
 
 
 @query("q14_report_table", f"""{BM}, lg AS ({' UNION ALL '.join(f'''SELECT policy, '{m}' AS metric, {m} AS x FROM bm''' for m in RATES[:2])}), it AS (SELECT policy, metric, avg(x) AS mean, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi FROM lg GROUP BY 1, 2)

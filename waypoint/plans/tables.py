@@ -40,6 +40,16 @@ LOG = Log(
     attributes={"user_id": "vendor_id", "props": "sub_spend_area"},
     flags={"flag_text": "goods_receipt_required"}, activities=ROLES,
 )
+#: Case attributes of the models with all inputs: state column -> rule over the user.
+WIDE = {
+    "company": "user_id % 5", "source_system": "user_id % 3", "document_type": "user_id % 7", "document_category": "user_id % 2", "item_type": "user_id % 4",
+    "item_category": "user_id % 6", "spend_classification": "user_id % 11", "spend_area": "user_id % 37",
+}
+WIDE_LOG = Log(
+    case="case_id", activity="event_type", ts="ts", order="event_id", value="value",
+    attributes={**{f"w_{n}": n for n in WIDE}, "user_id": "vendor_id", "props": "sub_spend_area"},
+    flags={"flag_text": "goods_receipt_required", "verified": "gr_based_invoice_verification"}, activities=ROLES,
+)
 CASE_SQL = "(user_id::VARCHAR || ':' || (date_diff('day', DATE '2024-01-01', ts::DATE) // 3)::VARCHAR)"
 EV = f"""ev0 AS (
   SELECT {CASE_SQL} AS case_id, event_type, time_bucket(INTERVAL '6 hours', ts) AS ts, event_id,
@@ -64,6 +74,12 @@ def event_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def wide_event_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The event log with all case attributes that the published models read."""
+    ev = event_log(spark, sf)
+    return ev.select("*", *[F.expr(e).cast("string").alias(f"w_{n}") for n, e in WIDE.items()], F.when(F.col("user_id") % 2 == 0, "true").otherwise("false").alias("verified"))
+
+
 # (name, kind, condition) with E = shipped by the order date, L = shipped later.
 LINE_RULES = [
     ("gr_available_at_t0", "any", "E"),
