@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import is_true
 from ..session import materialize, ship_package
-from .ordered import prefix, small
+from .ordered import SMALL_ROWS, prefix
 
 #: Distinct scores or blocks that one task settles.
 TASK_ROWS = 200_000
@@ -36,29 +36,45 @@ TASK_ROWS = 200_000
 CUTS = 4096
 
 _BLOCKS = "grp int, lo double, hi double, total double, weight double, part int"
+_PLACED = "grp int, place bigint, lo double, hi double, value double, next_lo double, next_value double"
 
 
-def _pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (grp, lo, hi, total, weight) rows to blocks with rising means."""
-    part = TaskContext.get().partitionId()
+def _stacks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """The blocks (lo, hi, total, weight), with rising means, of each group of sorted (grp, lo, hi, total, weight) rows."""
     group, blocks = None, []
-
-    def done() -> pa.RecordBatch:
-        columns = [pa.array([group] * len(blocks), pa.int32()), *[pa.array([b[i] for b in blocks], pa.float64()) for i in range(4)], pa.array([part] * len(blocks), pa.int32())]
-        return pa.RecordBatch.from_arrays(columns, ["grp", "lo", "hi", "total", "weight", "part"])
-
     for batch in batches:
         for g, lo, hi, total, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if g != group:
                 if blocks:
-                    yield done()
+                    yield group, blocks
                 group, blocks = g, []
             while blocks and blocks[-1][2] * weight >= total * blocks[-1][3]:
                 before = blocks.pop()
                 lo, total, weight = before[0], before[2] + total, before[3] + weight
             blocks.append((lo, hi, total, weight))
     if blocks:
-        yield done()
+        yield group, blocks
+
+
+def _batch(columns: dict[str, list]) -> pa.RecordBatch:
+    kinds = {"grp": pa.int32(), "part": pa.int32(), "place": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(n, pa.float64())) for n, v in columns.items()], list(columns))
+
+
+def _pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of a range."""
+    part = TaskContext.get().partitionId()
+    for group, blocks in _stacks(batches):
+        lo, hi, total, weight = map(list, zip(*blocks, strict=True))
+        yield _batch({"grp": [group] * len(lo), "lo": lo, "hi": hi, "total": total, "weight": weight, "part": [part] * len(lo)})
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The map itself, where one task sees all blocks."""
+    for group, blocks in _stacks(batches):
+        lo, hi, total, weight = map(list, zip(*blocks, strict=True))
+        value = [t / w for t, w in zip(total, weight, strict=True)]
+        yield _batch({"grp": [group] * len(lo), "place": list(range(len(lo))), "lo": lo, "hi": hi, "value": value, "next_lo": [*lo[1:], None], "next_value": [*value[1:], None]})
 
 
 def _violated(blocks: DataFrame) -> bool:
@@ -71,19 +87,26 @@ def _violated(blocks: DataFrame) -> bool:
     return any(a["grp"] == b["grp"] and a["last"]["total"] * b["first"]["weight"] >= b["first"]["total"] * a["last"]["weight"] for a, b in zip(rows, rows[1:], strict=False))
 
 
-def pooled(rows: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
-    """(grp, lo, hi, total, weight) rows of single scores as the blocks of the isotonic fit, staged."""
+def fitted_map(rows: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(grp, lo, hi, total, weight) rows of single scores as the map of the isotonic fit, written."""
     ship_package(rows.sparkSession)
     names = ["grp", "lo", "hi", "total", "weight"]
     now, round_ = materialize(rows.select(*names)), 0
     while True:
         n = -(-now.count() // task_rows)
+        if n <= 1:
+            return materialize(now.repartition(1).sortWithinPartitions("grp", "lo").mapInArrow(_finish, _PLACED))
         # a changing number of tasks moves the borders from round to round
-        dealt = now.repartitionByRange(n + round_ % 2, "grp", "lo") if n > 1 else now.repartition(1)
-        now = materialize(dealt.sortWithinPartitions("grp", "lo").select(*names).mapInArrow(_pool, _BLOCKS))
-        if n <= 1 or not _violated(now):
-            return now
-        round_ += 1
+        dealt = now.repartitionByRange(n + round_ % 2, "grp", "lo").sortWithinPartitions("grp", "lo")
+        now = materialize(dealt.select(*names).mapInArrow(_pool, _BLOCKS))
+        if not _violated(now):
+            break
+        now, round_ = now.select(*names), round_ + 1
+    ranked = prefix(now.select("grp", "lo", "hi", (F.col("total") / F.col("weight")).alias("value")), [F.col("lo")], by=["grp"], rank="place")
+    ranked = materialize(ranked.withColumn("place", F.col("place") - 1))
+    after = ranked.select(F.col("grp").alias("_grp"), (F.col("place") - 1).alias("_place"), F.col("lo").alias("next_lo"), F.col("value").alias("next_value"))
+    table = ranked.join(after, (ranked["grp"] == after["_grp"]) & (ranked["place"] == after["_place"]), "left").drop("_grp", "_place")
+    return materialize(table.select("grp", "place", "lo", "hi", "value", "next_lo", "next_value"))
 
 
 @dataclass
@@ -91,6 +114,7 @@ class Isotonic:
     """Blocks (grp, place, lo, hi, value, next_lo, next_value) and the starts that cut them into cells."""
 
     blocks: DataFrame
+    size: int
     step: dict[int, int]
     cuts: dict[int, list[float]]
 
@@ -122,13 +146,15 @@ class Isotonic:
         step = F.lit(1)
         for g, s in self.step.items():
             step = F.when(F.col("grp") == g, F.lit(s)).otherwise(step)
-        b = small(self.blocks.withColumn("cell", F.floor(F.col("place") / step).cast("int")))
+        b = self.blocks.withColumn("cell", F.floor(F.col("place") / step).cast("int"))
+        b = F.broadcast(b) if self.size <= SMALL_ROWS else b
         s = F.col("_s")
         inside = ((F.col("place") == 0) | (s >= F.col("lo"))) & (F.col("next_lo").isNull() | (s < F.col("next_lo")))
-        joined = rows.join(b, (F.col("_g") == F.col("grp")) & (F.col("_c") == F.col("cell")) & inside & ~F.isnan(s), "left")
+        joined = rows.join(b, (F.col("_g") == F.col("grp")) & (F.col("_c") == F.col("cell")) & inside & s.isNotNull() & ~F.isnan(s), "left")
         between = F.col("value") + (F.col("next_value") - F.col("value")) * (s - F.col("hi")) / (F.col("next_lo") - F.col("hi"))
         value = F.when((s <= F.col("hi")) | F.col("next_lo").isNull(), F.col("value")).otherwise(between)
-        return joined.withColumn(name, F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))).drop("_g", "_s", "_c", *b.columns)
+        clipped = F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
+        return joined.withColumn(name, clipped).drop("_g", "_s", "_c", *b.columns)
 
 
 def fit(df: DataFrame, scores: dict[int, str], positive: dict[int, Column], group: Column | None = None, task_rows: int = TASK_ROWS) -> Isotonic:
@@ -139,17 +165,15 @@ def fit(df: DataFrame, scores: dict[int, str], positive: dict[int, Column], grou
     ])
     long = df.select(F.inline(pairs)).where("own and lo is not null and not isnan(lo)")
     counts = long.groupBy("grp", "lo").agg(F.sum("y").alias("total"), F.count("*").cast("double").alias("weight"))
-    blocks = pooled(counts.select("grp", "lo", F.col("lo").alias("hi"), "total", "weight"), task_rows)
-    ranked = prefix(blocks.select("grp", "lo", "hi", (F.col("total") / F.col("weight")).alias("value")), [F.col("lo")], by=["grp"], rank="place")
-    ranked = materialize(ranked.withColumn("place", F.col("place") - 1))
-    after = ranked.select(F.col("grp").alias("_grp"), (F.col("place") - 1).alias("_place"), F.col("lo").alias("next_lo"), F.col("value").alias("next_value"))
-    table = ranked.join(after, (ranked["grp"] == after["_grp"]) & (ranked["place"] == after["_place"]), "left").drop("_grp", "_place")
-    sizes = {r["grp"]: r["n"] for r in ranked.groupBy("grp").agg(F.count("*").alias("n")).collect()}  # one row per group
-    step = {g: max(1, -(-n // CUTS)) for g, n in sizes.items()}
-    keep = F.lit(False)
+    table = fitted_map(counts.select("grp", "lo", F.col("lo").alias("hi"), "total", "weight"), task_rows)
+    sizes = {r["grp"]: r["n"] for r in table.groupBy("grp").agg((F.max("place") + 1).alias("n")).collect()}  # one row per group
+    step = {g: max(1, -(-sizes.get(g, 0) // CUTS)) for g in scores}
+    every = F.lit(1)
     for g, s in step.items():
-        keep = keep | ((F.col("grp") == g) & (F.col("place") % s == 0))
+        every = F.when(F.col("grp") == g, F.lit(s)).otherwise(every)
     cuts: dict[int, list[float]] = {g: [] for g in scores}
-    for r in sorted(ranked.where(keep & (F.col("place") > 0)).select("grp", "lo").collect()):  # at most CUTS rows per group
-        cuts[r["grp"]].append(r["lo"])
-    return Isotonic(materialize(table), {g: step.get(g, 1) for g in scores}, cuts)
+    if any(n > 1 for n in sizes.values()):
+        starts = table.where((F.col("place") > 0) & (F.col("place") % every == 0)).select("grp", "lo").collect()  # at most CUTS rows per group
+        for r in sorted(starts):
+            cuts[r["grp"]].append(r["lo"])
+    return Isotonic(table, sum(sizes.values()), step, cuts)

@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SAFE, is_true, number
@@ -87,7 +87,11 @@ def level_dictionary(train: DataFrame, categorical: list[str], min_frequency: in
     """
     long = train.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), _text(c).alias("level")) for c in categorical])))
     counts = materialize(long.groupBy("feature", "level").agg(F.count("*").alias("n")))
-    frequent = prefix(counts.where(F.col("n") >= min_frequency), [F.col("level")], by=["feature"], rank="slot").withColumn("slot", F.col("slot") - 1)
+    frequent = counts.where(F.col("n") >= min_frequency)
+    if counts.count() <= SMALL_ROWS:
+        frequent = frequent.withColumn("slot", F.row_number().over(Window.partitionBy("feature").orderBy("level")).cast("bigint") - 1)
+    else:
+        frequent = prefix(frequent, [F.col("level")], by=["feature"], rank="slot").withColumn("slot", F.col("slot") - 1)
     sizes = frequent.groupBy("feature").agg(F.count("*").alias("slot"))
     rare = counts.where(F.col("n") < min_frequency).join(F.broadcast(sizes), "feature", "left")  # one row per column
     return materialize(frequent.unionByName(rare.withColumn("slot", F.coalesce("slot", F.lit(0).cast("bigint"))).select(*frequent.columns)))
@@ -281,7 +285,7 @@ def score_gaps(model: Model, prepared: DataFrame) -> dict[int, list[float]]:
     raw, classes = vector_to_array(F.col("_prob")), range(model.numClasses)
     gap = {k: is_true(F.col("label") == k).cast("double") - raw[k] for k in classes}
     scored = model.transform(prepared).select("features", *[gap[k].alias(f"_r{k}") for k in classes])
-    total = Summarizer.metrics("sum", "weightSum")
+    total = Summarizer.metrics("sum")
     chosen = [1] if model.numClasses == 2 and model.coefficientMatrix.numRows == 1 else list(classes)
     sums = scored.agg(F.count("*").alias("n"), *[total.summary(F.col("features"), F.greatest(s * F.col(f"_r{k}"), F.lit(0.0))).alias(f"{w}{k}") for k in chosen for w, s in (("up", 1.0), ("down", -1.0))]).first()
     weight = model.coefficientMatrix.toArray()

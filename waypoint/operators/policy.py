@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import policy as D
 from ..functions.scalars import is_true, steps_reached, upper_text
+from ..session import ship_package
 from .metrics import RATES, TERMS, ratios, row_terms
 
 
@@ -105,18 +109,52 @@ def frontier(df: DataFrame, by: list[str], p: D.Params, tau0: list[float], beta0
     return sums.select(*by, pick(t0, "a0").alias("tau0"), pick(b0, "a1").alias("beta0"), pick(t1, "a2").alias("tau1"), pick(b1, "a3").alias("beta1"), *ratios())
 
 
-def pareto(points: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
+def _front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drops dominated rows of a stream sorted by group, falling coverage, rising risk and loss.
+
+    An earlier row has no less coverage, so a row is dominated if the earlier ones
+    have a (risk, loss) at or below its own. Only those that no other is at or
+    below are held, with rising risk and falling loss, and found by bisection.
+    """
+    group, risks, losses, last, verdict = None, [], [], None, True
+    for batch in batches:
+        keep = []
+        for g, cov, risk, loss in zip(*(batch.column(n).to_pylist() for n in ("_g", "_cov", "_risk", "_loss")), strict=True):
+            if g != group:
+                group, risks, losses, last = g, [], [], None
+            if cov is None or loss is None:
+                keep.append(True)
+                continue
+            if (cov, risk, loss) == last:  # equal rows do not dominate each other
+                keep.append(verdict)
+                continue
+            at = bisect_right(risks, risk)
+            verdict, last = not (at and losses[at - 1] <= loss), (cov, risk, loss)
+            if verdict:
+                at = bisect_left(risks, risk)
+                end = at
+                while end < len(losses) and losses[end] >= loss:
+                    end += 1
+                risks[at:end], losses[at:end] = [risk], [loss]
+            keep.append(verdict)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def pareto(points: DataFrame, by: list[str]) -> DataFrame:
     """Points no other point of the same group beats on coverage, risk and loss.
 
-    Groups hold one row per grid point, so the inequality join is bounded by the grid.
+    Every task first drops what its own points dominate; what is left is sorted
+    per group and swept once, so no pair of points is formed.
     """
-    risk = F.coalesce("unsafe_execution_rate", F.lit(0.0))
-    o = points.select(*[F.col(b).alias(f"_o_{b}") for b in by], F.col("autonomous_execution_coverage").alias("_cov"), risk.alias("_risk"), F.col("mean_realized_normalized_loss").alias("_loss"))
-    cov, loss = F.col("autonomous_execution_coverage"), F.col("mean_realized_normalized_loss")
-    same = reduce(lambda a, b: a & b, [points[b].eqNullSafe(o[f"_o_{b}"]) for b in by])
-    as_good = (F.col("_cov") >= cov) & (F.col("_risk") <= risk) & (F.col("_loss") <= loss)
-    better = (F.col("_cov") > cov) | (F.col("_risk") < risk) | (F.col("_loss") < loss)
-    return points.join(o, same & as_good & better, "left_anti")
+    ship_package(points.sparkSession)
+    group = F.concat_ws("\u0001", *[F.coalesce(F.col(b).cast("string"), F.lit("\u0002")) for b in by]) if by else F.lit("")
+    marked = points.withColumns({
+        "_g": group, "_cov": F.col("autonomous_execution_coverage").cast("double"),
+        "_risk": F.coalesce(F.col("unsafe_execution_rate").cast("double"), F.lit(0.0)), "_loss": F.col("mean_realized_normalized_loss").cast("double"),
+    })
+    order = [F.col("_g"), F.col("_cov").desc_nulls_last(), F.col("_risk"), F.col("_loss")]
+    own = marked.sortWithinPartitions(*order).mapInArrow(_front, marked.schema)
+    return own.repartition("_g").sortWithinPartitions(*order).mapInArrow(_front, marked.schema).drop("_g", "_cov", "_risk", "_loss")
 
 
 def best_at_caps(points: DataFrame, by: list[str], caps: list[float]) -> DataFrame:

@@ -206,7 +206,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..session import materialize
 
-    return PO.pareto(materialize(frontier(spark, sf)), ["regime", "mode"], FKEY).select(*FKEY)
+    return PO.pareto(materialize(frontier(spark, sf)), ["regime", "mode"]).select(*FKEY)
 
 
 CAPS = [0.05, 0.2, 0.5]

@@ -12,6 +12,7 @@ from ..operators import resample as Q
 from ..operators import rules as R
 from ..operators import selection as Z
 from ..operators.metrics import RATES
+from ..session import materialize
 from ..sources.tables import table
 from .curve_queries import DL, PAIRS, RL, ruled, rules
 from .policy_queries import LONG, LOSS_A, PAR, longs, terms
@@ -45,6 +46,10 @@ def halves(spark, sf, seeds=SEEDS):
     return Z.by_seed(calibration(spark, sf).where("part = 'calibration'"), "case_id", seeds)
 
 
+def seed_nodes(spark, sf):
+    return Z.seed_node_counts(calibration(spark, sf).where("part = 'calibration'"), "case_id", SEEDS, betas=BT)
+
+
 GRID = [i / 25 for i in range(25)]
 
 
@@ -75,7 +80,7 @@ NBEST = "row_number() OVER (PARTITION BY seed, cap ORDER BY n DESC, tau, beta) A
 
 @query("r04_empirical_selection", f"{CAL}, {NODES} SELECT seed, cap, tau, beta, n, u FROM (SELECT *, {NBEST} FROM nt WHERE n > 0 AND u / n <= cap) WHERE k = 1")
 def _(spark, sf):
-    return Z.empirical_selection(Z.node_counts(halves(spark, sf).where("half = 1"), ["seed"], betas=BT), CAPS, ["seed"])
+    return Z.empirical_selection(seed_nodes(spark, sf), CAPS, ["seed"])
 
 
 GRAPH = f"{NODES}, gp AS (SELECT *, min((n > 0 AND pv <= 0.05 / 8)::INT) OVER (PARTITION BY seed, cap, tau ORDER BY beta ROWS UNBOUNDED PRECEDING) AS pass FROM nt), gb AS (SELECT * FROM (SELECT *, {NBEST} FROM gp WHERE pass = 1) WHERE k = 1)"
@@ -83,21 +88,19 @@ GRAPH = f"{NODES}, gp AS (SELECT *, min((n > 0 AND pv <= 0.05 / 8)::INT) OVER (P
 
 @query("r07_w10_graph_selection", f"{CAL}, {GRAPH} SELECT seed, cap, tau, beta, n, u FROM gb")
 def _(spark, sf):
-    return Z.graph_selection(Z.node_counts(halves(spark, sf).where("half = 1"), ["seed"], betas=BT), CAPS, ["seed"])
+    return Z.graph_selection(seed_nodes(spark, sf), CAPS, ["seed"])
 
 
 @query("r09_bonferroni_families", f"{CAL}, {NODES} SELECT seed, cap, tau, beta, n, u FROM (SELECT *, {NBEST} FROM nt WHERE n > 0 AND pv <= 0.05 / 48) WHERE k = 1")
 def _(spark, sf):
-    return Z.bonferroni_selection(Z.node_counts(halves(spark, sf).where("half = 1"), ["seed"], betas=BT), CAPS, ["seed"], 48)
+    return Z.bonferroni_selection(seed_nodes(spark, sf), CAPS, ["seed"], 48)
 
 
 @query("r11_apply_to_test", f"""{CAL}, {GRAPH}, te AS (SELECT * FROM cal0 WHERE part = 'test'), tx AS (SELECT sx.seed, caps.cap, te.*, coalesce(te.g AND te.s >= gb.tau AND (1 - te.s) * te.c <= least(gb.beta, 0.1), false) AS ex FROM te, (SELECT unnest({SEEDS}) AS seed) sx, caps LEFT JOIN gb ON gb.seed = sx.seed AND gb.cap = caps.cap)
 SELECT seed, cap, count(*) AS cases, count(*) FILTER (WHERE ex) AS executed, count(*) FILTER (WHERE ex AND u) AS unsafe, {rs('avg(ex::INT)')} AS coverage, {rs('avg(CASE WHEN ex THEN u::INT * c ELSE 0.1 END)')} AS mean_loss FROM tx GROUP BY 1, 2""")
 def _(spark, sf):
-    cal = calibration(spark, sf)
-    picked = Z.graph_selection(Z.node_counts(Z.by_seed(cal.where("part = 'calibration'"), "case_id", SEEDS).where("half = 1"), ["seed"], betas=BT), CAPS, ["seed"])
-    test = cal.where("part = 'test'").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS])))
-    return rounded(Z.apply_choice(test, picked, ["seed"], CAPS))
+    picked = Z.graph_selection(seed_nodes(spark, sf), CAPS, ["seed"])
+    return rounded(Z.apply_choice(calibration(spark, sf).where("part = 'test'"), picked, SEEDS, CAPS, betas=BT))
 
 
 KN = """kp AS (SELECT sd.*, p AS policy, p = 'Safety' OR g AS ok FROM sd, (SELECT unnest(['Safety', 'Gate safety']) AS p)),
@@ -108,7 +111,7 @@ KB = "row_number() OVER (PARTITION BY seed, policy, cap ORDER BY n DESC, t) AS k
 
 
 def knots(spark, sf):
-    d = Z.both_gates(halves(spark, sf), F.col("g"))
+    d = materialize(Z.gate_counts(calibration(spark, sf).where("part = 'calibration'"), "case_id", SEEDS, F.col("g")))
     return d.where("half = 0"), d.where("half = 1")
 
 
@@ -143,13 +146,8 @@ def _(spark, sf):
 @query("a55_r10_repeat_summary", f"""{CAL}, {GRAPH}, te AS (SELECT * FROM cal0 WHERE part = 'test'), tx AS (SELECT sx.seed, caps.cap, coalesce(te.g AND te.s >= gb.tau AND (1 - te.s) * te.c <= least(gb.beta, 0.1), false) AS ex FROM te, (SELECT unnest({SEEDS}) AS seed) sx, caps LEFT JOIN gb ON gb.seed = sx.seed AND gb.cap = caps.cap),
 rp AS (SELECT seed, cap, avg(ex::INT) AS coverage, seed || cap::VARCHAR IN (SELECT seed || cap::VARCHAR FROM gb) AS certified FROM tx GROUP BY 1, 2) SELECT cap, count(*) AS repetitions, {rs('avg(certified::INT)')} AS certification_fraction, {rs('quantile_cont(coverage, 0.5)')} AS coverage_median, {rs('min(coverage)')} AS coverage_min, {rs('max(coverage)')} AS coverage_max FROM rp GROUP BY 1""")
 def _(spark, sf):
-    cal = calibration(spark, sf)
-    picked = Z.graph_selection(Z.node_counts(Z.by_seed(cal.where("part = 'calibration'"), "case_id", SEEDS).where("half = 1"), ["seed"], betas=BT), CAPS, ["seed"])
-    from ..session import materialize
-
-    picked = materialize(picked)
-    test = cal.where("part = 'test'").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS])))
-    m = Z.apply_choice(test, picked, ["seed"], CAPS).join(picked.select("seed", "cap", F.lit(True).alias("certified")), ["seed", "cap"], "left")
+    picked = materialize(Z.graph_selection(seed_nodes(spark, sf), CAPS, ["seed"]))
+    m = Z.apply_choice(calibration(spark, sf).where("part = 'test'"), picked, SEEDS, CAPS, betas=BT).join(picked.select("seed", "cap", F.lit(True).alias("certified")), ["seed", "cap"], "left")
     return rounded(Z.repeat_summary(m.withColumn("certified", F.coalesce("certified", F.lit(False))), ["cap"]))
 
 
@@ -174,8 +172,17 @@ def _(spark, sf):
     return rounded(Z.exact_intervals(z, "n", "u").select("regime", "n", "u", "lower", "upper"), ["lower", "upper"])
 
 
-@query("b13_permutation_placebo", f"""{RL}, pa AS (SELECT case_id, row_number() OVER (ORDER BY sha256(case_id), case_id) AS k FROM rb), pb AS (SELECT c, row_number() OVER (ORDER BY sha256('perm1:' || case_id), case_id) AS k FROM rb)
-SELECT pa.case_id, {rs('pb.c')} AS c_placebo FROM pa JOIN pb USING (k)""")
+def dealt_sql(source: str, seed: str, by: str, name: str) -> str:
+    """CTE ``name``: the rows of source (with _x = place, _n = size and c) at the places of a seed's permutation."""
+    keys = Z.round_keys(seed)
+    k, a, b = ([key[i] for key in keys] for i in range(3))
+    mirror = f"((({k}[i] - x) % _n + _n) % _n)"
+    swap = f"CASE WHEN ((greatest(x, {mirror}) % {Z.COIN} * {a}[i] + {b}[i]) % {Z.COIN}) % 2 = 1 THEN {mirror} ELSE x END"
+    return f"{name} AS (SELECT {by}'{seed}' AS j, list_reduce(range(1, {Z.ROUNDS + 1}), lambda x, i: {swap}, _x::BIGINT) AS _x, c FROM {source})"
+
+
+@query("b13_permutation_placebo", f"""{RL}, pa AS (SELECT case_id, c, row_number() OVER (ORDER BY sha256(case_id), case_id) - 1 AS _x, count(*) OVER () AS _n FROM rb), {dealt_sql('pa', 'perm1:', '', 'pb')}
+SELECT pa.case_id, {rs('pb.c')} AS c_placebo FROM pa JOIN pb USING (_x)""")
 def _(spark, sf):
     d = calibration(spark, sf).select("case_id", "c")
     return Z.permuted(d, "case_id", "c", "perm1:", "c_placebo").select("case_id", r("c_placebo").alias("c_placebo"))
@@ -186,9 +193,9 @@ PERMS = [f"perm{j}:" for j in range(20)]
 CELL = "CASE WHEN g AND s >= 0 THEN list_count(list_filter({0}, lambda x: s >= x)) ELSE 0 END AS ti, list_count(list_filter({1}, lambda x: (1 - s) * cp <= least(x, 0.1))) AS bi"
 
 
-@query("r14_placebo_certification", f"""{CAL}, ps AS (SELECT regime, row_number() OVER (PARTITION BY regime ORDER BY sha256(case_id), case_id) AS k, case_id FROM cal0 WHERE part = 'calibration'),
-pd AS (SELECT regime, j, c AS cp, row_number() OVER (PARTITION BY regime, j ORDER BY sha256(j || case_id), case_id) AS k FROM cal0, (SELECT unnest({PERMS}) AS j) WHERE part = 'calibration'),
-pm AS (SELECT pd.j, ps.case_id, pd.cp FROM ps JOIN pd USING (regime, k) UNION ALL SELECT 'actual', case_id, c FROM cal0 WHERE part = 'calibration'),
+@query("r14_placebo_certification", f"""{CAL}, ps AS (SELECT regime, case_id, c, row_number() OVER (PARTITION BY regime ORDER BY sha256(case_id), case_id) - 1 AS _x, count(*) OVER (PARTITION BY regime) AS _n FROM cal0 WHERE part = 'calibration'),
+{', '.join(dealt_sql('ps', p, 'regime, ', f'd{i}') for i, p in enumerate(PERMS))}, pd AS ({' UNION ALL '.join(f'SELECT * FROM d{i}' for i in range(len(PERMS)))}),
+pm AS (SELECT pd.j, ps.case_id, pd.c AS cp FROM ps JOIN pd USING (regime, _x) UNION ALL SELECT 'actual', case_id, c FROM ps),
 pc AS (SELECT regime, pm.j AS permutation, seed, {CELL.format(Z.TAUS, BT)}, u, count(*) AS m FROM sd JOIN pm USING (case_id) WHERE half = 1 GROUP BY ALL),
 pn AS (SELECT regime, permutation, seed, tau, beta, coalesce(sum(m) FILTER (WHERE ti >= tx AND bi >= {len(BT)} - bx + 1), 0)::BIGINT AS n, coalesce(sum(m) FILTER (WHERE u AND ti >= tx AND bi >= {len(BT)} - bx + 1), 0)::BIGINT AS u
  FROM pc, (SELECT tau, row_number() OVER (ORDER BY tau) AS tx FROM (SELECT unnest({Z.TAUS})::DOUBLE AS tau)), (SELECT beta, row_number() OVER (ORDER BY beta) AS bx FROM (SELECT unnest({BT})::DOUBLE AS beta)) GROUP BY 1, 2, 3, 4, 5),
@@ -197,9 +204,8 @@ SELECT regime, permutation, cap, count(DISTINCT seed) FILTER (WHERE pass = 1) AS
 def _(spark, sf):
     cal = calibration(spark, sf).where("part = 'calibration'")
     arms = Z.permuted_all(cal, "case_id", "c", PERMS, "cp", ["regime"]).unionByName(cal.withColumn("permutation", F.lit("actual")).withColumn("cp", F.col("c")))
-    d = Z.by_seed(arms.drop("c").withColumnRenamed("cp", "c"), "case_id", SEEDS).where("half = 1")
     by = ["regime", "permutation", "seed"]
-    t = Z.tested(Z.node_counts(d, by, betas=BT), CAPS)
+    t = Z.tested(Z.seed_node_counts(arms.drop("c").withColumnRenamed("cp", "c"), "case_id", SEEDS, by[:2], betas=BT), CAPS)
     kept = Z.stop_at_first_failure(t, [*by, "cap", "tau"], "bj", (F.col("n") > 0) & (F.col("p_value") <= 0.05 / 8))
     hit = kept.select("regime", "permutation", "cap", "seed").distinct().groupBy("regime", "permutation", "cap").agg(F.count("*").alias("certifications"))
     return t.select("regime", "permutation", "cap").distinct().join(hit, ["regime", "permutation", "cap"], "left").fillna(0, ["certifications"])
