@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import policy as D
 from ..functions.scalars import SAFE, is_true, upper_text
 from ..sources.spec import cost_points
+from . import envelope
 from .ordered import count_if
 
 
@@ -69,11 +70,23 @@ def confidence_sweep(df: DataFrame, taus: list[float], p: D.Params) -> DataFrame
 
 def cost_grid(df: DataFrame, c_g: list[float], c_h: list[float], c_a: list[float], p: D.Params) -> DataFrame:
     """Action counts of the full policy at every cost point with c_G < c_H < c_A."""
-    pe, p1, c, ok = F.col("p_cal_execute"), F.col("p_safe_t1_primary"), F.col("c"), is_true(F.col("gather_policy_eligible"))
-    points = F.array(*[F.struct(F.lit(g).alias("c_g"), F.lit(h).alias("c_h"), F.lit(a).alias("c_a")) for g, h, a in cost_points(c_g, c_h, c_a)])
-    long = df.select("p_cal_execute", "p_safe_t1_primary", "c", "gather_policy_eligible", F.inline(points))
-    q = p.but(c_g=F.col("c_g"), c_h=F.col("c_h"), c_a=F.col("c_a"))
-    a, _, _ = D.first_policy("FULL", pe, p1, c, q, ok)
-    n = lambda x: count_if(F.col("a") == x)
-    return long.withColumn("a", a).groupBy("c_g", "c_h", "c_a").agg(
-        n("EXECUTE").alias("executed"), n("GATHER").alias("gathered"), n("ESCALATE").alias("escalated"), n("ABSTAIN").alias("abstained"))
+    points = [{"c_g": float(g), "c_h": float(h), "c_a": float(a)} for g, h, a in cost_points(c_g, c_h, c_a)]
+    cells = envelope.kinds(df, [envelope.letter(_full(p.but(**x))[0]) for x in points], {})
+    n = envelope.count_of
+    return envelope.on_grid(cells, points).groupBy("c_g", "c_h", "c_a").agg(
+        n("E").alias("executed"), n("G").alias("gathered"), n("H").alias("escalated"), n("A").alias("abstained"))
+
+
+def _full(p: D.Params) -> tuple[Column, Column, Column]:
+    return D.first_policy("FULL", F.col("p_cal_execute"), F.col("p_safe_t1_primary"), F.col("c"), p, is_true(F.col("gather_policy_eligible")))
+
+
+def post_gate_sweep(df: DataFrame, taus: list[float], betas: list[float], p: D.Params) -> DataFrame:
+    """The full policy at every threshold and budget of the gate after evidence: what is executed, gathered and executed after gathering."""
+    points = [{"tau1": float(t), "beta1": float(b)} for t in taus for b in betas]
+    fits = [_full(p.but(**x)) for x in points]
+    cells = envelope.kinds(df, [envelope.letter(first, final) for first, final, _ in fits], {})
+    n = envelope.count_of
+    return envelope.on_grid(cells, points).groupBy("tau1", "beta1").agg(
+        n("E", "e").alias("executed"), n("e", "h", "a").alias("gathered"), n("e").alias("post_gather_executed"),
+        (n("e") / F.sum("n")).alias("post_gather_execute_rate"), n("h").alias("post_gather_escalated"), n("a").alias("post_gather_abstained"))

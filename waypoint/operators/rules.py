@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy as D
 from ..functions.scalars import AMBIGUOUS, UNSAFE, is_true, left_closed_bin
+from . import envelope
 from .metrics import rule_metrics
 from .ordered import at_thresholds, count_if, grid_column
 from .ranking import best_row
@@ -158,13 +159,16 @@ def step_counts(df: DataFrame, score: str, tau: float, beta: float, by: list[str
 
 
 def human_cost_grid(df: DataFrame, c_h: list[float], rho: list[float], p: D.Params) -> DataFrame:
-    points = F.array(*[F.struct(F.lit(h).alias("c_h"), F.lit(x).alias("rho_h")) for h in c_h for x in rho])
-    d = df.select("p_safe_t0_cal", "p_safe_t1_primary", "gather_policy_eligible", "gate", "unsafe", "c", F.inline(points))
-    q = p.but(c_h=F.col("c_h"), rho_h=F.col("rho_h"))
+    """Executions and mean loss at every (c_H, rho_H), rows counted by kind and not copied."""
+    points = [{"c_h": float(h), "rho_h": float(x)} for h in c_h for x in rho]
     c = F.col("c")
-    a, _ = D.decide(F.col("p_safe_t0_cal"), F.col("p_safe_t1_primary"), c, q, F.col("gather_policy_eligible"), F.col("gate"), allow_gather=False)
-    d = d.withColumn("a", a)
-    return d.groupBy("c_h", "rho_h").agg(count_if(F.col("a") == "EXECUTE").alias("executed"), F.avg(D.loss_b(F.col("a"), F.col("unsafe"), c, q)).alias("loss"), F.avg(D.escalate_loss(c, q)).alias("always_escalate"))
+    decide = lambda q: D.decide(F.col("p_safe_t0_cal"), F.col("p_safe_t1_primary"), c, q, F.col("gather_policy_eligible"), F.col("gate"), allow_gather=False)[0]
+    cells = envelope.kinds(df, [envelope.letter(decide(p.but(**x))) for x in points], {"bad": is_true(F.col("unsafe")).cast("int") * c, "all_c": c})
+    act, n = F.col("act"), F.col("n")
+    escalate = F.col("c_h") * n + F.col("rho_h") * F.col("all_c")
+    loss = F.when(act == "E", F.col("bad")).when(act == "H", escalate).otherwise(F.lit(float(p.c_a)) * n)
+    return envelope.on_grid(cells, points).groupBy("c_h", "rho_h").agg(
+        envelope.count_of("E").alias("executed"), (F.sum(loss) / F.sum("n")).alias("loss"), (F.sum(escalate) / F.sum("n")).alias("always_escalate"))
 
 
 def consequence_only(df: DataFrame, p: D.Params, by: list[str]) -> DataFrame:

@@ -346,3 +346,18 @@ def _(spark, sf):
     from ..operators.first_generation import cost_grid
 
     return cost_grid(moded(spark, sf, ["LOG_TRAIN_P90"]), [0.01, 0.02, 0.05, 0.1], [0.05, 0.1, 0.2], [0.2, 0.5, 1.0], PAR)
+
+
+PT, PB = [0.1, 0.3, 0.5, 0.7, 0.9], [0.1, 0.3, 0.6]
+
+
+@query("d16_post_evidence_gate_sweep", f"""{MODED}, z0 AS (SELECT *, (1 - p_cal_execute) * c AS le, (1 - p_safe_t1_primary) * c AS l1 FROM l4, (SELECT unnest({PT})::DOUBLE AS tau1), (SELECT unnest({PB})::DOUBLE AS beta1) WHERE mode = 'LOG_TRAIN_P90'),
+z1 AS (SELECT *, CASE WHEN le <= 0.2 THEN le ELSE {INF} END AS e, CASE WHEN coalesce(p_safe_t1_primary >= tau1 AND l1 <= beta1, false) THEN l1 ELSE {INF} END AS e1 FROM z0),
+z2 AS (SELECT *, {pick_sql(('EXECUTE', 'e1'), ('ESCALATE', 'lh'), ('ABSTAIN', '0.118'))} AS later, CASE WHEN gather_policy_eligible THEN 0.02 + least(e1, lh, 0.118) ELSE {INF} END AS gg FROM z1),
+z3 AS (SELECT *, {pick_sql(('EXECUTE', 'e'), ('ESCALATE', 'lh'), ('ABSTAIN', '0.118'), ('GATHER', 'gg'))} AS act FROM z2)
+SELECT tau1, beta1, count(*) FILTER (WHERE act = 'EXECUTE' OR (act = 'GATHER' AND later = 'EXECUTE')) AS executed, count(*) FILTER (WHERE act = 'GATHER') AS gathered, count(*) FILTER (WHERE act = 'GATHER' AND later = 'EXECUTE') AS post_gather_executed,
+ {rs("avg((act = 'GATHER' AND later = 'EXECUTE')::INT)")} AS post_gather_execute_rate, count(*) FILTER (WHERE act = 'GATHER' AND later = 'ESCALATE') AS post_gather_escalated, count(*) FILTER (WHERE act = 'GATHER' AND later = 'ABSTAIN') AS post_gather_abstained FROM z3 GROUP BY 1, 2""")
+def _(spark, sf):
+    from ..operators.first_generation import post_gate_sweep
+
+    return rounded(post_gate_sweep(moded(spark, sf, ["LOG_TRAIN_P90"]), PT, PB, PAR))
