@@ -161,6 +161,51 @@ def test_an_exact_copy_does_not_hide_edited_ones(spark, copies):
     assert all(abs(r.score - (1 if r.key == 1 else want)) < 1e-9 for r in got)
 
 
+def _edits(parts, draw):
+    """Copies of an item with regular and random exchanges, drops and insertions."""
+    for k in (2, 3, 4, 5, 6, 9):
+        for at in range(k):
+            yield "swap", [w if i % k != at else "xx" for i, w in enumerate(parts)]
+            yield "drop", [w for i, w in enumerate(parts) if i % k != at]
+        yield "insert", [x for i, w in enumerate(parts) for x in ([w, "xx"] if i % k == k - 1 else [w])]
+    for share in (0.1, 0.2, 0.25, 0.3, 0.33):
+        yield "swap", [w if draw.random() > share else f"x{draw.randrange(99)}" for w in parts]
+        yield "drop", [w for w in parts if draw.random() > share]
+        yield "swap", [w if draw.random() > share / 2 else "xx" for w in parts if draw.random() > share / 2]
+
+
+def test_recall_against_the_alignment_of_all_pairs(spark):
+    draw = random.Random(21)
+    words = [f"q{i}" for i in range(300)]
+    items = [(k, " ".join(draw.choice(words) for _ in range(m))) for k, m in enumerate((15, 16, 20, 25, 30, 38, 40, 60))]
+    rows, found_by_all, kinds = [], set(), {}
+    filler = lambda n: [f"z{draw.randrange(10**6)}" for _ in range(n)]
+    for k, text in items:
+        parts = text.split()
+        for kind, body in _edits(parts, draw):
+            key = len(rows)
+            rows.append((key, " ".join(filler(80) + body + filler(40))))
+            if decontam.alignment(decontam.words(text), decontam.words(" ".join(body)))[0] >= 0.5 * len(parts):
+                found_by_all.add((key, k))
+                kinds[(key, k)] = kind
+    table_ = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.key, r.item_id) for r in decontam.contaminated(documents(spark, rows), table_).collect()}
+    assert got <= found_by_all
+    for kind in ("swap", "drop", "insert"):
+        wanted = {p for p in found_by_all if kinds[p] == kind}
+        assert len(wanted) > 30 and len(got & wanted) >= 0.9 * len(wanted), kind
+    assert len(got) >= 0.97 * len(found_by_all)
+
+
+def test_the_best_place_of_an_item_is_named_and_the_first_of_equal_ones(spark):
+    item = [f"v{i}" for i in range(40)]
+    far = [f"z{i}" for i in range(200)]
+    rows = [(1, " ".join([*item[:26], *far, *item])), (2, " ".join([*item, *far, *item])), (3, " ".join(["a", *item, *far])), (4, " ".join(["a", *item, *far]))]
+    items = spark.createDataFrame([("one", " ".join(item)), ("same", " ".join(item))], "item_id string, text string")
+    got = {(r.key, r.item_id): (r.score, r.end_word) for r in decontam.contaminated(documents(spark, rows), items).collect()}
+    assert got == {(k, i): (1.0, end) for k, end in ((1, 266), (2, 40), (3, 41), (4, 41)) for i in ("one", "same")}
+
+
 def test_no_alignment_scores_more_than_the_common_words():
     draw = np.random.default_rng(8)
     for _ in range(200):
