@@ -75,3 +75,37 @@ def test_results_without_a_call_are_reported(spark):
     got = sorted((r.turn, r.call_id, r.result_turn, r.problems, json.loads(r.json)["result"]) for r in out if not r.valid)
     assert got == [(0, "u-1", 0, "no call", "hello"), (3, "lost", 3, "no call", "3"), (4, None, 4, "no identifier,no call", None), (5, "u4", 5, "no identifier,no call", "no chat")]
     assert [r.call_id for r in out if r.valid] == ["u1"]
+
+
+def test_every_message_is_in_a_row(spark):
+    rows = [
+        (1, 0, "system", "rules"), (1, 1, "user", "hi"), (1, 2, "assistant", "a"), (1, 2, "assistant", "a"), (1, 2, "assistant", "b"), (1, 2, "assistant", None),
+        (1, 3, "critic", "c"), (1, 4, None, "n"), (1, 5, "system", None), (1, 6, "system", "x" * 300_000), (None, 7, "system", "lost"), (1, 0, "system", "rules"),
+    ]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    said = []
+    for r in out:
+        body = json.loads(r.json)
+        said += [body["arguments"]["prompt"]] if body.get("arguments") else []
+        said += [body["content"]] if r.name == "message" else [body["result"]]
+    assert sorted(map(str, said)) == sorted(str(t) for *_, t in rows)
+    assert sorted((r.turn, r.problems) for r in out if not r.valid) == [(1, "several results"), (2, "surplus result"), (2, "surplus result"), (2, "surplus result"), (3, "unknown role"), (4, "no role"), (7, "no identifier")]
+    first = next(r for r in out if r.turn == 0)
+    assert first.json == '{"content":"rules","role":"system"}' and first.valid
+
+
+def test_the_twin_says_the_same_of_odd_messages(spark):
+    import duckdb
+    import pandas as pd
+
+    from waypoint.llm import twins
+
+    rows = [(1, 0, "assistant", "early"), (1, 1, "user", "hi"), (1, 2, "assistant", "b"), (1, 2, "assistant", "a"), (1, 2, "assistant", None), (2, 1, "user", "é\"\\"), (2, 1, "user", "again"), (2, 2, "assistant", "x"), (2, 3, "critic", None), (2, 4, None, "n"), (None, 5, "system", "s")]
+    names = ["conv_id", "turn", "role", "text"]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    con = duckdb.connect()
+    con.register("rows_", pd.DataFrame(rows, columns=names).astype(object))
+    con.execute("CREATE VIEW conversations AS SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role::VARCHAR AS role, text::VARCHAR AS text FROM rows_")
+    want = con.execute(twins.OP6)
+    at = [[d[0] for d in want.description].index(c) for c in got.columns]
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(str(tuple(row[i] for i in at)) for row in want.fetchall())

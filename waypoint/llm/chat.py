@@ -18,10 +18,12 @@ assistant wrote it; it needs the user turn before it.
 Defined cases: a null text counts as missing, so it is reported as a missing
 prompt; a null conversation or identifier links with nothing and is reported; an
 identifier used twice is reported on each of its calls; of several results the
-first by (turn, content) is taken and reported; a result without a call is
-reported in a row of its own, without a name; calls in or behind a cycle are
-reported and keep their own turn; repeated rows stay; an empty table gives an
-empty result; further columns are ignored. Other roles (system) make no row.
+first by (turn, content) is taken, and the others are reported on the call and
+in rows of their own; a result without a call is reported in a row of its own,
+without a name; system messages have a row with their text as canonical JSON,
+and so have messages of a missing or unknown role, which are reported; calls in
+or behind a cycle are reported and keep their own turn; repeated rows stay; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import attach, stage
 
 # Tool, argument, JSON type, required, longest text.
 SCHEMAS = [("reply", "prompt", "STRING", True, 20000), ("reply", "turn", "BIGINT", True, None)]
@@ -163,7 +165,26 @@ def link(calls: DataFrame, results: DataFrame, schemas: list[tuple] = SCHEMAS) -
     linked = rows.select(
         "conv_id", "turn", "call_id", "name", F.coalesce("ready_turn", "turn").alias("ready_turn"), F.coalesce("hops", F.lit(0)).alias("hops"),
         F.col("answer.turn").alias("result_turn"), (F.col("problems") == "").alias("valid"), "problems", json.alias("json"))
-    return linked.unionByName(_without_call(calls, results))
+    return linked.unionByName(_without_call(calls, results)).unionByName(_surplus(calls, results, answers))
+
+
+def _result_row(rows: DataFrame, problems: Column) -> DataFrame:
+    """Results (conv_id, turn, call_id, content) in the columns of ``link``, reported with ``problems``."""
+    json = F.concat(F.lit('{"arguments":null,"call_id":'), F.coalesce(quoted(F.col("call_id")), F.lit("null")), F.lit(',"name":null,"result":'), F.coalesce(quoted(F.col("content")), F.lit("null")), F.lit("}"))
+    return rows.select(
+        "conv_id", "turn", "call_id", F.lit(None).cast("string").alias("name"), F.col("turn").alias("ready_turn"), F.lit(0).alias("hops"),
+        F.col("turn").alias("result_turn"), F.lit(False).alias("valid"), problems.alias("problems"), json.alias("json"))
+
+
+def _surplus(calls: DataFrame, results: DataFrame, answers: DataFrame) -> DataFrame:
+    """The results that a call has besides the one it takes. Equal ones are counted first, so no identifier gathers rows."""
+    ids = ["conv_id", "call_id"]
+    several = answers.where("answers > 1").join(calls.select(*ids).distinct(), ids, "left_semi")
+    counted = results.where("conv_id is not null and call_id is not null").groupBy(*ids, "turn", "content").agg(F.count("*").alias("n"))
+    met = attach(counted, several, ids, "answers")
+    taken = F.col("turn").eqNullSafe(F.col("answer.turn")) & F.col("content").eqNullSafe(F.col("answer.content"))
+    left = met.withColumn("n", F.col("n") - taken.cast("int")).where("n > 0")
+    return _result_row(left.select(*ids, "turn", "content", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))), F.lit("surplus result"))
 
 
 def _without_call(calls: DataFrame, results: DataFrame) -> DataFrame:
@@ -171,14 +192,23 @@ def _without_call(calls: DataFrame, results: DataFrame) -> DataFrame:
     asked = calls.select("conv_id", "call_id").distinct()
     rest = results.join(asked, ["conv_id", "call_id"], "left_anti")
     unnamed = F.col("conv_id").isNull() | F.col("call_id").isNull()
-    problems = F.array_join(F.array_compact(F.array(F.when(unnamed, "no identifier"), F.lit("no call"))), ",")
-    json = F.concat(F.lit('{"arguments":null,"call_id":'), F.coalesce(quoted(F.col("call_id")), F.lit("null")), F.lit(',"name":null,"result":'), F.coalesce(quoted(F.col("content")), F.lit("null")), F.lit("}"))
-    return rest.select(
-        "conv_id", "turn", "call_id", F.lit(None).cast("string").alias("name"), F.col("turn").alias("ready_turn"), F.lit(0).alias("hops"),
-        F.col("turn").alias("result_turn"), F.lit(False).alias("valid"), problems.alias("problems"), json.alias("json"))
+    return _result_row(rest, F.array_join(F.array_compact(F.array(F.when(unnamed, "no identifier"), F.lit("no call"))), ","))
+
+
+def other_messages(messages: DataFrame) -> DataFrame:
+    """Messages that neither call nor answer, in the columns of ``link``: system texts, and missing or unknown roles, which are reported."""
+    role = F.col("role")
+    rows = messages.where(role.isNull() | ~role.isin("user", "assistant", "tool"))
+    problems = F.array_join(F.array_compact(F.array(
+        F.when(F.col("conv_id").isNull(), "no identifier"), F.when(role.isNull(), "no role").when(role != "system", "unknown role"))), ",")
+    json = F.concat(F.lit('{"content":'), F.coalesce(quoted(F.col("text")), F.lit("null")), F.lit(',"role":'), F.coalesce(quoted(role), F.lit("null")), F.lit("}"))
+    return rows.select(
+        "conv_id", "turn", F.lit(None).cast("string").alias("call_id"), F.lit("message").alias("name"), F.col("turn").alias("ready_turn"), F.lit(0).alias("hops"),
+        F.lit(None).cast("bigint").alias("result_turn"), (problems == "").alias("valid"), problems.alias("problems"), json.alias("json"))
 
 
 def format_chats(messages: DataFrame, schemas: list[tuple] = SCHEMAS) -> DataFrame:
-    """All calls of plain and tool-using conversations, linked, and the results that have none."""
+    """All calls of plain and tool-using conversations, linked, the results that none takes, and all other messages."""
     messages = messages.select("conv_id", "turn", "role", "text")
-    return link(reply_calls(messages).unionByName(explicit_calls(messages)), reply_results(messages).unionByName(explicit_results(messages)), schemas)
+    linked = link(reply_calls(messages).unionByName(explicit_calls(messages)), reply_results(messages).unionByName(explicit_results(messages)), schemas)
+    return linked.unionByName(other_messages(messages))

@@ -17,13 +17,18 @@ g AS (SELECT t, first(doc_id ORDER BY n DESC, doc_id) AS keep_id, count(*) AS gr
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)"""
 
 OP6 = """WITH c AS (SELECT conv_id, turn, 'u' || turn AS call_id, text FROM conversations WHERE role = 'user'),
-a AS (SELECT conv_id, 'u' || (turn - 1) AS call_id, count(*) AS answers, min(turn) AS result_turn, arg_min(text, turn) AS content FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
+a AS (SELECT conv_id, 'u' || (turn - 1) AS call_id, count(*) AS answers, min(turn) AS result_turn, first(text ORDER BY turn, text NULLS FIRST) AS content FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
 u AS (SELECT conv_id, call_id, count(*) AS uses FROM c GROUP BY 1, 2),
 p AS (SELECT c.*, a.result_turn, a.content, concat_ws(',', CASE WHEN c.text IS NULL THEN 'missing prompt' END, CASE WHEN length(c.text) > 20000 THEN 'long prompt' END, CASE WHEN uses > 1 THEN 'repeated identifier' END,
  CASE WHEN answers IS NULL THEN 'no result' END, CASE WHEN answers > 1 THEN 'several results' END, CASE WHEN turn >= 2 AND NOT EXISTS (FROM c b WHERE b.conv_id = c.conv_id AND b.turn = c.turn - 2) THEN 'missing need' END) AS problems
  FROM c LEFT JOIN a USING (conv_id, call_id) LEFT JOIN u USING (conv_id, call_id))
 SELECT conv_id, turn, call_id, 'reply' AS name, turn AS ready_turn, 0 AS hops, result_turn, problems = '' AS valid, problems,
- '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"prompt":' || json_quote(text) || ',' END || '"turn":' || turn || '},"call_id":' || json_quote(call_id) || ',"name":"reply","result":' || coalesce(json_quote(content)::VARCHAR, 'null') || '}' AS json FROM p"""
+ '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"prompt":' || json_quote(text) || ',' END || '"turn":' || turn || '},"call_id":' || json_quote(call_id) || ',"name":"reply","result":' || coalesce(json_quote(content)::VARCHAR, 'null') || '}' AS json FROM p
+UNION ALL SELECT conv_id, turn, call_id, NULL, turn, 0, turn, false, CASE WHEN k IS NULL THEN concat_ws(',', CASE WHEN conv_id IS NULL OR call_id IS NULL THEN 'no identifier' END, 'no call') ELSE 'surplus result' END,
+ '{"arguments":null,"call_id":' || coalesce(json_quote(call_id)::VARCHAR, 'null') || ',"name":null,"result":' || coalesce(json_quote(text)::VARCHAR, 'null') || '}'
+ FROM (SELECT m.*, CASE WHEN u.call_id IS NOT NULL THEN row_number() OVER (PARTITION BY m.conv_id, m.call_id ORDER BY m.turn, m.text NULLS FIRST) END AS k FROM (SELECT *, 'u' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant') m LEFT JOIN u USING (conv_id, call_id)) WHERE k IS NULL OR k > 1
+UNION ALL SELECT conv_id, turn, NULL, 'message', turn, 0, NULL, problems = '', problems, '{"content":' || coalesce(json_quote(text)::VARCHAR, 'null') || ',"role":' || coalesce(json_quote(role)::VARCHAR, 'null') || '}'
+ FROM (SELECT *, concat_ws(',', CASE WHEN conv_id IS NULL THEN 'no identifier' END, CASE WHEN role IS NULL THEN 'no role' WHEN role <> 'system' THEN 'unknown role' END) AS problems FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant', 'tool'))"""
 
 OP9 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
 s AS (SELECT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 4 THEN [array_to_string(l, ' ')] ELSE list_distinct(list_transform(range(1, len(l) - 2), lambda i: array_to_string(l[i:i + 3], ' '))) END) AS sh FROM w),
