@@ -93,9 +93,17 @@ def small_batches(spark: SparkSession) -> None:
 
 # A bitmap over hashed keys: 2^bits bits as rows (word, mask), so at most
 # 2^(bits-6) rows whatever the number of keys. It tells "surely absent" from
-# "maybe present"; an exact join follows for the rest.
+# "maybe present"; an exact join follows for the rest. Where rows are dropped, its
+# size follows the counted keys, eight bits a key, between 2^BITS and 2^MOST_BITS bits (two
+# million rows of 12 bytes); with far more keys than that the exact join does
+# all the work.
 
-BITS = 23
+BITS, MOST_BITS = 23, 27
+
+
+def bits_for(keys: DataFrame) -> int:
+    """Size of the bitmap of a written table of keys."""
+    return min(MOST_BITS, max(BITS, (8 * keys.count()).bit_length()))
 
 
 def _slot(keys: list[Column], bits: int) -> Column:
@@ -128,9 +136,11 @@ def drop_keys(df: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
     Rows that the bitmap clears never move; only the others are shuffled for
     the exact anti-join.
     """
-    marked = mark_maybe(df, [key], stage(bitmap(dropped, [key]), "dropped-bits"))
+    keys = stage(dropped.select(key).distinct(), "dropped-keys")
+    bits = bits_for(keys)
+    marked = mark_maybe(df, [key], stage(bitmap(keys, [key], bits), "dropped-bits"), bits=bits)
     clear = marked.where(~F.col(MAYBE)).select(*df.columns)
-    rest = marked.where(F.col(MAYBE)).select(*df.columns).join(dropped.select(key).distinct(), key, "left_anti")
+    rest = marked.where(F.col(MAYBE)).select(*df.columns).join(keys, key, "left_anti")
     return clear.unionByName(rest.select(*df.columns))
 
 

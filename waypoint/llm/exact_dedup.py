@@ -3,7 +3,8 @@
 Rows are grouped by length, then by a hash of the first characters, and only
 the rows of groups that still have company get a hash of the whole text. The
 surviving groups are kept as a bitmap of fixed size, so the second pass over
-the texts is a broadcast lookup and moves no text.
+the texts is a broadcast lookup and moves no text; neither does the settling of
+rows that share a key.
 
 Defined cases: a null text counts as empty; a null key loses ties against any
 key; of equal texts that also share the key all rows carry ``kept``, and
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, drop_keys, mark_maybe, stage
+from .common import attach, bitmap, drop_keys, mark_maybe, stage
 
 #: The characters [\\x20\\x09-\\x0D] that do not count.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -38,7 +39,7 @@ def refine(docs: DataFrame, key: str = "doc_id", text: str = "text", digest_all:
     """
     texts = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_norm", normal_text(F.col("_text")))
     coarse = texts.select(F.length("_norm").alias("_length"), F.xxhash64(F.substring("_norm", 1, PREFIX)).alias("_prefix"))
-    # the first refinement is a group count by length, the second by (length, prefix hash)
+    # lengths and prefix hashes are counted together: both are read from the text in the same pass
     company = coarse.groupBy("_length", "_prefix").agg(F.count("*").alias("_n")).where("_n > 1")
     words = stage(bitmap(company, ["_length", "_prefix"]), "company")
     rows = texts.withColumn("_length", F.length("_norm")).withColumn("_prefix", F.xxhash64(F.substring("_norm", 1, PREFIX)))
@@ -97,13 +98,16 @@ def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def settle(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The same decision for tables with repeated or missing keys: decided by row, with the text at hand.
+    """The same decision for tables with repeated or missing keys: rows get numbers and are judged by these.
 
-    Of rows equal in text, key and length one stays; the choice among them is free.
+    Digests and numbers are shuffled, texts are not. Of rows equal in text, key
+    and length the one with the smallest number stays.
     """
-    norm = F.sha2(normal_text(F.col(text)), 256)
-    columns = docs.columns
-    rows = docs.withColumn("_waypoint_digest", norm).withColumn("_waypoint_n", F.length(F.coalesce(F.col(text), F.lit(""))))
-    best = rows.groupBy("_waypoint_digest").agg(F.min(F.struct(-F.col("_waypoint_n"), F.col(key).isNull(), F.col(key))).alias("_waypoint_best"))
-    same = (F.struct(-F.col("_waypoint_n"), F.col(key).isNull(), F.col(key))).eqNullSafe(F.col("_waypoint_best"))
-    return rows.join(best, "_waypoint_digest").where(same).dropDuplicates(["_waypoint_digest"]).select(*columns)
+    columns, row = docs.columns, "_waypoint_row"
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    place = F.struct((-F.length(F.coalesce(F.col(text), F.lit("")))).alias("n"), F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
+    narrow = stage(rows.select(F.sha2(normal_text(F.col(text)), 256).alias("_waypoint_digest"), place.alias("_waypoint_place")), "numbered-digests")
+    best = narrow.groupBy("_waypoint_digest").agg(F.min("_waypoint_place").alias("_waypoint_best"), F.count("*").alias("_waypoint_size"))
+    groups = stage(best.where("_waypoint_size > 1"), "numbered-groups")
+    again = attach(narrow, groups, ["_waypoint_digest"], "_waypoint_size").where("_waypoint_place > _waypoint_best")
+    return drop_keys(rows, row, stage(again.select(F.col("_waypoint_place.row").alias(row)), "numbered-dropped")).select(*columns)
