@@ -48,7 +48,7 @@ GRAM = 3
 TRIPLES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 BITS = 24
 #: Words within which the hits of a copy are counted.
-SPAN = 64
+SPAN = 32
 #: Hits that are asked of a region, at most.
 ENOUGH = 4
 #: Words kept on either side of a hit, and the gap that parts two regions.
@@ -99,7 +99,7 @@ def seeds_of(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def needed(words: int) -> int:
     """Common seeds that a copy of an item of so many words has at least, at the threshold."""
-    return max(1, (words - GRAM) // 4)
+    return max(1, (words - GRAM) // 3)
 
 
 def alignment(item: np.ndarray, text: np.ndarray, gap: float = GAP) -> tuple[float, int]:
@@ -239,7 +239,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     short = hits.join(listed_seeds.where(F.col("m") < GRAM), "gram").select("stamp", "item_id")
     pairs = rare.join(listed_seeds.where(F.col("m") >= GRAM), "gram").select("stamp", "item_id").unionByName(short).distinct()
     ready = pairs.join(whole, "stamp").join(listed.select("item_id", F.col("words").alias("item"), "grams"), "item_id")
-    asked = F.greatest(F.lit(1), F.floor((F.size("item") - GRAM) / 4))
+    asked = F.greatest(F.lit(1), F.floor((F.size("item") - GRAM) / 3))
     ready = ready.where(F.size(F.array_intersect("grams", "seeds")) >= asked).select("stamp", "item_id", "item", F.col("words").alias("region"))
     aligned = stage(ready.mapInArrow(_aligner(threshold), f"stamp binary, item_id {kind}, score double, end long"), "aligned")
     placed = regions.select("key", "first", "stamp").join(aligned, "stamp").select("key", "item_id", "score", (F.col("first") + F.col("end")).alias("end_word"))
