@@ -14,6 +14,7 @@ SAMPLE = [
     "m15_m16_auroc_ap", "r05_fixed_sequence", "q04_q05_intervals",
     "b09_benchmark_invariants", "b10_b12_stress_arms", "v01_metric_identities", "v03_restriction_monotonicity", "v05_same_as_archived", "v06_case_invariants",
     "r13_exact_interval", "w07_rank_agreement", "q01_bootstrap_weights",
+    "e12_future_preview", "m01_level_dictionary", "b13_permutation_placebo", "q09_paired_auroc", "a51_human_cost_grid", "r08_eight_starts",
 ]
 
 
@@ -32,5 +33,5 @@ def test_matches_sql(spark, con, name):
 def test_every_query_but_the_fitted_ones_has_sql():
     builds, sql = all_queries()
     assert {n for n in builds if n not in sql} == {
-        "m02_m05_action_scores", "m03_m06_m08_safety_scores", "m04_boosted_comparison",
-        "m17_m19_feature_ablation", "m22_mismatch_sensitivity", "m23_corrected_action_model"}
+        "m02_m05_action_scores", "m03_m06_m08_safety_scores", "m04_boosted_comparison", "m08_t1_scores",
+        "m17_action_ablation", "m17_m19_feature_ablation", "m22_mismatch_sensitivity", "m23_corrected_action_model"}
