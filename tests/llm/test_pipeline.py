@@ -78,7 +78,7 @@ def test_stages_keep_the_columns_and_survive_odd_rows(spark):
 
 def test_every_operator_is_registered_once():
     names = [n for n in QUERIES if n != "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert [s[0] for s in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "near_dedup", "decontamination", "bpe"]
     assert set(SQL) <= set(QUERIES) and (corpus_pipeline.ORACLE_SQL is None) == ("pipeline" not in SQL)
 
