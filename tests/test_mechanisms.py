@@ -81,6 +81,29 @@ def test_curve_replicates_match_weighted_curves_with_a_hot_score(spark, monkeypa
         assert np.allclose(values, want, atol=1e-9)
 
 
+def test_score_orders_are_walked_in_pieces_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(Q, "PIECE_BITS", 3)
+    rng = random.Random(5)
+    rows = [(i % 40, rng.choice([0.5, 0.5, round(rng.random(), 2)]), rng.random(), rng.random() < 0.4) for i in range(300)]
+    d = spark.createDataFrame(rows, "c long, a double, b double, y boolean").coalesce(1)
+    sizes = [r["count"] for r in Q._ranked_cells(d, "c", {"a": "a", "b": "b"}, "y").groupBy("_part", "which").count().collect()]
+    assert max(sizes) <= 8
+    weight = {(r["c"], r["rep"]): r["weight"] for r in Q.weight_table(d.select("c").distinct(), "c", 3, "t").collect()}
+    for r in Q.curve_replicates(d, "c", {"a": "a", "b": "b"}, "y", 3, "t").collect():
+        w = [1 if r["rep"] < 0 else weight[(c, r["rep"])] for c, *_ in rows]
+        want = curves([x[1] if r["which"] == "a" else x[2] for x in rows], [x[3] for x in rows], w)
+        assert np.allclose((r["auroc"], r["average_precision"]), want, atol=1e-9)
+
+
+def test_weights_equal_the_plain_remainder():
+    m, steps = Q.multipliers("s", 50), Q.poisson_steps()
+    m[:, 0], m[:, 1] = Q.PRIME - 1, 1
+    k1, k2 = np.random.default_rng(3).integers(1, Q.PRIME, (2, 300))
+    k1[:3], k2[:3] = [1, Q.PRIME - 1, Q.PRIME - 1], [1, Q.PRIME - 1, 1]
+    x = (k1[:, None] * m[0] + k2[:, None] * m[1]) % Q.PRIME / float(Q.PRIME)
+    assert (Q.weights(k1, k2, m, steps) == (x[:, :, None] >= steps).sum(2)).all()
+
+
 def test_seed_counts_equal_counts_of_copies(spark):
     rows = [(f"c{i}", i % 4, i % 3 == 0) for i in range(200)]
     d = spark.createDataFrame(rows, "k string, cell int, u boolean")

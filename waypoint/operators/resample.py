@@ -24,6 +24,10 @@ from .ordered import scalars
 
 PRIME = 2_147_483_647
 BLOCK = 256
+#: Clusters whose draws are made at once: the work stays in the processor's cache.
+TILE = 32
+#: Cells of one piece of a score order: 2 ** PIECE_BITS at most, whatever the size of the written partitions.
+PIECE_BITS = 16
 
 
 def poisson_steps(size: int = 18) -> np.ndarray:
@@ -31,6 +35,19 @@ def poisson_steps(size: int = 18) -> np.ndarray:
     return np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(size)])
 
 
+def whole_steps(steps: np.ndarray) -> list[np.uint32]:
+    """The smallest whole h with h / PRIME at or above each step."""
+    out = []
+    for step in steps:
+        h = int(step * PRIME)
+        while h / PRIME >= step:
+            h -= 1
+        while h / PRIME < step:
+            h += 1
+        out.append(np.uint32(h))
+    return out
+
+
 def multipliers(seed: str, reps: int) -> np.ndarray:
     """Two hash multipliers per replicate, in [1, PRIME - 1]."""
     out = np.empty((2, reps), dtype=np.int64)
@@ -48,16 +65,30 @@ def cluster_keys(key: str) -> list[Column]:
 
 
 def weights(k1: np.ndarray, k2: np.ndarray, m: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Clusters x replicates matrix of Poisson(1) weights."""
-    h = (k1[:, None] * m[0][None, :] + k2[:, None] * m[1][None, :]) % PRIME
-    x = h / float(PRIME)
-    out = np.zeros(x.shape, np.uint8)
-    for step in steps:
-        reached = x >= step
-        if not reached.any():
-            break
-        out += reached
-    return out.astype(np.float64)
+    """Clusters x replicates matrix of Poisson(1) weights.
+
+    The remainder by 2^31 - 1 takes shifts only, and the draw is held against the
+    steps as a whole number.
+    """
+    out, limits = np.empty((len(k1), m.shape[1])), whole_steps(steps)
+    for at in range(0, len(k1), TILE):
+        own = slice(at, at + TILE)
+        v = k1[own, None] * m[0][None, :]
+        v += k2[own, None] * m[1][None, :]
+        for _ in range(2):
+            high = v >> 31
+            v &= PRIME
+            v += high
+        h = v.astype(np.uint32)
+        h[h >= PRIME] -= np.uint32(PRIME)
+        count = np.zeros(h.shape, np.uint8)
+        for limit in limits:
+            reached = h >= limit
+            if not reached.any():
+                break
+            count += reached.view(np.uint8)
+        out[own] = count
+    return out
 
 
 def weight_table(clusters: DataFrame, key: str, reps: int, seed: str) -> DataFrame:
@@ -182,7 +213,7 @@ def _ranked_cells(df: DataFrame, cluster: str, scores: dict[str, str], positive:
     cells = long.groupBy("which", "_s", "_c").agg(F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg"))
     keyed = cells.select("which", "_s", *cluster_keys("_c"), "_pos", "_neg")
     placed = materialize(keyed.orderBy("which", F.desc("_s"), "_k1", "_k2").withColumn("_seq", F.monotonically_increasing_id()))
-    return placed.withColumn("_part", F.shiftright("_seq", 33))
+    return placed.withColumn("_part", F.shiftright("_seq", PIECE_BITS))
 
 
 def curve_replicates(df: DataFrame, cluster: str, scores: dict[str, str], positive: str, reps: int, seed: str) -> DataFrame:
@@ -194,18 +225,28 @@ def curve_replicates(df: DataFrame, cluster: str, scores: dict[str, str], positi
     between as one piece. Running totals over these pieces give every piece its
     start, equal scores that span tasks become one, and a second pass streams
     the pieces from their starts. So a score that very many rows share is spread
-    over tasks, and a task keeps a few values per replicate and one block of
-    cells. All scores go through the same two passes.
+    over tasks, and a task keeps a few values per replicate and one range of
+    cells, 2 ** PIECE_BITS at most however large the written partitions are. All
+    scores go through the same two passes.
     """
     steps, m = poisson_steps(), multipliers(seed, reps)
     rep = np.arange(-1, reps)
 
     def blocks(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Scores, (positives, negatives) and weights of each block of cells."""
+        s, k1, k2, y = b["_s"].to_numpy(), b["_k1"].to_numpy(), b["_k2"].to_numpy(), b[["_pos", "_neg"]].to_numpy(dtype=float).T
         for at in range(0, len(b), BLOCK):
-            part = b.iloc[at : at + BLOCK]
-            w = weights(part["_k1"].to_numpy(), part["_k2"].to_numpy(), m, steps)
-            w = np.concatenate([np.ones((len(part), 1)), w], axis=1)
-            yield part["_s"].to_numpy(), w * part["_pos"].to_numpy()[:, None], w * part["_neg"].to_numpy()[:, None]
+            own = slice(at, at + BLOCK)
+            w = weights(k1[own], k2[own], m, steps)
+            yield s[own], y[:, own], np.concatenate([np.ones((len(w), 1)), w], axis=1)
+
+    def per_score(runs: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Weighted sum of y over each run of equal scores."""
+        if len(runs) > BLOCK // 8:
+            return np.add.reduceat(w * y[:, None], runs, axis=0)
+        spread = np.zeros((len(runs), len(y)))
+        spread[np.repeat(np.arange(len(runs)), np.diff(runs, append=len(y))), np.arange(len(y))] = y
+        return spread @ w
 
     def pieces(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("_seq")
@@ -214,16 +255,15 @@ def curve_replicates(df: DataFrame, cluster: str, scores: dict[str, str], positi
         out = []
         for place, mask in ((0, top), (1, ~top & ~low), (2, low & ~top)):
             if mask.any():
-                p, n = np.zeros(reps + 1), np.zeros(reps + 1)
-                for _, wp, wn in blocks(b[mask]):
-                    p, n = p + wp.sum(0), n + wn.sum(0)
+                p, n = sum((y @ w for _, y, w in blocks(b[mask])), np.zeros((2, reps + 1)))
                 body = place == 1
                 out.append(pd.DataFrame({"which": key[1], "part": key[0] if body else -1, "body": body, "hi": s[mask][0], "rep": rep, "p": p, "n": n}))
         return pd.concat(out)
 
     def walk(key: tuple, b: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
         if b.empty or starts.empty:
-            return pd.DataFrame({"which": [], "rep": [], "area": [], "precision": []})
+            # a piece of one or two scores has no inside: no rows, but with the types of the schema
+            return pd.DataFrame({"which": pd.Series([], dtype=object), "rep": rep[:0], "area": np.zeros(0), "precision": np.zeros(0)})
         b, starts = b.sort_values("_seq"), starts.sort_values("rep")
         s = b["_s"].to_numpy()
         inner = (s != s[0]) & (s != s[-1])
@@ -231,9 +271,11 @@ def curve_replicates(df: DataFrame, cluster: str, scores: dict[str, str], positi
         ends = np.append(s[1:] != s[:-1], True)
         p, n = starts["p_above"].to_numpy(), starts["n_above"].to_numpy()
         closed, area, precision, at = (p, n), np.zeros(reps + 1), np.zeros(reps + 1), 0
-        for own, wp, wn in blocks(b):
-            cp, cn = p + np.cumsum(wp, axis=0), n + np.cumsum(wn, axis=0)
-            stop = np.flatnonzero(ends[at : at + len(own)])
+        for own, y, w in blocks(b):
+            runs = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            cp, cn = (above + np.cumsum(per_score(runs, of, w), axis=0) for above, of in ((p, y[0]), (n, y[1])))
+            # only the last score of a block may go on in the next one
+            stop = np.arange(len(runs) if ends[at + len(own) - 1] else len(runs) - 1)
             if len(stop):
                 ep, en = cp[stop], cn[stop]
                 bp, bn = np.vstack([closed[0], ep[:-1]]), np.vstack([closed[1], en[:-1]])
