@@ -102,6 +102,9 @@ def test_weights_equal_the_plain_remainder():
     k1[:3], k2[:3] = [1, Q.PRIME - 1, Q.PRIME - 1], [1, Q.PRIME - 1, 1]
     x = (k1[:, None] * m[0] + k2[:, None] * m[1]) % Q.PRIME / float(Q.PRIME)
     assert (Q.weights(k1, k2, m, steps) == (x[:, :, None] >= steps).sum(2)).all()
+    # a cluster without a key weighs nothing
+    missing = Q.weights(np.append(k1[:5].astype(float), np.nan), np.append(k2[:5].astype(float), np.nan), m, steps)
+    assert missing.shape == (6, 50) and not missing[5].any() and missing[:5].any()
 
 
 def test_seed_counts_equal_counts_of_copies(spark):
@@ -213,3 +216,26 @@ def test_score_equations_hold_at_the_optimum_only(spark):
     assert max(abs(x) for x in M.score_gaps(worse, m.prepared)[1]) > 1e-4
     with pytest.raises(RuntimeError):
         M.converged(M.logistic(400, max_iter=1), m.prepared)
+
+
+def test_numeric_stats_count_equal_values_once(spark, monkeypatch):
+    rows = [(float(i % 3), None if i % 4 == 0 else 7.0, None, float("nan") if i % 5 == 0 else float(i)) for i in range(300)]
+    d = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(3)
+    written, keep = [], M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df: written.append(keep(df)) or written[-1])
+    got = {r["feature"]: (r["median"], r["mean"], r["spread"]) for r in M.numeric_stats(d, ["a", "b", "c", "d"]).collect()}
+    # 3 values of a, 7 and NULL of b, NULL of c, 240 values and NULL of d
+    assert [w.count() for w in written] == [3 + 2 + 1 + 241]
+    for i, c in enumerate("abcd"):
+        x = [r[i] for r in rows if r[i] is not None and r[i] == r[i]]
+        median = float(np.median(x)) if x else 0.0
+        filled = [r[i] if r[i] is not None and r[i] == r[i] else median for r in rows]
+        assert np.allclose(got[c], (median, np.mean(filled), np.std(filled)), atol=1e-9)
+
+
+def test_model_queries_write_only_what_they_read(spark, monkeypatch):
+    from waypoint.plans import model_queries as MQ
+
+    wide = ["p_cal_execute", "predicted_action", "w_e", "p_safe_t1", "outcome_future_gr"]
+    monkeypatch.setattr(MQ, "episodes", lambda spark, sf: spark.range(3).select(*[F.col("id").alias(c) for c in [*MQ.COLUMNS, *wide]]))
+    assert MQ.table(spark, "").columns == MQ.COLUMNS

@@ -68,8 +68,12 @@ def weights(k1: np.ndarray, k2: np.ndarray, m: np.ndarray, steps: np.ndarray) ->
     """Clusters x replicates matrix of Poisson(1) weights.
 
     The remainder by 2^31 - 1 takes shifts only, and the draw is held against the
-    steps as a whole number.
+    steps as a whole number. Keys with missing ones among them come as floats; a
+    cluster without a key weighs nothing.
     """
+    if k1.dtype.kind == "f" or k2.dtype.kind == "f":
+        x = (k1[:, None] * m[0][None, :] + k2[:, None] * m[1][None, :]) % PRIME / float(PRIME)
+        return sum((x >= step for step in steps), np.zeros(x.shape))
     out, limits = np.empty((len(k1), m.shape[1])), whole_steps(steps)
     for at in range(0, len(k1), TILE):
         own = slice(at, at + TILE)
