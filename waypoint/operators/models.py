@@ -64,11 +64,14 @@ FUTURE_COLUMNS = ("outcome_", "events_total", "events_future", "events_after", "
 
 def numeric_stats(train: DataFrame, numeric: list[str]) -> DataFrame:
     """Train median of each input, and mean and population spread after filling with it."""
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), number(F.col(c).cast("double")).alias("x")) for c in numeric])
-    long = train.select(F.inline(rows))
-    med = percentiles(long, "x", {"median": 0.5}, ["feature"])
-    base = long.groupBy("feature").agg(F.count("*").alias("n"), F.count("x").alias("k"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
-    j = base.join(med, "feature", "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
+    rows = F.array(*[F.struct(F.lit(i).alias("_f"), number(F.col(c).cast("double")).alias("x")) for i, c in enumerate(numeric)])
+    # equal values are counted once, for the sums as for the median; inputs go by their number until then
+    counts = materialize(train.select(F.inline(rows)).groupBy("_f", "x").agg(F.count("*").alias("w")))
+    w, x = F.col("w"), F.col("x")
+    med = percentiles(counts, "x", {"median": 0.5}, ["_f"], weight=w)
+    base = counts.groupBy("_f").agg(F.sum("w").alias("n"), F.coalesce(F.sum(F.when(x.isNotNull(), w)), F.lit(0)).alias("k"), F.sum(x * w).alias("s"), F.sum(x * x * w).alias("q"))
+    j = base.join(med, "_f", "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
+    j = j.withColumn("feature", F.element_at(F.array(*[F.lit(c) for c in numeric]), F.col("_f") + 1))
     gap, n = F.col("n") - F.col("k"), F.col("n")
     mean = (F.coalesce("s", F.lit(0.0)) + gap * F.col("median")) / n
     square = (F.coalesce("q", F.lit(0.0)) + gap * F.col("median") * F.col("median")) / n

@@ -21,10 +21,12 @@ from .tables import BASE, SPLIT_SEED, WIDE, WIDE_LOG, episodes, wide_event_log
 CLS = ["EXECUTE", "GATHER", "ESCALATE", "ABSTAIN"]
 S_SAFE = "target = 'SAFE_TO_EXECUTE'"
 NUM = M.FEATURE_SETS["FULL"]
+COLUMNS = ["case_id", "part", "family", "regime", "target", "expected_action_reference", "p_safe_t0_raw", *NUM, *M.CATEGORY_FEATURES]
 
 
 def table(spark, sf) -> DataFrame:
-    return materialize(episodes(spark, sf))
+    """The episodes, written once with the columns that models, their labels and their reports read."""
+    return materialize(episodes(spark, sf).select(*COLUMNS))
 
 
 def parts(d: DataFrame, label: str = "target"):
