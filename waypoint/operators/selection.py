@@ -31,15 +31,22 @@ def by_seed(df: DataFrame, key: str, seeds: list[str]) -> DataFrame:
     return rows.withColumn("half", (F.conv(digits, 16, 10).cast("bigint") % 2).cast("int"))
 
 
-def seed_counts(df: DataFrame, key: str, seeds: list[str], cells: list[str], flags: dict[str, Column]) -> DataFrame:
+def seed_bits(key: str, seeds: list[str]) -> Column:
+    """The hash halves of a row as one number, one bit per seed."""
+    digits = lambda s: F.substring(F.sha2(F.concat(F.lit(s), F.col(key).cast("string")), 256), 1, 8)
+    bits = [F.shiftleft(F.conv(digits(s), 16, 10).cast("bigint") % 2, k) for k, s in enumerate(seeds)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def seed_counts(df: DataFrame, key: str, seeds: list[str], cells: list[str], flags: dict[str, Column], halves: str | None = None) -> DataFrame:
     """(seed, half, cells, flags): per seed and hash half the flagged rows of every cell, without a copy of a row per seed.
 
-    A row's halves are one bit per seed. A cell counts each flag once in all and
-    once per bit; what is not in half 1 is in half 0. Only cells meet the seeds.
+    A row's halves are one bit per seed, ``seed_bits`` of the key or the column ``halves`` that
+    holds them. A cell counts each flag once in all and once per bit; what is not in half 1 is
+    in half 0. Only cells meet the seeds.
     """
-    digits = lambda s: F.substring(F.sha2(F.concat(F.lit(s), F.col(key).cast("string")), 256), 1, 8)
-    bits = [F.shiftleft(F.conv(digits(s), 16, 10).cast("bigint") % 2, k) for k, s in enumerate(seeds)]
-    marked = df.select(*cells, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("_halves"), *[is_true(c).cast("bigint").alias(f) for f, c in flags.items()])
+    bits = seed_bits(key, seeds) if halves is None else F.col(halves)
+    marked = df.select(*cells, bits.alias("_halves"), *[is_true(c).cast("bigint").alias(f) for f, c in flags.items()])
     in_one = lambda k: F.shiftright("_halves", k).bitwiseAND(F.lit(1).cast("bigint"))
     sums = [F.sum(f).alias(f) for f in flags] + [F.sum(F.col(f) * in_one(k)).alias(f"{f}_{k}") for f in flags for k in range(len(seeds))]
     wide = marked.groupBy(*cells).agg(*sums)
@@ -109,13 +116,17 @@ def node_counts(df: DataFrame, by: list[str], taus: list[float] = TAUS, betas: l
     return _on_nodes(cells, by, {"n": "k", "u": "b"}, taus, betas)
 
 
-def seed_node_counts(df: DataFrame, key: str, seeds: list[str], by: list[str] | None = None, taus: list[float] = TAUS, betas: list[float] = BETAS, c_h: float = 0.1) -> DataFrame:
-    """``node_counts`` of half 1 of every seed, from one pass over the rows."""
+def seed_node_counts(df: DataFrame, key: str, seeds: list[str], by: list[str] | None = None, taus: list[float] = TAUS, betas: list[float] = BETAS, c_h: float = 0.1, halves: str | None = None) -> DataFrame:
+    """``node_counts`` of half 1 of every seed, from one pass over the rows.
+
+    ``halves`` names a column of ``seed_bits`` that the rows already hold, so copies of a row share its hashes.
+    """
     by = by or []
     i, j = _steps(taus, betas, c_h)
-    marked = df.select(key, *by, i.alias("i"), j.alias("j"), "g", "u")
-    # rows that the gate blocks keep their cell, so every group has its nodes
-    cells = seed_counts(marked, key, seeds, [*by, "i", "j"], {"k": F.col("g"), "b": F.col("g") & F.col("u"), "rows": F.lit(True)}).where("half = 1 and rows > 0")
+    marked = df.select(key if halves is None else halves, *by, i.alias("i"), j.alias("j"), is_true(F.col("g")).alias("g"), is_true(F.col("u")).alias("u"))
+    # gate and label are part of the cell: one count per seed, and rows that the gate blocks keep their cell, so every group has its nodes
+    cells = seed_counts(marked, key, seeds, [*by, "i", "j", "g", "u"], {"rows": F.lit(True)}, halves).where("half = 1 and rows > 0")
+    cells = cells.withColumns({"k": F.when(F.col("g"), F.col("rows")).otherwise(0), "b": F.when(F.col("g") & F.col("u"), F.col("rows")).otherwise(0)})
     return _on_nodes(cells, [*by, "seed"], {"n": "k", "u": "b"}, taus, betas)
 
 

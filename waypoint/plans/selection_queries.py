@@ -202,10 +202,12 @@ pn AS (SELECT regime, permutation, seed, tau, beta, coalesce(sum(m) FILTER (WHER
 pv AS (SELECT pn.*, cap, {tail_sql('u', 'n', 'cap')} AS pv FROM pn, caps), pg AS (SELECT *, min((n > 0 AND pv <= 0.05 / 8)::INT) OVER (PARTITION BY regime, permutation, seed, cap, tau ORDER BY beta ROWS UNBOUNDED PRECEDING) AS pass FROM pv)
 SELECT regime, permutation, cap, count(DISTINCT seed) FILTER (WHERE pass = 1) AS certifications FROM pg GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    cal = calibration(spark, sf).where("part = 'calibration'")
+    # written once: the 21 arms share a row's hashes
+    cal = materialize(calibration(spark, sf).where("part = 'calibration'").select("case_id", "regime", "s", "g", "u", "c", Z.seed_bits("case_id", SEEDS).alias("halves")))
     arms = Z.permuted_all(cal, "case_id", "c", PERMS, "cp", ["regime"]).unionByName(cal.withColumn("permutation", F.lit("actual")).withColumn("cp", F.col("c")))
     by = ["regime", "permutation", "seed"]
-    t = Z.tested(Z.seed_node_counts(arms.drop("c").withColumnRenamed("cp", "c"), "case_id", SEEDS, by[:2], betas=BT), CAPS)
+    nodes = materialize(Z.seed_node_counts(arms.drop("c").withColumnRenamed("cp", "c"), "case_id", SEEDS, by[:2], betas=BT, halves="halves"))
+    t = Z.tested(nodes, CAPS)
     kept = Z.stop_at_first_failure(t, [*by, "cap", "tau"], "bj", (F.col("n") > 0) & (F.col("p_value") <= 0.05 / 8))
     hit = kept.select("regime", "permutation", "cap", "seed").distinct().groupBy("regime", "permutation", "cap").agg(F.count("*").alias("certifications"))
     return t.select("regime", "permutation", "cap").distinct().join(hit, ["regime", "permutation", "cap"], "left").fillna(0, ["certifications"])
