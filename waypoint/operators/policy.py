@@ -16,6 +16,9 @@ from ..session import ship_package
 from .metrics import RATES, TERMS, ratios, row_terms
 
 
+ACTIONS = [D.EXECUTE, D.GATHER, D.ESCALATE, D.ABSTAIN]
+
+
 def with_consequence(df: DataFrame, refs: Column, modes: list[str], value: str = "transaction_exposure_eur") -> DataFrame:
     """One copy of each row per consequence mode with its C(v)."""
     rows = df.withColumn("_refs", refs).withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
@@ -64,6 +67,36 @@ def decisions_long(df: DataFrame, p: D.Params, keep: list[str]) -> DataFrame:
     return with_actions(df, p).select(*keep, F.inline(rows))
 
 
+def convention_means(df: DataFrame, p: D.Params, by: list[str]) -> DataFrame:
+    """Mean loss of every policy under the three conventions, and its cases of unknown end-to-end loss.
+
+    ``df`` has the ``action__<POLICY>`` columns. What a row costs depends on its action only,
+    so losses are summed once per action and kind of row (the list of its actions); only
+    kinds meet the policies. Known losses are counted beside their sums.
+    """
+    u, c, label = F.col("unsafe"), F.col("c"), F.col("y_t1")
+    acts = [f"action__{n}" for n in D.POLICIES]
+    # the continuation is a column of its own: worked out once per row
+    rows = df.withColumn("_after", D.continuation(F.col("p_safe_t1_primary"), c, p)[0])
+    costs = {}
+    for i, name in enumerate(ACTIONS):
+        a = F.lit(name)
+        costs |= {f"a{i}": D.loss_a(a, u, c, p), f"b{i}": D.loss_b(a, u, c, p), f"c{i}": D.loss_c(a, u, F.col("_after"), label, c, p)}
+    rows = rows.select(*by, *acts, *[x.alias(n) for n, x in costs.items()])
+    kinds = rows.groupBy(*by, *acts).agg(F.count("*").alias("n"), *[F.sum(n).alias(f"s_{n}") for n in costs], *[F.count(n).alias(f"k_{n}") for n in costs])
+
+    def of(action: Column, what: str) -> Column:
+        out = F.lit(None)
+        for i, name in enumerate(ACTIONS):
+            out = F.when(action == name, F.col(f"{what}{i}")).otherwise(out)
+        return out
+
+    names = [f"{w}_{x}" for x in "abc" for w in "sk"]
+    long = F.array(*[F.struct(F.lit(n).alias("policy"), *[of(F.col(f"action__{n}"), x).alias(x) for x in names]) for n in D.POLICIES])
+    sums = kinds.select(*by, "n", F.inline(long)).groupBy("policy", *by).agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names])
+    return sums.select("policy", *by, *[F.try_divide(F.col(f"s_{x}"), F.col(f"k_{x}").cast("double")).alias(f"loss_{x}") for x in "abc"], (F.col("n") - F.coalesce("k_c", F.lit(0))).alias("unknown"))
+
+
 def ablation_deltas(metrics: DataFrame, keys: list[str], pairs: list[tuple[str, str, str]], rates: list[str] = RATES) -> DataFrame:
     """Left minus right for each policy pair and metric; the input has one row per (keys, policy)."""
     wide = metrics.groupBy(*keys).agg(*[

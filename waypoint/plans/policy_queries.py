@@ -10,6 +10,7 @@ from ..operators import metrics as M
 from ..operators import ordered as O
 from ..operators import policy as PO
 from ..operators import profile as P
+from ..session import materialize
 from .registry import query, r, rounded, rs
 from .scalar_queries import GATED, TRAIN_REF, gated, train_refs
 
@@ -73,6 +74,9 @@ def longs(spark, sf, keep=(), modes=D.MODES):
     return PO.decisions_long(moded(spark, sf, modes), PAR, base)
 
 
+DECIDES = ["part", "transaction_exposure_eur", "gate", "unsafe", "y_t1", "predicted_action", "p_cal_execute", "p_safe_t0_cal", "p_safe_t1_primary", "gather_policy_eligible"]
+
+
 def terms(loss=None):
     a, u, c = F.col("action"), F.col("unsafe"), F.col("c")
     return M.row_terms(a, u, F.col("transaction_exposure_eur"), c, D.loss_a(a, u, c, PAR) if loss is None else loss)
@@ -129,10 +133,11 @@ def _(spark, sf):
 
 @query("d17_d19_loss_conventions", f"""{LONG} SELECT policy, mode, {rs(f"avg({LOSS_A})")} AS loss_a, {rs(f"avg({LOSS_B})")} AS loss_b, {rs(f"avg({LOSS_C})")} AS loss_c, count(*) FILTER (WHERE {LOSS_C} IS NULL) AS unknown FROM dl GROUP BY 1, 2""")
 def _(spark, sf):
-    a, u, c = F.col("action"), F.col("unsafe"), F.col("c")
-    after, _ = D.continuation(F.col("p_safe_t1_primary"), c, PAR)
-    d = longs(spark, sf).select("policy", "mode", D.loss_a(a, u, c, PAR).alias("a"), D.loss_b(a, u, c, PAR).alias("b"), D.loss_c(a, u, after, F.col("y_t1"), c, PAR).alias("cc"))
-    return d.groupBy("policy", "mode").agg(r(F.avg("a")).alias("loss_a"), r(F.avg("b")).alias("loss_b"), r(F.avg("cc")).alias("loss_c"), O.count_if(F.col("cc").isNull()).alias("unknown"))
+    # the columns that decide are written first, so their making and the policies are compiled apart
+    d = materialize(gated(spark, sf).select(*DECIDES))
+    d = PO.with_consequence(d, O.scalars(train_refs(d)), D.MODES)
+    out = PO.convention_means(PO.with_actions(d, PAR), PAR, ["mode"])
+    return out.select("policy", "mode", r("loss_a").alias("loss_a"), r("loss_b").alias("loss_b"), r("loss_c").alias("loss_c"), "unknown")
 
 
 @query("a26_policy_metrics", f"{LONG} SELECT regime, mode, policy, {metric_sql()} FROM dl GROUP BY 1, 2, 3")
