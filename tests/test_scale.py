@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waypoint.functions import policy as D
+from waypoint.operators import ordered as O
 from waypoint.operators import policy as PO
 from waypoint.operators import selection as Z
 
@@ -47,3 +48,20 @@ def test_convention_means_equal_means_over_copies(spark):
         g = got[r["policy"], r["mode"]]
         assert g["unknown"] == r["unknown"]
         assert (g["loss_a"], g["loss_b"], g["loss_c"]) == pytest.approx((r["a"], r["b"], r["e"]), abs=1e-12)
+
+
+def test_first_rows_of_groups_shuffle_no_other_buckets(spark):
+    d = spark.range(3000).select(F.col("id").cast("string").alias("k"), F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("g"), F.lit("x" * 50).alias("wide"))
+    key = F.sha2(F.concat(F.coalesce(F.col("g").cast("string"), F.lit("")), F.lit(":"), F.col("k")), 256)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = O.hash_ranks(d, key, "k", ["g"], "rank", limit=4)
+        assert "BroadcastHashJoin" in plan(got) and "SortMergeJoin" not in plan(got)
+        rows = {(r["g"], r["rank"]): r["k"] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    groups = {}
+    for r in d.withColumn("h", key).collect():
+        groups.setdefault(r["g"], []).append((r["h"], r["k"]))
+    assert rows == {(g, i + 1): k for g, x in groups.items() for i, (_, k) in enumerate(sorted(x)[:4])}

@@ -99,8 +99,9 @@ def hash_ranks(
     start = counts.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col("_hb").alias("_kb"),
                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
     if limit is not None:
-        start = start.where(F.col("_n0") < limit)
-    if not by:
+        # few buckets are left: they go to the rows, so rows of other buckets are not shuffled
+        start = small(start.where(F.col("_n0") < limit))
+    elif not by:
         start = F.broadcast(start)  # at most 4,096 rows
     match = reduce(lambda a, b: a & b, [keyed[b].eqNullSafe(start[f"_k_{b}"]) for b in by],
                    keyed["_hb"] == start["_kb"])

@@ -14,6 +14,7 @@ from ..operators import ordered as O
 from ..operators import profile as P
 from ..operators import splits as X
 from ..operators.cases import with_risk_stratum
+from ..session import materialize
 from ..sources.tables import table
 from .registry import query, r, rounded, rs
 from .scalar_queries import (
@@ -387,7 +388,7 @@ def _(spark, sf):
  UNION ALL SELECT 'natural_not_synthetic' AS "check", count(*) AS rows, count(*) FILTER (WHERE benchmark_arm LIKE 'NATURAL%' AND syn) AS violations, {rs('coalesce(sum((benchmark_arm[1] = chr(78))::INT), 0)::DOUBLE', 4)} AS measured FROM bm
  UNION ALL SELECT 'controlled_synthetic' AS "check", count(*) AS rows, count(*) FILTER (WHERE benchmark_arm LIKE 'CONTROLLED%' AND NOT syn) AS violations, {rs('coalesce(sum(syn::INT), 0)::DOUBLE', 4)} AS measured FROM bm""")
 def _(spark, sf):
-    b = bench(spark, sf)
+    b = materialize(bench(spark, sf).select("case_id", "arm_key", "benchmark_arm", "synthetic_intervention", "expected_action_reference"))
     natural, syn, action = F.col("benchmark_arm").startswith("NATURAL"), F.col("synthetic_intervention"), F.col("expected_action_reference")
     return rounded(K.unique_rows(b, ["case_id", "arm_key"]).unionByName(K.check_rows(b, {
         "action_present": (action.isNotNull(), F.length(action)), "natural_not_synthetic": (~(natural & syn), natural.cast("int")), "controlled_synthetic": (natural | syn, syn.cast("int"))})), digits=4)
