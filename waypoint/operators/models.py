@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import SAFE, is_true, number
 from ..session import materialize
 from . import isotonic
-from .ordered import SMALL_ROWS, percentiles, prefix
+from .ordered import SMALL_ROWS, prefix, weighted_percentiles
 
 RARE, MISSING = "__RARE__", "__MISSING__"
 MIN_FREQUENCY = 5
@@ -64,18 +64,31 @@ FUTURE_COLUMNS = ("outcome_", "events_total", "events_future", "events_after", "
 
 def numeric_stats(train: DataFrame, numeric: list[str]) -> DataFrame:
     """Train median of each input, and mean and population spread after filling with it."""
+    return training_stats(train, numeric, {"train": F.lit(True)})["train"]
+
+
+def training_stats(df: DataFrame, numeric: list[str], trainings: dict[str, Column]) -> dict[str, DataFrame]:
+    """``numeric_stats`` of several training sets over the same rows, which are counted and sorted once for all."""
+    marks = {n: f"_m{i}" for i, n in enumerate(trainings)}
+    marked = df.withColumns({marks[n]: is_true(where).cast("bigint") for n, where in trainings.items()}).where(" + ".join(marks.values()) + " > 0")
     rows = F.array(*[F.struct(F.lit(i).alias("_f"), number(F.col(c).cast("double")).alias("x")) for i, c in enumerate(numeric)])
     # equal values are counted once, for the sums as for the median; inputs go by their number until then
-    counts = materialize(train.select(F.inline(rows)).groupBy("_f", "x").agg(F.count("*").alias("w")))
-    w, x = F.col("w"), F.col("x")
-    med = percentiles(counts, "x", {"median": 0.5}, ["_f"], weight=w)
-    base = counts.groupBy("_f").agg(F.sum("w").alias("n"), F.coalesce(F.sum(F.when(x.isNotNull(), w)), F.lit(0)).alias("k"), F.sum(x * w).alias("s"), F.sum(x * x * w).alias("q"))
-    j = base.join(med, "_f", "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
+    counts = materialize(marked.select(*marks.values(), F.inline(rows)).groupBy("_f", "x").agg(*[F.sum(m).alias(m) for m in marks.values()]))
+    x = F.col("x")
+    med = weighted_percentiles(counts, "x", {"median": 0.5}, ["_f"], {m: F.col(m) for m in marks.values()})
+    base = counts.groupBy("_f").agg(*[a for m, w in ((m, F.col(m)) for m in marks.values()) for a in (
+        F.sum(w).alias(f"n{m}"), F.coalesce(F.sum(F.when(x.isNotNull(), w)), F.lit(0)).alias(f"k{m}"), F.sum(x * w).alias(f"s{m}"), F.sum(x * x * w).alias(f"q{m}"))])
+    j = materialize(base.join(med, "_f", "left")) if len(marks) > 1 else base.join(med, "_f", "left")
     j = j.withColumn("feature", F.element_at(F.array(*[F.lit(c) for c in numeric]), F.col("_f") + 1))
-    gap, n = F.col("n") - F.col("k"), F.col("n")
-    mean = (F.coalesce("s", F.lit(0.0)) + gap * F.col("median")) / n
-    square = (F.coalesce("q", F.lit(0.0)) + gap * F.col("median") * F.col("median")) / n
-    return j.select("feature", "median", mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("spread"))
+    out = {}
+    for name, m in marks.items():
+        median, n = F.coalesce(F.col(f"median{m}"), F.lit(0.0)), F.col(f"n{m}")
+        gap = n - F.col(f"k{m}")
+        mean = (F.coalesce(f"s{m}", F.lit(0.0)) + gap * median) / n
+        square = (F.coalesce(f"q{m}", F.lit(0.0)) + gap * median * median) / n
+        own = j.where(n > 0)
+        out[name] = own.select("feature", median.alias("median"), mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("spread"))
+    return out
 
 
 def _text(column: str) -> Column:
@@ -137,14 +150,18 @@ class Features:
     rows: int
     encoder: PipelineModel | None = None
 
-    def plain(self, df: DataFrame) -> DataFrame:
+    def slots(self, df: DataFrame, prefix: str = "_i_") -> DataFrame:
+        """Adds the slot of every category; the last one stands for levels that training has not seen and is encoded as all zeros."""
         out = df
         for c in self.categorical:
             slots, known = self.sizes[c]
             own = self.levels.where(F.col("feature") == c)
-            out = with_slot(out, c, own, known, self.rows, f"_i_{c}")
-            # the last slot stands for levels that training has not seen and is encoded as all zeros
-            out = out.withColumn(f"_i_{c}", F.coalesce(F.col(f"_i_{c}"), F.lit(slots)).cast("double"))
+            out = with_slot(out, c, own, known, self.rows, f"{prefix}{c}")
+            out = out.withColumn(f"{prefix}{c}", F.coalesce(F.col(f"{prefix}{c}"), F.lit(slots)).cast("double"))
+        return out
+
+    def plain(self, df: DataFrame) -> DataFrame:
+        out = self.slots(df)
         filled = {}
         for c in self.numeric:
             median, mean, spread = self.stats[c]
@@ -188,10 +205,12 @@ def check_inputs(names: list[str]) -> None:
         raise ValueError(f"columns known only after the decision: {', '.join(bad)}")
 
 
-def fit_features(train: DataFrame, numeric: list[str], categorical: list[str]) -> Features:
+def fit_features(train: DataFrame, numeric: list[str], categorical: list[str], known: DataFrame | None = None) -> Features:
+    """``known``: the statistics of the inputs, if they are worked out already."""
     check_inputs([*numeric, *categorical])
     # one row per input column reaches the driver
-    stats = {r["feature"]: (r["median"], r["mean"], r["spread"]) for r in numeric_stats(train, numeric).collect()} if numeric else {}
+    found = known if known is not None else numeric_stats(train, numeric) if numeric else None
+    stats = {r["feature"]: (r["median"], r["mean"], r["spread"]) for r in found.collect()} if found is not None else {}
     levels, sizes, rows = None, {}, 0
     stages = []
     if categorical:

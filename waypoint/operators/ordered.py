@@ -119,31 +119,37 @@ def percentiles(
     Equal values are counted before the sort, so hot values cost one row.
     Groups without any value are absent. ``weight`` is a whole-number repeat count.
     """
+    return weighted_percentiles(df, value, probs, by, {"": F.lit(1) if weight is None else weight})
+
+
+def weighted_percentiles(df: DataFrame, value: str | Column, probs: dict[str, float], by: list[str] | None, weights: dict[str, Column]) -> DataFrame:
+    """As ``percentiles``, under several weights from one sort: a column <name><weight> each, NULL where a weight is zero throughout."""
     by = by or []
     x = F.col(value) if isinstance(value, str) else value
-    w = F.lit(1) if weight is None else weight
-    counts = df.select(*by, x.cast("double").alias("_x"), w.cast("bigint").alias("_w")).where(F.col("_x").isNotNull())
-    counts = counts.groupBy(*by, "_x").agg(F.sum("_w").alias("_w"))
-    placed = prefix(counts, [F.col("_x")], by=by, sums=["_w"], rank="_rank", totals={"_total": "_w"})
+    own = {s: f"_w{i}" for i, s in enumerate(weights)}
+    counts = df.select(*by, x.cast("double").alias("_x"), *[w.cast("bigint").alias(own[s]) for s, w in weights.items()]).where(F.col("_x").isNotNull())
+    counts = counts.groupBy(*by, "_x").agg(*[F.sum(w).alias(w) for w in own.values()])
+    placed = prefix(counts, [F.col("_x")], by=by, sums=list(own.values()), rank="_rank", totals={f"_total{w}": w for w in own.values()})
 
-    def value_at(position: Column) -> Column:
-        here = (position >= F.col("cum__w") - F.col("_w")) & (position < F.col("cum__w"))
+    def value_at(position: Column, w: str) -> Column:
+        here = (position >= F.col(f"cum_{w}") - F.col(w)) & (position < F.col(f"cum_{w}"))
         return F.max(F.when(here, F.col("_x")))
 
     aggs = []
-    for name, p in probs.items():
-        at = F.lit(float(p)) * (F.col("_total") - 1)
-        aggs += [
-            value_at(F.floor(at)).alias(f"_lo_{name}"),
-            value_at(F.ceil(at)).alias(f"_hi_{name}"),
-            F.max(at - F.floor(at)).alias(f"_f_{name}"),
-        ]
+    for s, w in own.items():
+        for name, p in probs.items():
+            at = F.lit(float(p)) * (F.col(f"_total{w}") - 1)
+            aggs += [
+                value_at(F.floor(at), w).alias(f"_lo_{name}{s}"),
+                value_at(F.ceil(at), w).alias(f"_hi_{name}{s}"),
+                F.max(at - F.floor(at)).alias(f"_f_{name}{s}"),
+            ]
     rows = placed.groupBy(*by).agg(*aggs)
     return rows.select(
         *by,
         *[
             (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n)
-            for n in probs
+            for n in [f"{name}{s}" for s in weights for name in probs]
         ],
     )
 

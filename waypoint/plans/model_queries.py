@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import curves as C
 from ..operators import models as M
+from ..operators import softmax as X
 from ..session import materialize
 from .registry import query, r, rounded, rs
 from .scalar_queries import TRAIN_REF, train_refs
@@ -262,20 +264,38 @@ def ablation_sql(regime: str) -> str:
  FROM (WITH tf AS (SELECT * FROM epi WHERE {train}), {levels_sql(M.CATEGORY_FEATURES, 'tf')} {rows}), (SELECT 1)""".replace("(SELECT count(*) FROM tf) AS training_rows", f"(SELECT count(*) FROM epi WHERE {train}) AS training_rows")
 
 
+MAX_ITER = 2000
+
+
 def action_fits(spark, sf):
-    """(regime, feature set, audit, scored test rows, largest gap) of every action model; one matrix per split."""
+    """(regime, feature set, audit with the largest gap, scored test rows) of every action model."""
     code = F.lit(None).cast("double")
     for i, c in enumerate(CLS):
         code = F.when(F.col("expected_action_reference") == c, float(i)).otherwise(code)
     d = table(spark, sf)
+    sets = {name: [*inputs, *M.CATEGORY_FEATURES] for name, inputs in M.FEATURE_SETS.items()}
+    keep = ["expected_action_reference", "part", "regime", "transaction_exposure_eur"]
+    study = X.prepare(d, code, len(CLS), {n: F.expr(train) for n, (train, _) in REGIMES.items()}, sets, NUM, M.CATEGORY_FEATURES, keep)
+    if study is None:
+        yield from wide_fits(d, code, sets, keep)
+        return
+    gaps = study.fit(MAX_ITER)
+    scored = study.scored({n: F.expr(test) for n, (_, test) in REGIMES.items()}, ["expected_action_reference"])
+    for i, (m, gap) in enumerate(zip(study.models, gaps, strict=True)):
+        own = F.col(f"_prob_{i}")
+        yield m.training, m.inputs, study.audit(i, MAX_ITER) | {"largest_gap": gap}, scored.where(own.isNotNull()).select("expected_action_reference", own.alias("_prob"))
+
+
+def wide_fits(d: DataFrame, code, sets: dict[str, list[str]], keep: list[str]):
+    """The same models one by one, for categories of so many levels that a model's curvature is too large to hold."""
     for regime, (train, test) in REGIMES.items():
-        m = M.matrix(d, F.expr(train), NUM, M.CATEGORY_FEATURES, ["case_id", "expected_action_reference", "part", "regime", "transaction_exposure_eur"])
-        for name, inputs in M.FEATURE_SETS.items():
-            model, scored, audit = M.fit_masked(m, code, F.expr(train), [*inputs, *M.CATEGORY_FEATURES], "multinomial", 2000)
-            gaps = M.score_gaps(model, m.masked([*inputs, *M.CATEGORY_FEATURES], F.expr(train)).withColumn("label", code))
+        m = M.matrix(d, F.expr(train), NUM, M.CATEGORY_FEATURES, keep)
+        for name, inputs in sets.items():
+            model, scored, audit = M.fit_masked(m, code, F.expr(train), inputs, "multinomial", MAX_ITER)
+            gaps = M.score_gaps(model, m.masked(inputs, F.expr(train)).withColumn("label", code))
             audit["inputs"] = model.numFeatures
             audit["largest_gap"] = max(abs(x) for g in gaps.values() for x in g)
-            yield regime, name, audit, scored.where(test)
+            yield regime, name, audit, scored.where(test).withColumn("_prob", vector_to_array("_prob"))
 
 
 @query("m17_m19_action_audit", f"{BASE} " + " UNION ALL ".join(ablation_sql(n) for n in REGIMES))
@@ -289,11 +309,9 @@ def _(spark, sf):
 
 @query("m17_action_ablation")
 def _(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-
     rows = []
     for regime, name, a, scored in action_fits(spark, sf):
-        p = vector_to_array("_prob")
+        p = F.col("_prob")
         chosen = S.first_largest(CLS, [p[i] for i in range(len(CLS))])
         rows.append(scored.agg(F.count("*").alias("n"), r(F.avg((chosen == F.col("expected_action_reference")).cast("int"))).alias("accuracy")).select(
             F.lit(regime).alias("regime"), F.lit(name).alias("feature_set"), "n", "accuracy", F.lit(a["iterations"]).alias("iterations"), F.lit(a["last_objective"]).alias("objective")))
