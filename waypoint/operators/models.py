@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import SAFE, is_true, number
 from ..session import materialize
-from . import isotonic
+from . import boosting, isotonic
 from .ordered import SMALL_ROWS, prefix, weighted_percentiles
 
 RARE, MISSING = "__RARE__", "__MISSING__"
@@ -230,13 +230,6 @@ def logistic(rows: int, strength: float = 1.0, max_iter: int = 500, tol: float =
     return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (strength * rows), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol, family=family, rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred")
 
 
-def boosted(rounds: int = 180, rate: float = 0.05, bins: int = 255) -> GBTClassifier:
-    est = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, stepSize=rate, maxBins=bins, minInstancesPerNode=30, predictionCol="_pred", seed=1)
-    est.set(est.rawPredictionCol, "_raw")
-    est.set(est.probabilityCol, "_prob")
-    return est
-
-
 def probabilities(model: Model, df: DataFrame, names: list[str]) -> DataFrame:
     out = model.transform(df).withColumn("_p", vector_to_array("_prob"))
     return out.select(*df.columns, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)]).drop("features")
@@ -319,11 +312,11 @@ def score_gaps(model: Model, prepared: DataFrame) -> dict[int, list[float]]:
     return out
 
 
-def audit_row(model: Model, rows: int) -> dict:
+def audit_row(model: Model | boosting.Boosted, rows: int) -> dict:
     """What a fit took: rows, iterations, first and last objective, whether it converged and never rose."""
     s = getattr(model, "summary", None)
-    n = s.totalIterations if s is not None else model.getNumTrees
-    limit = model.getOrDefault("maxIter")
+    n = s.totalIterations if s is not None else len(model.trees)
+    limit = model.getOrDefault("maxIter") if s is not None else model.rounds
     steps = [float(x) for x in s.objectiveHistory] if s is not None else []
     falling = all(b <= a + 1e-12 for a, b in zip(steps, steps[1:], strict=False))
     return {"training_rows": rows, "iterations": int(n), "max_iterations": int(limit), "converged": s is None or n < limit,
@@ -364,13 +357,13 @@ def fit_masked(m: Matrix, label: Column, train: Column, inputs: list[str] | None
 @dataclass
 class SafetyModel:
     features: Features
-    model: Model
+    model: Model | boosting.Boosted
     calibrator: Calibrator
     rows: int
     prepared: DataFrame
 
     def score(self, df: DataFrame, raw: str = "p_safe_raw", cal: str = "p_safe_cal") -> DataFrame:
-        out = probabilities(self.model, self.features.transform(df), ["_p0", raw]).drop("_p0")
+        out = safety_scores(self.features, self.model, df, ["_p0", raw]).drop("_p0")
         return self.calibrator.apply(out, raw, cal)
 
     def audit(self) -> dict:
@@ -383,15 +376,26 @@ class SafetyModel:
         return self.features.named(spark).join(gaps, "place").select("feature", "level", "gap")
 
 
+def safety_scores(features: Features, model: Model | boosting.Boosted, df: DataFrame, names: list[str]) -> DataFrame:
+    if isinstance(model, boosting.Boosted):
+        return model.probabilities(features.plain(df), df.columns, names)
+    return probabilities(model, features.transform(df), names)
+
+
 def fit_safety(train: DataFrame, calibration: DataFrame, label: str, numeric: list[str], categorical: list[str], kind: str = "logistic", rounds: int = 180) -> SafetyModel:
     """Train on resolved train cases, calibrate on resolved calibration cases."""
     train = train.withColumn("label", is_true(F.col(label) == SAFE).cast("double"))
     f = fit_features(train, numeric, categorical)
-    prepared = materialize(f.transform(train).select("features", "label"))
-    rows = prepared.count()
-    est = logistic(rows) if kind == "logistic" else boosted(rounds)
-    model = converged(est, prepared) if kind == "logistic" else est.fit(prepared)
-    raw = probabilities(model, f.transform(calibration), ["_p0", "_p1"])
+    if kind == "logistic":
+        prepared = materialize(f.transform(train).select("features", "label"))
+        rows = prepared.count()
+        model = converged(logistic(rows), prepared)
+    else:
+        numbers, slots = [f"_n_{c}" for c in numeric], [(f"_i_{c}", f.sizes[c][0]) for c in categorical]
+        prepared = materialize(f.plain(train).select("label", *numbers, *[c for c, _ in slots]))
+        rows = prepared.count()
+        model = boosting.fit(prepared, numbers, slots, rounds)
+    raw = safety_scores(f, model, calibration, ["_p0", "_p1"])
     return SafetyModel(f, model, fit_isotonic(raw, "_p1", F.col(label) == SAFE), rows, prepared)
 
 
